@@ -1,7 +1,7 @@
 """Projects whose name and type read almost the same.
 
 TF-IDF over words and neighbouring word pairs, cosine similarity, threshold.
-The exact all-pairs join follows Bayardo et al. (2007):
+The exact all-pairs join follows Bayardo, Ma and Srikant (2007):
 
 * Projects with the same word sequence have the same vector, so vectors are
   built once per distinct text ("group").  A group of copies, however large,
@@ -9,10 +9,10 @@ The exact all-pairs join follows Bayardo et al. (2007):
 * Terms are ordered from rare to frequent.  A pair can only reach the
   threshold if its first common term lies in the part of each vector before
   the remaining length drops below the threshold; only that prefix is joined.
-* At a common term with weights w1, w2 and remaining lengths r1, r2 the pair
-  can still reach ``w1*w2 + r1*r2``.  Candidates below the threshold at their
-  first common term are never emitted.
-* Candidates are then scored on their complete vectors.
+* The products over common prefix terms are added up per pair.  What the rest
+  of the two vectors can still add is at most the product of their remaining
+  lengths; pairs that cannot reach the threshold are dropped there.
+* The few candidates left are scored on their complete vectors.
 
 No term, partner or candidate is capped.
 """
@@ -56,47 +56,58 @@ def tfidf_terms(groups: DataFrame, total: Column) -> DataFrame:
     frequency = counted.groupBy("term").agg(F.sum("copies").alias("df"), F.count("*").alias("holders"))
     idf = F.ln((F.lit(1.0) + total) / (F.lit(1.0) + c("df"))) + F.lit(1.0)
     weighted = counted.join(frequency, "term").withColumn("raw", c("tf") * idf)
-    # Both windows run inside one group: as many rows as a text has terms.
-    vector = Window.partitionBy("group")
-    # From rare to frequent, the same order in every vector.
-    walk = vector.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Inside one group, so over as many rows as a text has terms; from rare to
+    # frequent, the same order in every vector.
+    walk = Window.partitionBy("group").orderBy("df", "term")
     square = c("raw") * c("raw")
-    sized = weighted.withColumns({"_all": F.sum(square).over(vector), "_seen": F.sum(square).over(walk)})
+    sized = weighted.withColumns({
+        "_all": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_seen": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     left = F.greatest(c("_all") - c("_seen"), F.lit(0.0))
     return sized.select(
         "group", "term", "tf", "df", "holders", (c("raw") / F.sqrt("_all")).alias("weight"),
         F.sqrt(left / c("_all")).alias("rest"), F.sqrt((left + square) / c("_all")).alias("rest_with"))
 
 
-def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Pairs of distinct texts at or above the threshold: ``group_1 < group_2``."""
-    shared = terms.where(c("holders") > 1)
+def candidate_groups(shared: DataFrame, threshold: float, rows_per_task: int) -> DataFrame:
+    """Pairs that can reach the threshold, from the rare part of each vector."""
     prefix = shared.where(c("rest_with") >= threshold - MARGIN)
     # A frequent term is spread over several tasks.
     one = prefix.select("term", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
                         c("group").alias("group_1"), c("weight").alias("w1"), c("rest").alias("r1"))
     two = prefix.select("term", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
                         c("group").alias("group_2"), c("weight").alias("w2"), c("rest").alias("r2"))
-    reachable = c("w1") * c("w2") + c("r1") * c("r2") >= threshold - MARGIN
-    candidates = (one.join(two, ["term", "salt"])
-                  .where((c("group_1") < c("group_2")) & reachable)
-                  .select("group_1", "group_2").distinct())
+    met = (one.join(two, ["term", "salt"]).where(c("group_1") < c("group_2"))
+           .groupBy("group_1", "group_2").agg(
+               F.sum(c("w1") * c("w2")).alias("got"), F.min("r1").alias("r1"), F.min("r2").alias("r2")))
+    # Common terms not counted yet come after the last counted one (remaining
+    # lengths r1, r2) and after the prefix of at least one side (remaining
+    # length below the threshold).
+    still = F.least(c("r1") * c("r2"), F.greatest("r1", "r2") * F.lit(float(threshold)))
+    return met.where(c("got") + still >= threshold - MARGIN).select("group_1", "group_2")
+
+
+def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Pairs of distinct texts at or above the threshold: ``group_1 < group_2``."""
+    shared = terms.where(c("holders") > 1)
     full = shared.select("group", "term", "weight")
     first = full.select(c("group").alias("group_1"), "term", c("weight").alias("w1"))
     second = full.select(c("group").alias("group_2"), "term", c("weight").alias("w2"))
-    scored = (candidates.join(first, "group_1").join(second, ["group_2", "term"])
+    scored = (candidate_groups(shared, threshold, rows_per_task)
+              .join(first, "group_1").join(second, ["group_2", "term"])
               .groupBy("group_1", "group_2").agg(F.sum(c("w1") * c("w2")).alias("cosine")))
     return scored.where(c("cosine") >= threshold).select(
         "group_1", "group_2", round_even(c("cosine"), 3).alias("similarity_score"))
 
 
 def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
-    members = text_members(docs, doc_id, text, stop_words)
+    # Texts are split into words once; all later steps read the result.
+    members = materialize(text_members(docs, doc_id, text, stop_words), "words")
     total = members.agg(F.count("*")).scalar()
     groups = text_groups(members.where(F.size("words") > 0)).where(total >= MIN_ROWS_FOR_PAIRS)
-    # The vectors are read four times below: write them once.
-    terms = materialize(tfidf_terms(groups, total), "tfidf")
+    # A term that only one text holds counts for its length, then is done.
+    terms = materialize(tfidf_terms(groups, total).where(c("holders") > 1), "tfidf")
     return members.select("id", "group"), groups.select("group", "copies"), terms
 
 

@@ -15,12 +15,18 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import OUTLIER_FEATURES
 from ..functions.columns import round_even
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, spread
 from ..plans.quantiles import exact_quantiles
+from . import trees as _trees
+from .trees import grow_tree, raw_score
+
+# The tree helpers travel inside the tasks: executors need no installed package.
+cloudpickle.register_pickle_by_value(_trees)
 
 MIN_ROWS = 20
 TREES, SUBSAMPLE, CONTAMINATION, SEED = 200, 256, 0.05, 42
@@ -60,8 +66,8 @@ def top_feature(imputed: DataFrame, stats: FeatureStats) -> DataFrame:
     row = imputed.agg(*[F.stddev_samp(x).alias(x) for x in stats.features]).first()
     z = []
     for i, x in enumerate(stats.features):
-        spread = row[x] if row[x] else 1.0
-        z.append(F.struct((F.abs(c(x) - F.lit(stats.medians[x])) / F.lit(spread)).alias("z"),
+        deviation = row[x] if row[x] else 1.0
+        z.append(F.struct((F.abs(c(x) - F.lit(stats.medians[x])) / F.lit(deviation)).alias("z"),
                           F.lit(-i).alias("first"), F.lit(x).alias("name")))
     best = F.array_max(F.array(*z))
     return imputed.withColumns({"ml_top_feature": best["name"], "ml_top_feature_z": round_even(best["z"], 2)})
@@ -72,38 +78,6 @@ def top_feature(imputed: DataFrame, stats: FeatureStats) -> DataFrame:
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth double"
 
 
-def _expected_path(n) -> np.ndarray:
-    """Average path length of an unsuccessful search among n keys."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1) + np.euler_gamma) - 2.0 * (n[big] - 1) / n[big]
-    return out
-
-
-def _grow_tree(x: np.ndarray, rng, max_depth: int) -> list[tuple]:
-    """Random splits until rows are alone, equal, or the depth is reached."""
-    nodes, todo = [], [(0, np.arange(len(x)), 0)]
-    nodes.append(None)
-    while todo:
-        node, rows, depth = todo.pop()
-        sub = x[rows]
-        spread = sub.max(axis=0) - sub.min(axis=0) if len(rows) else np.zeros(x.shape[1])
-        candidates = np.flatnonzero(spread > 0)
-        if depth >= max_depth or len(rows) <= 1 or not len(candidates):
-            nodes[node] = (node, -1, 0.0, -1, -1, depth + float(_expected_path([len(rows)])[0]))
-            continue
-        f = int(rng.choice(candidates))
-        split = float(rng.uniform(sub[:, f].min(), sub[:, f].max()))
-        goes_left = sub[:, f] <= split
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[node] = (node, f, split, left, right, 0.0)
-        todo += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
-    return nodes
-
-
 def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed: int) -> DataFrame:
     """Up to ``subsample`` rows for each tree, without replacement."""
     def uniform(*parts) -> Column:
@@ -125,13 +99,10 @@ def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed
 
 @dataclass
 class Forest:
+    """Node arrays by tree and node number: feature, split, left, right, depth."""
     features: list[str]
     subsample: int
-    feature: np.ndarray
-    split: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    path: np.ndarray
+    nodes: dict[str, np.ndarray]
 
 
 def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subsample: int = SUBSAMPLE,
@@ -142,7 +113,7 @@ def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subs
     def grow(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = pdf.sort_values("_place")[columns].to_numpy(dtype=float)
-        nodes = _grow_tree(x, np.random.default_rng([seed, tree]), depth)
+        nodes = grow_tree(x, np.random.default_rng([seed, tree]), depth)
         return pd.DataFrame([(tree, *n) for n in nodes],
                             columns=["tree", "node", "feature", "split", "left", "right", "depth"])
 
@@ -154,34 +125,18 @@ def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subs
     grids["feature"][:] = -1
     for n, grid in grids.items():
         grid[nodes["tree"], nodes["node"]] = nodes[n]
-    return Forest(columns, size, grids["feature"], grids["split"], grids["left"], grids["right"], grids["depth"])
-
-
-def raw_score(forest: Forest, x: np.ndarray) -> np.ndarray:
-    """-2^(-mean path / c): -1 is most isolated, 0 least."""
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    for t in range(len(forest.feature)):
-        at = np.zeros(len(x), dtype=np.int32)
-        feature, split = forest.feature[t], forest.split[t]
-        left, right = forest.left[t], forest.right[t]
-        for _ in range(64):
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            step = np.where(x[rows, np.maximum(f, 0)] <= split[at], left[at], right[at])
-            at = np.where(inner, step, at)
-        total += forest.path[t][at]
-    norm = max(float(_expected_path([forest.subsample])[0]), 1e-12)
-    return -np.exp2(-(total / max(len(forest.feature), 1)) / norm)
+    return Forest(columns, size, grids)
 
 
 def score_rows(imputed: DataFrame, forest: Forest) -> DataFrame:
-    shared = imputed.sparkSession.sparkContext.broadcast(forest)
+    # At most trees * 511 nodes, whatever the size of the portfolio.
+    shared = imputed.sparkSession.sparkContext.broadcast(forest.nodes)
+    subsample = forest.subsample
 
     @F.pandas_udf(T.DoubleType())
     def isolation(*columns: pd.Series) -> pd.Series:
-        return pd.Series(raw_score(shared.value, np.column_stack([s.to_numpy(dtype=float) for s in columns])))
+        x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
+        return pd.Series(raw_score(shared.value, subsample, x))
 
     return imputed.withColumn("_raw", isolation(*[c(x) for x in forest.features]))
 
@@ -196,13 +151,13 @@ def ml_outliers(features: DataFrame, trees: int = TREES, subsample: int = SUBSAM
             "project_id", F.lit(False).alias("ml_anomaly"), F.lit(0.0).alias("ml_anomaly_score"),
             F.lit("").alias("ml_top_feature"), F.lit(None).cast("double").alias("ml_top_feature_z"),
             F.lit(False).alias("ml_signal_available")), False
-    imputed = materialize(impute(features, stats), "outlier-features")
+    imputed = materialize(spread(impute(features, stats), stats.rows), "outlier-features")
     forest = fit_forest(imputed, stats, trees, subsample, seed)
     scored = materialize(top_feature(score_rows(imputed, forest), stats), "outlier-scores")
     cut = exact_quantiles(scored, ["_raw"], contamination)["_raw"]
     low, high = scored.agg(F.min("_raw"), F.max("_raw")).first()
-    spread = (F.lit(0.0) if high - low < 1e-9
+    scaled = (F.lit(0.0) if high - low < 1e-9
               else round_even((F.lit(high) - c("_raw")) / F.lit(high - low) * F.lit(100.0), 2))
     return scored.select(
-        "project_id", (c("_raw") < F.lit(cut)).alias("ml_anomaly"), spread.alias("ml_anomaly_score"),
+        "project_id", (c("_raw") < F.lit(cut)).alias("ml_anomaly"), scaled.alias("ml_anomaly_score"),
         "ml_top_feature", "ml_top_feature_z", F.lit(True).alias("ml_signal_available")), True

@@ -32,3 +32,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/worksight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Give a small table with costly rows enough partitions for all cores.
+
+    File splits and adaptive coalescing go by bytes, which leaves a few
+    megabytes in one task.  A table with enough rows is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows >= cores * rows_per_task:
+        return df
+    return df.repartition(max(1, min(cores, -(-rows // 2_000))))
