@@ -172,9 +172,9 @@ def duplicate_risk(projects: DataFrame, doc_id: str = "project_id", text: Column
     alone, and the best partner is found per distinct text, so no pair of
     copies is ever formed."""
     members, groups, terms = _prepare(projects, doc_id, project_text() if text is None else text, stop_words)
-    pairs = similar_groups(terms, threshold)
-    sides = pairs.select(c("group_1").alias("group"), "similarity_score").unionByName(
-        pairs.select(c("group_2").alias("group"), "similarity_score"))
+    # One row per side from a single pass over the pairs.
+    sides = similar_groups(terms, threshold).select(
+        F.explode(F.array("group_1", "group_2")).alias("group"), "similarity_score")
     copies = groups.where(c("copies") > 1).select("group", F.lit(1.0).alias("similarity_score"))
     best = sides.unionByName(copies).groupBy("group").agg(F.max("similarity_score").alias("best"))
     match = F.coalesce(c("best"), F.lit(0.0))

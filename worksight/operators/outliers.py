@@ -145,15 +145,18 @@ def ml_outliers(features: DataFrame, trees: int = TREES, subsample: int = SUBSAM
                 contamination: float = CONTAMINATION, seed: int = SEED) -> tuple[DataFrame, bool]:
     """Outlier flag, 0-100 score and leading feature per project, and whether
     there was enough data to fit a model."""
-    stats = feature_stats(features)
+    # One pass over the portfolio; all later passes read five narrow columns.
+    table = materialize(features.select("project_id", *[
+        c(x).cast("double").alias(x) for x in OUTLIER_FEATURES]), "outlier-features")
+    stats = feature_stats(table)
     if not stats.usable:
-        return features.select(
+        return table.select(
             "project_id", F.lit(False).alias("ml_anomaly"), F.lit(0.0).alias("ml_anomaly_score"),
             F.lit("").alias("ml_top_feature"), F.lit(None).cast("double").alias("ml_top_feature_z"),
             F.lit(False).alias("ml_signal_available")), False
-    imputed = materialize(spread(impute(features, stats), stats.rows), "outlier-features")
+    imputed = impute(table, stats)
     forest = fit_forest(imputed, stats, trees, subsample, seed)
-    scored = materialize(top_feature(score_rows(imputed, forest), stats), "outlier-scores")
+    scored = materialize(top_feature(score_rows(spread(imputed, stats.rows), forest), stats), "outlier-scores")
     cut = exact_quantiles(scored, ["_raw"], contamination)["_raw"]
     low, high = scored.agg(F.min("_raw"), F.max("_raw")).first()
     scaled = (F.lit(0.0) if high - low < 1e-9

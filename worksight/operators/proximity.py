@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import MIN_ROWS_FOR_PAIRS, OVERLAP_KM
 from ..functions.columns import clean_double, round_even
 from ..functions.geo import forward_offsets, grid_cell, haversine_km
+from ..plans.materialize import materialize
 from ..plans.skew import ROWS_PER_TASK, salt_of, salts
 
 c = F.col
@@ -24,30 +25,39 @@ def located(projects: DataFrame, *keep: str) -> DataFrame:
 
 
 def sites(points: DataFrame, threshold_km: float) -> DataFrame:
-    """Distinct coordinates, the projects on each, and the grid cell."""
+    """Distinct coordinates, the projects on each, and the grid cell.
+
+    Written once: four narrow columns that the steps below read repeatedly.
+    """
     enough = points.agg(F.count("*")).scalar() >= MIN_ROWS_FOR_PAIRS
-    return (points.groupBy(*SITE).agg(F.count("*").alias("projects")).where(enough)
-            .withColumn("cell", grid_cell(c("latitude"), c("longitude"), threshold_km)))
+    places = (points.groupBy(*SITE).agg(F.count("*").alias("projects")).where(enough)
+              .withColumn("cell", grid_cell(c("latitude"), c("longitude"), threshold_km)))
+    return materialize(places, "sites")
 
 
 def near_sites(places: DataFrame, threshold_km: float = OVERLAP_KM,
                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Each unordered pair of different sites within the threshold, once."""
-    crowded = (places.groupBy("cell").agg(F.count("*").alias("n")).where(c("n") > rows_per_task))
-    home = places.join(crowded, "cell", "left").select(
-        "cell", F.explode(salts(c("n"), rows_per_task)).alias("salt"),
-        *[c(x).alias(f"{x}_2") for x in SITE], c("projects").alias("projects_2"))
     steps = F.array(*[F.lit(s) for s in forward_offsets(threshold_km)])
-    visitors = (places.withColumn("step", F.explode(steps)).withColumn("cell", c("cell") + c("step"))
-                .join(crowded, "cell", "left").select(
-                    "cell", "step", salt_of(c("n"), F.struct(*SITE), rows_per_task).alias("salt"),
-                    *[c(x).alias(f"{x}_1") for x in SITE], c("projects").alias("projects_1")))
+    visitors = places.withColumn("step", F.explode(steps)).withColumn("cell", c("cell") + c("step"))
+    home, keys = places, ["cell"]
+    sizes = places.groupBy("cell").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > rows_per_task:
+        # Some cells hold too many sites for one task.
+        crowded = sizes.where(c("n") > rows_per_task)
+        visitors = visitors.join(crowded, "cell", "left").withColumn(
+            "salt", salt_of(c("n"), F.struct(*SITE), rows_per_task))
+        home = home.join(crowded, "cell", "left").withColumn("salt", F.explode(salts(c("n"), rows_per_task)))
+        keys = ["cell", "salt"]
+    columns = [*SITE, "projects"]
+    visitors = visitors.select(*keys, "step", *[c(x).alias(f"{x}_1") for x in columns])
+    home = home.select(*keys, *[c(x).alias(f"{x}_2") for x in columns])
     one, two = F.struct("latitude_1", "longitude_1"), F.struct("latitude_2", "longitude_2")
     km = haversine_km(c("latitude_1"), c("longitude_1"), c("latitude_2"), c("longitude_2"))
-    return (visitors.join(home, ["cell", "salt"])
+    return (visitors.join(home, keys)
             .where((c("step") != 0) | (one < two))      # inside a cell: each pair once
             .withColumn("km", km).where(c("km") <= threshold_km)
-            .drop("cell", "salt", "step"))
+            .drop("step", *keys))
 
 
 def geo_pairs(projects: DataFrame, threshold_km: float = OVERLAP_KM, names: bool = True,
@@ -85,11 +95,12 @@ def geo_pairs(projects: DataFrame, threshold_km: float = OVERLAP_KM, names: bool
 
 def site_stats(places: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
     """Other projects in reach of a project on each site, and the nearest."""
-    pairs = near_sites(places, threshold_km)
-    sides = [pairs.select(*[c(f"{x}_{me}").alias(x) for x in SITE], c("km"), c(f"projects_{other}").alias("n"))
-             for me, other in (("1", "2"), ("2", "1"))]
+    # One row per side from a single pass over the pairs.
+    sides = F.array(*[F.struct(*[c(f"{x}_{me}").alias(x) for x in SITE], c("km"), c(f"projects_{other}").alias("n"))
+                      for me, other in (("1", "2"), ("2", "1"))])
+    near = near_sites(places, threshold_km).select(F.inline(sides))
     own = places.where(c("projects") > 1).select(*SITE, F.lit(0.0).alias("km"), (c("projects") - 1).alias("n"))
-    return sides[0].unionByName(sides[1]).unionByName(own).groupBy(*SITE).agg(
+    return near.unionByName(own).groupBy(*SITE).agg(
         round_even(F.min("km"), 3).alias("geo_nearest_km"), F.sum("n").alias("geo_overlap_count"))
 
 

@@ -17,6 +17,7 @@ from ..operators.proximity import geo_risk
 from ..operators.reports import citizen_risk
 from ..operators.rules import row_rules
 from ..sources.readers import Dataset
+from .materialize import materialize
 
 c = F.col
 ROW_SIGNALS = [f"{s}_{x}" for s in ("financial", "delay", "progress") for x in ("anomaly", "risk_score")]
@@ -32,6 +33,10 @@ class Assessment:
     risk: DataFrame
     availability: dict[str, bool]
 
+    def stored(self) -> "Assessment":
+        """Write the table once when several reports will read it."""
+        return Assessment(materialize(self.risk, "risk"), self.availability)
+
 
 def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = True) -> Assessment:
     """One row per project with all signals and the overall score."""

@@ -136,7 +136,8 @@ def q_isolation_forest(spark, sf):
 
 
 def q_module_top_k(spark, sf):
-    table = _alerts(spark, sf)
+    # ten reports read the same table
+    table = assess(B.dataset(spark, sf), B.as_of(), include_ml=False).stored().risk
     parts = []
     for signal in ("financial", "delay", "progress", "contractor", "document", "image", "inspection", "duplicate",
                    "geo", "citizen"):
@@ -272,7 +273,7 @@ QUERIES = {
     "progress_rules": _mk(_features, rules.progress_rules, cols(*_rule_columns("progress"))),
     # contractors
     "contractor_history": _mk(_features, contractors.contractor_history, lambda d: rounded(
-        d, 2, "average_completion", "average_delay_days", "total_utilized_amount")),
+        d, 4, "average_completion", "average_delay_days", "total_utilized_amount")),
     "contractor_to_project": _mk(_features, contractors.contractor_scores),
     "contractor_report": _mk(q_contractor_report),
     # evidence
@@ -447,7 +448,7 @@ join text_size a on a.g = g1 join text_size b on b.g = g2
 union all select g, g, copies, copies, 1e0 from text_size where copies > 1""")
 
 
-SCORE_ROUND = [_r("average_completion", 2), _r("average_delay_days", 2), _r("total_utilized_amount", 2)]
+SCORE_ROUND = [_r("average_completion", 4), _r("average_delay_days", 4), _r("total_utilized_amount", 4)]
 
 
 def _rolled(kind, flags, *more):
