@@ -38,34 +38,42 @@ def project_text(name: str = "project_name", kind: str = "project_type") -> Colu
 
 def text_members(docs: DataFrame, doc_id: str, text: Column,
                  stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> DataFrame:
-    """``(id, group, words)``: rows with equal ``group`` have equal vectors."""
+    """``(id, text_key, words)``: rows with equal ``text_key`` have equal vectors."""
     words = docs.select(c(doc_id).alias("id"), tokens(text, stop_words).alias("words"))
-    return words.select("id", F.md5(F.array_join("words", " ")).alias("group"), "words")
+    return words.select("id", F.md5(F.array_join("words", " ")).alias("text_key"), "words")
 
 
 def text_groups(members: DataFrame) -> DataFrame:
-    """One row per distinct text with its number of copies."""
-    return members.groupBy("group").agg(F.count("*").alias("copies"), F.any_value("words").alias("words"))
+    """One row per distinct text: its smallest id, which names the group, and
+    the number of copies."""
+    return members.groupBy("text_key").agg(
+        F.min("id").alias("group"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
 
 
 def tfidf_terms(groups: DataFrame, total: Column) -> DataFrame:
     """One row per group and term: weight in the normalised vector, how many
     groups hold the term, and the vector length that remains after it."""
+    # Joins and sorts compare the number first; word pairs share long beginnings.
     counted = (groups.select("group", "copies", F.explode(ngrams(c("words"))).alias("term"))
-               .groupBy("group", "term").agg(F.count("*").alias("tf"), F.first("copies").alias("copies")))
-    frequency = counted.groupBy("term").agg(F.sum("copies").alias("df"), F.count("*").alias("holders"))
+               .groupBy("group", "term").agg(F.count("*").alias("tf"), F.first("copies").alias("copies"))
+               .withColumn("hash", F.xxhash64("term")))
+    frequency = counted.groupBy("hash", "term").agg(F.sum("copies").alias("df"), F.count("*").alias("holders"))
+    # A term that one group alone holds is as frequent as that group has copies.
+    spread = frequency.where(c("holders") > 1)
     idf = F.ln((F.lit(1.0) + total) / (F.lit(1.0) + c("df"))) + F.lit(1.0)
-    weighted = counted.join(frequency, "term").withColumn("raw", c("tf") * idf)
+    weighted = (counted.join(spread, ["hash", "term"], "left")
+                .withColumns({"df": F.coalesce("df", "copies"), "holders": F.coalesce("holders", F.lit(1))})
+                .withColumn("raw", c("tf") * idf))
     # Inside one group, so over as many rows as a text has terms; from rare to
     # frequent, the same order in every vector.
-    walk = Window.partitionBy("group").orderBy("df", "term")
+    walk = Window.partitionBy("group").orderBy("df", "hash", "term")
     square = c("raw") * c("raw")
     sized = weighted.withColumns({
         "_all": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "_seen": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     left = F.greatest(c("_all") - c("_seen"), F.lit(0.0))
     return sized.select(
-        "group", "term", "tf", "df", "holders", (c("raw") / F.sqrt("_all")).alias("weight"),
+        "group", "hash", "term", "tf", "df", "holders", (c("raw") / F.sqrt("_all")).alias("weight"),
         F.sqrt(left / c("_all")).alias("rest"), F.sqrt((left + square) / c("_all")).alias("rest_with"))
 
 
@@ -73,11 +81,11 @@ def candidate_groups(shared: DataFrame, threshold: float, rows_per_task: int) ->
     """Pairs that can reach the threshold, from the rare part of each vector."""
     prefix = shared.where(c("rest_with") >= threshold - MARGIN)
     # A frequent term is spread over several tasks.
-    one = prefix.select("term", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
+    one = prefix.select("hash", "term", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
                         c("group").alias("group_1"), c("weight").alias("w1"), c("rest").alias("r1"))
-    two = prefix.select("term", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
+    two = prefix.select("hash", "term", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
                         c("group").alias("group_2"), c("weight").alias("w2"), c("rest").alias("r2"))
-    met = (one.join(two, ["term", "salt"]).where(c("group_1") < c("group_2"))
+    met = (one.join(two, ["hash", "term", "salt"]).where(c("group_1") < c("group_2"))
            .groupBy("group_1", "group_2").agg(
                F.sum(c("w1") * c("w2")).alias("got"), F.min("r1").alias("r1"), F.min("r2").alias("r2")))
     # Common terms not counted yet come after the last counted one (remaining
@@ -91,11 +99,11 @@ def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of distinct texts at or above the threshold: ``group_1 < group_2``."""
     shared = terms.where(c("holders") > 1)
-    full = shared.select("group", "term", "weight")
-    first = full.select(c("group").alias("group_1"), "term", c("weight").alias("w1"))
-    second = full.select(c("group").alias("group_2"), "term", c("weight").alias("w2"))
+    full = shared.select("group", "hash", "term", "weight")
+    first = full.select(c("group").alias("group_1"), "hash", "term", c("weight").alias("w1"))
+    second = full.select(c("group").alias("group_2"), "hash", "term", c("weight").alias("w2"))
     scored = (candidate_groups(shared, threshold, rows_per_task)
-              .join(first, "group_1").join(second, ["group_2", "term"])
+              .join(first, "group_1").join(second, ["group_2", "hash", "term"])
               .groupBy("group_1", "group_2").agg(F.sum(c("w1") * c("w2")).alias("cosine")))
     return scored.where(c("cosine") >= threshold).select(
         "group_1", "group_2", round_even(c("cosine"), 3).alias("similarity_score"))
@@ -103,12 +111,12 @@ def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
 
 def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Texts are split into words once; all later steps read the result.
-    members = materialize(text_members(docs, doc_id, text, stop_words), "words")
-    total = members.agg(F.count("*")).scalar()
-    groups = text_groups(members.where(F.size("words") > 0)).where(total >= MIN_ROWS_FOR_PAIRS)
+    words = materialize(text_members(docs, doc_id, text, stop_words), "words")
+    total = words.agg(F.count("*")).scalar()
+    groups = text_groups(words.where(F.size("words") > 0)).where(total >= MIN_ROWS_FOR_PAIRS)
     # A term that only one text holds counts for its length, then is done.
-    terms = materialize(tfidf_terms(groups, total).where(c("holders") > 1), "tfidf")
-    return members.select("id", "group"), groups.select("group", "copies"), terms
+    terms = materialize(tfidf_terms(groups, total).where(c("holders") > 1).drop("tf", "df"), "tfidf")
+    return words.select("id", "text_key"), groups.select("text_key", "group", "copies"), terms
 
 
 def similar_texts(docs: DataFrame, doc_id: str, text: Column, threshold: float = TEXT_SIMILARITY,
@@ -140,7 +148,7 @@ def duplicate_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column |
     """
     members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words)
     # Both joins meet all members of a group, so both are salted by its size.
-    sized = members.join(groups, "group")
+    sized = members.join(groups, "text_key")
     one = sized.select(c("group").alias("group_1"), c("id").alias(f"{doc_id}_1"),
                        salt_of(c("copies"), c("id"), rows_per_task).alias("salt_1"))
     two = sized.select(c("group").alias("group_2"), c("id").alias(f"{doc_id}_2"),
@@ -175,10 +183,12 @@ def duplicate_risk(projects: DataFrame, doc_id: str = "project_id", text: Column
     # One row per side from a single pass over the pairs.
     sides = similar_groups(terms, threshold).select(
         F.explode(F.array("group_1", "group_2")).alias("group"), "similarity_score")
-    copies = groups.where(c("copies") > 1).select("group", F.lit(1.0).alias("similarity_score"))
-    best = sides.unionByName(copies).groupBy("group").agg(F.max("similarity_score").alias("best"))
+    best = sides.groupBy("group").agg(F.max("similarity_score").alias("best"))
+    # by text: a copy scores 1.0, any other text its best partner
+    by_text = groups.join(best, "group", "left").select(
+        "text_key", F.when(c("copies") > 1, F.lit(1.0)).otherwise(c("best")).alias("best"))
     match = F.coalesce(c("best"), F.lit(0.0))
-    return members.join(best, "group", "left").select(
+    return members.join(by_text, "text_key", "left").select(
         c("id").alias(doc_id), (match > 0).alias("duplicate_anomaly"),
         round_even(F.least(match * 100, F.lit(100.0)), 2).alias("duplicate_risk_score"),
         match.alias("duplicate_match_score"))

@@ -79,19 +79,25 @@ NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right in
 
 
 def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed: int) -> DataFrame:
-    """Up to ``subsample`` rows for each tree, without replacement."""
-    def uniform(*parts) -> Column:
-        return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """Up to ``subsample`` rows for each tree, without replacement.
 
-    # A large table is first thinned to a pool several times the total sample.
-    pool_rows = 4 * trees * subsample
+    Every row names a few trees by hash, so that about twice as many rows as
+    needed apply to each tree; the tree takes those with the smallest hash.
+    """
+    wanted = 2 * trees * subsample
     pool = imputed
-    if rows > 2 * pool_rows:
-        pool = imputed.where(uniform("project_id", F.lit("pool")) < F.lit(pool_rows / rows))
-        rows = pool_rows
-    share = min(1.0, (2.0 * subsample + 64) / rows)
-    each = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform("project_id", t) < F.lit(share))
-    # About 2 * subsample rows per tree reach this window.
+    if rows > 4 * wanted:
+        # A large table is thinned first; one hash per row.
+        share = 2 * wanted / rows
+        place = F.pmod(F.xxhash64("project_id", F.lit(seed), F.lit("pool")), F.lit(1 << 40))
+        pool, rows = imputed.where(place < F.lit(int(share * (1 << 40)))), 2 * wanted
+    draws = -(-wanted // rows)
+    if draws >= trees // 2:
+        each = F.sequence(F.lit(0), F.lit(trees - 1))
+    else:
+        each = F.array_distinct(F.array(*[
+            F.pmod(F.xxhash64("project_id", F.lit(seed), F.lit(j)), F.lit(trees)).cast("int") for j in range(draws)]))
+    # A bounded number of rows, about 2 * subsample, reaches each window.
     order = Window.partitionBy("tree").orderBy(F.xxhash64("project_id", "tree", F.lit(seed)), "project_id")
     return (pool.withColumn("tree", F.explode(each))
             .withColumn("_place", F.row_number().over(order)).where(c("_place") <= subsample))

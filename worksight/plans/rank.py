@@ -10,10 +10,13 @@ def global_rank(df: DataFrame, order: list[Column], column: str, partitions: int
 
     The order must be total (end it with a unique key).  Range partitioning
     puts the partitions themselves in order; each task numbers its own rows,
-    and the sizes of the earlier partitions shift them.  The numbered rows are
-    written once, because range boundaries come from a sample: a second
-    evaluation could draw other boundaries and break the numbering.
+    and the sizes of the earlier partitions shift them.
+
+    Range boundaries come from a sample of the input.  The input is written
+    first, so that sampling does not compute it a second time, and so are the
+    numbered rows: other boundaries in a second run would break the numbering.
     """
+    df = materialize(df, "to-rank")
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     numbered = ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     # The upper bits hold the partition, the lower 33 the position inside it.

@@ -100,7 +100,7 @@ def q_tfidf_terms(spark, sf):
     members = duplicates.text_members(B.projects(spark, sf), "project_id", duplicates.project_text())
     groups = duplicates.text_groups(members.where(F.size("words") > 0))
     terms = duplicates.tfidf_terms(groups, members.agg(F.count("*")).scalar())
-    return rounded(terms.select("group", "term", "tf", "df", "weight"), 6, "weight")
+    return rounded(terms.select(c("group").alias("project_id"), "term", "tf", "df", "weight"), 6, "weight")
 
 
 def q_dup_pairs(spark, sf):
@@ -439,13 +439,14 @@ def _records():
 
 def _pairs_by_group():
     return compose(f"""
-select g1 as group_1, g2 as group_2, a.copies as copies_1, b.copies as copies_2, similarity_score
-from (select least(x.g, y.g) as g1, greatest(x.g, y.g) as g2, {even('s', 3)} as similarity_score
-      from doc_sim join text_group x on x.id = id_1 join text_group y on y.id = id_2
-      join text_size sx on sx.g = x.g join text_size sy on sy.g = y.g
-      where x.g <> y.g and sx.first_id = x.id and sy.first_id = y.id) t
-join text_size a on a.g = g1 join text_size b on b.g = g2
-union all select g, g, copies, copies, 1e0 from text_size where copies > 1""")
+select least(sx.first_id, sy.first_id) as group_1, greatest(sx.first_id, sy.first_id) as group_2,
+       case when sx.first_id < sy.first_id then sx.copies else sy.copies end as copies_1,
+       case when sx.first_id < sy.first_id then sy.copies else sx.copies end as copies_2,
+       {even('s', 3)} as similarity_score
+from doc_sim join text_group x on x.id = id_1 join text_group y on y.id = id_2
+join text_size sx on sx.g = x.g join text_size sy on sy.g = y.g
+where x.g <> y.g and sx.first_id = x.id and sy.first_id = y.id
+union all select first_id, first_id, copies, copies, 1e0 from text_size where copies > 1""")
 
 
 SCORE_ROUND = [_r("average_completion", 4), _r("average_delay_days", 4), _r("total_utilized_amount", 4)]
@@ -494,7 +495,8 @@ ORACLE = {
     "dup_text_groups": _pairs_by_group(),
     "dup_project_risk": _sel(["project_id", "duplicate_anomaly", "duplicate_risk_score", "duplicate_match_score"],
                              "dup_best"),
-    "tfidf_terms": _sel(['md5(id) as "group"', "term", "tf", "df", f"{even('w', 6)} as weight"], "name_vec"),
+    "tfidf_terms": _sel(["(select min(project_id) from name_words w where array_to_string(w.words, ' ') = v.id) "
+                         "as project_id", "term", "tf", "df", f"{even('w', 6)} as weight"], "name_vec v"),
     "feature_gate": _sel(["count(*) as rows", *[f"count({x}) as {x}" for x in K.OUTLIER_FEATURES]], "features"),
     "median_impute": compose("select project_id, " + ", ".join(
         f"{even(sql, 6)} as {x}" for x, sql in MEDIAN_SQL.items()) + " from features"),
