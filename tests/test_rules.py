@@ -1,0 +1,105 @@
+import pytest
+from pyspark.sql import functions as F
+
+from worksight.functions import clean_double, floor_days, holds, points, round_even
+from worksight.operators.contractors import contractor_history, contractor_scores
+from worksight.operators.features import add_features
+from worksight.operators.rules import row_rules
+
+
+def as_of():
+    return F.lit("2022-01-01").cast("date")
+
+
+def score(make_projects, signal, **columns):
+    row = row_rules(add_features(make_projects(columns), as_of())).first()
+    return row[f"{signal}_anomaly"], row[f"{signal}_risk_score"]
+
+
+@pytest.mark.parametrize("columns, want", [
+    (dict(sanctioned_amount=100.0, utilized_amount=100.0), (False, 15.0)),       # 100 % > 95 without flag
+    (dict(sanctioned_amount=100.0, utilized_amount=95.0), (False, 0.0)),
+    (dict(sanctioned_amount=100.0, utilized_amount=101.0), (True, 55.0)),
+    (dict(sanctioned_amount=100.0, released_amount=98.9), (False, 0.0)),
+    (dict(sanctioned_amount=100.0, released_amount=99.0), (True, 40.0)),
+    (dict(sanctioned_amount=100.0, released_amount=101.0), (True, 70.0)),
+    (dict(sanctioned_amount=0.0, released_amount=1.0), (True, 70.0)),            # infinite share
+    (dict(sanctioned_amount=0.0, released_amount=0.0), (False, 0.0)),
+    (dict(financial_progress_ratio=0.5, completion_percentage=20.0), (False, 0.0)),
+    (dict(financial_progress_ratio=0.5, completion_percentage=19.0), (True, 25.0)),
+    (dict(utilized_amount=0.0, completion_percentage=1.0), (True, 20.0)),
+    (dict(utilized_amount=0.0, completion_percentage=0.0), (False, 0.0)),
+    (dict(sanctioned_amount=1.0, released_amount=2.0, utilized_amount=2.0, completion_percentage=0.0,
+          financial_progress_ratio=2.0), (True, 100.0)),                         # 150 points, cut at 100
+    (dict(), (False, 0.0)),
+    (dict(sanctioned_amount=float("nan"), utilized_amount=1.0), (False, 0.0)),
+    (dict(sanctioned_amount=1.0, utilized_amount=float("nan")), (False, 0.0)),
+    (dict(sanctioned_amount=1.0, utilized_amount=float("inf")), (False, 0.0)),
+])
+def test_financial(make_projects, columns, want):
+    assert score(make_projects, "financial", **columns) == want
+
+
+@pytest.mark.parametrize("status, start, due, done, want", [
+    ("Delayed", None, None, None, (True, 60.0)),
+    ("DELAYED", "2020-01-01", "2020-04-01", "2020-06-30", (True, 70.0)),          # 90 days late, overrun
+    ("delayed", "2020-01-01", "2021-01-01", "2021-04-02", (True, 75.0)),          # 91 days
+    ("delayed", "2010-01-01", "2021-01-01", "2021-07-01", (True, 90.0)),          # 181 days
+    ("delayed", "2020-12-01", "2021-01-01", None, (True, 100.0)),
+    (" delayed", "2020-12-01", "2021-01-01", None, (False, 0.0)),                 # not trimmed
+    ("Completed", "2020-12-01", "2021-01-01", None, (False, 0.0)),
+    (None, "2020-12-01", "2021-01-01", None, (False, 0.0)),
+])
+def test_delay(make_projects, status, start, due, done, want):
+    assert score(make_projects, "delay", status=status, start_date=start, expected_completion_date=due,
+                 actual_completion_date=done) == want
+
+
+@pytest.mark.parametrize("ratio, done, sanctioned, utilized, want", [
+    (0.5, 30.0, None, None, (False, 0.0)),
+    (0.5, 29.0, None, None, (True, 40.0)),
+    (0.5, 9.0, None, None, (True, 65.0)),
+    (0.6, 9.0, None, None, (True, 85.0)),
+    (0.0, 50.0, None, None, (False, 0.0)),
+    (0.0, 51.0, None, None, (True, 20.0)),
+    (None, 49.0, 100.0, 81.0, (True, 30.0)),
+    (None, 50.0, 100.0, 81.0, (False, 0.0)),
+    (None, 49.0, 100.0, 80.0, (False, 0.0)),
+    (1.0, 0.0, 100.0, 100.0, (True, 100.0)),
+])
+def test_progress(make_projects, ratio, done, sanctioned, utilized, want):
+    assert score(make_projects, "progress", financial_progress_ratio=ratio, completion_percentage=done,
+                 sanctioned_amount=sanctioned, utilized_amount=utilized) == want
+
+
+def test_features(make_projects):
+    r = add_features(make_projects(dict(
+        sanctioned_amount=0.0, utilized_amount=5.0, start_date="2021-01-01 12:00:00",
+        expected_completion_date="2021-01-11", actual_completion_date="2021-01-05")), as_of()).first()
+    assert r.utilization_percentage is None and r.missing_actual_completion is False
+    assert (r.planned_duration_days, r.actual_duration_days, r.delay_days) == (9, 3, 0)
+    r = add_features(make_projects(dict(start_date="2021-12-30")), as_of()).first()
+    assert (r.actual_duration_days, r.delay_days, r.missing_actual_completion) == (2, None, True)
+
+
+def test_column_helpers(spark):
+    df = spark.sql("select double('NaN') as n, 0.125D as h, timestamp'2020-01-01 12:00:00' as a, "
+                   "timestamp'2020-01-02 06:00:00' as b")
+    r = df.select(clean_double(F.col("n")), round_even(F.col("h"), 2), floor_days(F.col("b"), F.col("a")),
+                  floor_days(F.col("a"), F.col("b")), holds(F.lit(None) > 1),
+                  points((F.lit(True), 70), (F.lit(None).cast("boolean"), 9), (F.lit(True), 40))).first()
+    assert tuple(r) == (None, 0.12, 0, -1, False, 100.0)
+
+
+def test_contractors(make_projects):
+    late = [dict(contractor=" A ", status="Delayed", completion_percentage=10.0) for _ in range(5)]
+    rows = late + [dict(contractor="A", completion_percentage=95.0, financial_progress_ratio=0.1)] * 2 + [
+        dict(contractor=None), dict(contractor="B", status="delayed", completion_percentage=50.0)]
+    features = add_features(make_projects(*rows), as_of())
+    got = {r.contractor: r for r in contractor_history(features).collect()}
+    a = got["A"]
+    assert (a.total_projects, a.delayed_projects, a.progress_mismatch_projects) == (7, 5, 2)
+    assert (a.contractor_risk_score, a.risk_level, a.total_utilized_amount) == (95.0, "HIGH", 0.0)
+    assert got["B"].contractor_risk_score == 0.0 and got["Unknown"].total_projects == 1
+    mapped = contractor_scores(features).groupBy("contractor_risk_score", "contractor_anomaly").count().collect()
+    assert sorted(map(tuple, mapped)) == [(0.0, False, 2), (95.0, True, 7)]

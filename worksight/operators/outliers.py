@@ -95,8 +95,8 @@ def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed
     if draws >= trees // 2:
         each = F.sequence(F.lit(0), F.lit(trees - 1))
     else:
-        each = F.array_distinct(F.array(*[
-            F.pmod(F.xxhash64("project_id", F.lit(seed), F.lit(j)), F.lit(trees)).cast("int") for j in range(draws)]))
+        each = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: F.pmod(
+            F.xxhash64("project_id", F.lit(seed), j), F.lit(trees)).cast("int")))
     # A bounded number of rows, about 2 * subsample, reaches each window.
     order = Window.partitionBy("tree").orderBy(F.xxhash64("project_id", "tree", F.lit(seed)), "project_id")
     return (pool.withColumn("tree", F.explode(each))
