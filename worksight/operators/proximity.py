@@ -112,9 +112,11 @@ def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
     closeness = F.greatest((limit - c("geo_nearest_km")) / limit, F.lit(0.0))
     bonus = F.least(c("geo_overlap_count"), F.lit(3)) * 10
     score = round_even(F.least(closeness * 70 + bonus, F.lit(100.0)), 2)
+    overlaps = c("geo_overlap_count").isNotNull()
+    # least() and greatest() skip NULL, so a project without overlap is set apart
     return projects.select("project_id").join(by_project, "project_id", "left").select(
-        "project_id", c("geo_overlap_count").isNotNull().alias("geo_anomaly"),
-        F.coalesce(score, F.lit(0.0)).alias("geo_risk_score"),
+        "project_id", overlaps.alias("geo_anomaly"),
+        F.when(overlaps, score).otherwise(F.lit(0.0)).alias("geo_risk_score"),
         F.coalesce(c("geo_overlap_count"), F.lit(0)).alias("geo_overlap_count"), "geo_nearest_km")
 
 

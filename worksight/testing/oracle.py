@@ -181,7 +181,8 @@ from located a join located b on b.latitude between a.latitude - 0.0028e0 and a.
                  "(select id_1 as id, km from near union all select id_2, km from near) t group by id",
     "geo_best": f"""
 select p.project_id, g.n is not null as geo_anomaly,
-       coalesce({even("least(greatest((0.3e0 - nearest) / 0.3e0, 0e0) * 70 + least(n, 3) * 10, 1e2)", 2)}, 0e0)
+       case when g.n is null then 0e0 else
+         {even("least(greatest((0.3e0 - nearest) / 0.3e0, 0e0) * 70 + least(n, 3) * 10, 1e2)", 2)} end
          as geo_risk_score, coalesce(g.n, 0) as geo_overlap_count, nearest as geo_nearest_km
 from projects p left join geo_stats g on g.id = p.project_id""",
     "name_words": f"select project_id, {words_of("project_name || ' ' || project_type")} as words from projects",
