@@ -83,3 +83,16 @@ def test_no_file_flags_nothing(make_projects):
         rows = check(projects, None).collect()
         assert len(rows) == 2
         assert not any(r[f"{name}_anomaly"] or r[f"{name}_signal_available"] or r[f"{name}_risk_score"] for r in rows)
+
+
+def test_a_third_of_all_documents_on_one_project(spark, make_projects):
+    projects = make_projects(*[dict(contractor="A", utilized_amount=1.0) for _ in range(50)])
+    raw = spark.range(3000).selectExpr(
+        "id as document_id", "case when id % 3 = 0 then 'P0' else concat('P', id % 50) end as project_id",
+        "case when id = 999 then 5.0D else 1.0D end as amount", "'A' as contractor")
+    documents = normalize(raw, DOCUMENTS)[0]
+    plain = sorted(map(tuple, E.document_rollup(projects, documents).collect()))
+    assert plain == sorted(map(tuple, E.document_rollup(projects, documents, rows_per_task=40).collect()))
+    assert [r[0] for r in plain if r[1]] == ["P0"]
+    rows = E.verify_documents(projects, documents, rows_per_task=40)
+    assert rows.count() == 3000 and rows.where("amount_mismatch").count() == 1

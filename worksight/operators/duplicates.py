@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import ENGLISH_STOP_WORDS, MIN_ROWS_FOR_PAIRS, TEXT_SIMILARITY
 from ..functions.columns import round_even
 from ..functions.text import ngrams, tokens
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, spread
 from ..plans.skew import ROWS_PER_TASK, salt_of, salts
 
 c = F.col
@@ -50,30 +50,41 @@ def text_groups(members: DataFrame) -> DataFrame:
         F.min("id").alias("group"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
 
 
-def tfidf_terms(groups: DataFrame, total: Column) -> DataFrame:
+def count_terms(groups: DataFrame) -> DataFrame:
+    """Occurrences of each term in each group."""
+    # Grouping by text_key as well keeps the counts where the groups already are.
+    return (groups.select("text_key", "group", "copies", F.explode(ngrams(c("words"))).alias("term"))
+            .groupBy("text_key", "group", "copies", "term").agg(F.count("*").alias("tf"))
+            .drop("text_key").withColumn("hash", F.xxhash64("term")))
+
+
+def shared_terms(counted: DataFrame) -> DataFrame:
+    """Terms of more than one group, numbered.  Written once: the pair joins
+    then carry a number in place of the term."""
+    # The hash only speeds up comparisons; word pairs share long beginnings.
+    return materialize(
+        counted.groupBy("hash", "term").agg(F.sum("copies").alias("df"), F.count("*").alias("holders"))
+        .where(c("holders") > 1).withColumn("term_id", F.monotonically_increasing_id()), "shared-terms")
+
+
+def tfidf_terms(counted: DataFrame, shared: DataFrame, total: Column) -> DataFrame:
     """One row per group and term: weight in the normalised vector, how many
     groups hold the term, and the vector length that remains after it."""
-    # Joins and sorts compare the number first; word pairs share long beginnings.
-    counted = (groups.select("group", "copies", F.explode(ngrams(c("words"))).alias("term"))
-               .groupBy("group", "term").agg(F.count("*").alias("tf"), F.first("copies").alias("copies"))
-               .withColumn("hash", F.xxhash64("term")))
-    frequency = counted.groupBy("hash", "term").agg(F.sum("copies").alias("df"), F.count("*").alias("holders"))
     # A term that one group alone holds is as frequent as that group has copies.
-    spread = frequency.where(c("holders") > 1)
     idf = F.ln((F.lit(1.0) + total) / (F.lit(1.0) + c("df"))) + F.lit(1.0)
-    weighted = (counted.join(spread, ["hash", "term"], "left")
+    weighted = (counted.join(shared, ["hash", "term"], "left")
                 .withColumns({"df": F.coalesce("df", "copies"), "holders": F.coalesce("holders", F.lit(1))})
                 .withColumn("raw", c("tf") * idf))
     # Inside one group, so over as many rows as a text has terms; from rare to
-    # frequent, the same order in every vector.
-    walk = Window.partitionBy("group").orderBy("df", "hash", "term")
+    # frequent, with shared terms in the same order in every vector.
+    walk = Window.partitionBy("group").orderBy("df", "term_id")
     square = c("raw") * c("raw")
     sized = weighted.withColumns({
         "_all": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "_seen": F.sum(square).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
     left = F.greatest(c("_all") - c("_seen"), F.lit(0.0))
     return sized.select(
-        "group", "hash", "term", "tf", "df", "holders", (c("raw") / F.sqrt("_all")).alias("weight"),
+        "group", "term_id", "term", "tf", "df", "holders", (c("raw") / F.sqrt("_all")).alias("weight"),
         F.sqrt(left / c("_all")).alias("rest"), F.sqrt((left + square) / c("_all")).alias("rest_with"))
 
 
@@ -81,11 +92,11 @@ def candidate_groups(shared: DataFrame, threshold: float, rows_per_task: int) ->
     """Pairs that can reach the threshold, from the rare part of each vector."""
     prefix = shared.where(c("rest_with") >= threshold - MARGIN)
     # A frequent term is spread over several tasks.
-    one = prefix.select("hash", "term", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
+    one = prefix.select("term_id", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
                         c("group").alias("group_1"), c("weight").alias("w1"), c("rest").alias("r1"))
-    two = prefix.select("hash", "term", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
+    two = prefix.select("term_id", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
                         c("group").alias("group_2"), c("weight").alias("w2"), c("rest").alias("r2"))
-    met = (one.join(two, ["hash", "term", "salt"]).where(c("group_1") < c("group_2"))
+    met = (one.join(two, ["term_id", "salt"]).where(c("group_1") < c("group_2"))
            .groupBy("group_1", "group_2").agg(
                F.sum(c("w1") * c("w2")).alias("got"), F.min("r1").alias("r1"), F.min("r2").alias("r2")))
     # Common terms not counted yet come after the last counted one (remaining
@@ -99,23 +110,27 @@ def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of distinct texts at or above the threshold: ``group_1 < group_2``."""
     shared = terms.where(c("holders") > 1)
-    full = shared.select("group", "hash", "term", "weight")
-    first = full.select(c("group").alias("group_1"), "hash", "term", c("weight").alias("w1"))
-    second = full.select(c("group").alias("group_2"), "hash", "term", c("weight").alias("w2"))
+    full = shared.select("group", "term_id", "weight")
+    first = full.select(c("group").alias("group_1"), "term_id", c("weight").alias("w1"))
+    second = full.select(c("group").alias("group_2"), "term_id", c("weight").alias("w2"))
     scored = (candidate_groups(shared, threshold, rows_per_task)
-              .join(first, "group_1").join(second, ["group_2", "hash", "term"])
+              .join(first, "group_1").join(second, ["group_2", "term_id"])
               .groupBy("group_1", "group_2").agg(F.sum(c("w1") * c("w2")).alias("cosine")))
     return scored.where(c("cosine") >= threshold).select(
         "group_1", "group_2", round_even(c("cosine"), 3).alias("similarity_score"))
 
 
 def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = docs.count()
     # Texts are split into words once; all later steps read the result.
-    words = materialize(text_members(docs, doc_id, text, stop_words), "words")
-    total = words.agg(F.count("*")).scalar()
-    groups = text_groups(words.where(F.size("words") > 0)).where(total >= MIN_ROWS_FOR_PAIRS)
+    words = materialize(text_members(spread(docs, rows), doc_id, text, stop_words), "words")
+    enough = F.lit(rows >= MIN_ROWS_FOR_PAIRS)
+    total = F.lit(rows)
+    groups = text_groups(words.where((F.size("words") > 0) & enough))
     # A term that only one text holds counts for its length, then is done.
-    terms = materialize(tfidf_terms(groups, total).where(c("holders") > 1).drop("tf", "df"), "tfidf")
+    counted = count_terms(groups)
+    terms = materialize(tfidf_terms(counted, shared_terms(counted), total).where(c("holders") > 1).select(
+        "group", "term_id", "holders", "weight", "rest", "rest_with"), "tfidf")
     return words.select("id", "text_key"), groups.select("text_key", "group", "copies"), terms
 
 

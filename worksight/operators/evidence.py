@@ -6,13 +6,14 @@ project for the overall score: highest score, any flag.
 
 The evidence table may be very uneven (one project with a third of all
 files), so projects are never the left side of an outer join against it:
-matched rows come from an inner join, which adaptive execution can split on
-either side, and the rollup combines inside each task before its shuffle.
+matched rows come from an inner join that salts crowded projects, and the
+rollup combines inside each task before its shuffle.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import any_of, holds, normal_text, points
+from ..plans.skew import LOOKUP_ROWS_PER_TASK, lookup_join
 
 c = F.col
 
@@ -50,12 +51,12 @@ def _rollup(checked: DataFrame, names, prefix, extra: list[Column] = ()) -> Data
 
 # --- documents --------------------------------------------------------------
 
-def _check_documents(projects: DataFrame, documents: DataFrame) -> DataFrame:
+def _check_documents(projects: DataFrame, documents: DataFrame, rows_per_task: int) -> DataFrame:
     files = documents.select(
         "project_id", "document_id", "amount", c("contractor").alias("document_contractor"),
         c("location").alias("document_location"))
-    rows = projects.select("project_id", "project_name", "district", "contractor", "utilized_amount").join(
-        files, "project_id")
+    known = projects.select("project_id", "project_name", "district", "contractor", "utilized_amount")
+    rows = lookup_join(files, known, "project_id", "document_id", rows_per_task)
     district, location = normal_text(c("district")), normal_text(c("document_location"))
     exists = c("document_id").isNotNull()
     rows = rows.withColumns({
@@ -74,15 +75,17 @@ def _check_documents(projects: DataFrame, documents: DataFrame) -> DataFrame:
     })
 
 
-def verify_documents(projects: DataFrame, documents: DataFrame | None) -> DataFrame:
+def verify_documents(projects: DataFrame, documents: DataFrame | None,
+                     rows_per_task: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
     if documents is None:
         return _unavailable(projects, DOCUMENT_FLAGS, "document")
-    return _with_absent(_check_documents(projects, documents), projects, documents,
+    return _with_absent(_check_documents(projects, documents, rows_per_task), projects, documents,
                         _flags({"missing_document"}, DOCUMENT_FLAGS, "document", 30))
 
 
-def document_rollup(projects: DataFrame, documents: DataFrame) -> DataFrame:
-    return _rollup(_check_documents(projects, documents), DOCUMENT_FLAGS, "document")
+def document_rollup(projects: DataFrame, documents: DataFrame,
+                    rows_per_task: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
+    return _rollup(_check_documents(projects, documents, rows_per_task), DOCUMENT_FLAGS, "document")
 
 
 # --- images -----------------------------------------------------------------
@@ -123,7 +126,8 @@ def _check_images(images: DataFrame, count_empty: bool) -> DataFrame:
 def verify_images(projects: DataFrame, images: DataFrame | None, count_empty: bool = False) -> DataFrame:
     if images is None:
         return _unavailable(projects, IMAGE_FLAGS, "image")
-    checked = projects.select("project_id", "project_name").join(_check_images(images, count_empty), "project_id")
+    checked = lookup_join(_check_images(images, count_empty), projects.select("project_id", "project_name"),
+                          "project_id", "image_id")
     fixed = _flags({"missing_image"}, IMAGE_FLAGS, "image", 30)
     return _with_absent(checked, projects, images, {**fixed, "similarity_score": F.lit(0.0)})
 
@@ -156,7 +160,8 @@ def _check_inspections(inspections: DataFrame) -> DataFrame:
 def analyze_inspections(projects: DataFrame, inspections: DataFrame | None) -> DataFrame:
     if inspections is None:
         return _unavailable(projects, INSPECTION_FLAGS, "inspection").withColumn("inspection_score", F.lit(0.0))
-    checked = projects.select("project_id", "project_name").join(_check_inspections(inspections), "project_id")
+    checked = lookup_join(_check_inspections(inspections), projects.select("project_id", "project_name"),
+                          "project_id", "inspection_id")
     return _with_absent(checked, projects, inspections,
                         _flags({"missing_inspection"}, INSPECTION_FLAGS, "inspection", 30))
 

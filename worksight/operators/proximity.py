@@ -12,7 +12,7 @@ from ..constants import MIN_ROWS_FOR_PAIRS, OVERLAP_KM
 from ..functions.columns import clean_double, round_even
 from ..functions.geo import forward_offsets, grid_cell, haversine_km
 from ..plans.materialize import materialize
-from ..plans.skew import ROWS_PER_TASK, salt_of, salts
+from ..plans.skew import ROWS_PER_TASK, crowded_keys, salt_of, salts
 
 c = F.col
 SITE = ["latitude", "longitude"]
@@ -41,10 +41,9 @@ def near_sites(places: DataFrame, threshold_km: float = OVERLAP_KM,
     steps = F.array(*[F.lit(s) for s in forward_offsets(threshold_km)])
     visitors = places.withColumn("step", F.explode(steps)).withColumn("cell", c("cell") + c("step"))
     home, keys = places, ["cell"]
-    sizes = places.groupBy("cell").agg(F.count("*").alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > rows_per_task:
+    crowded = crowded_keys(places, ["cell"], rows_per_task)
+    if crowded is not None:
         # Some cells hold too many sites for one task.
-        crowded = sizes.where(c("n") > rows_per_task)
         visitors = visitors.join(crowded, "cell", "left").withColumn(
             "salt", salt_of(c("n"), F.struct(*SITE), rows_per_task))
         home = home.join(crowded, "cell", "left").withColumn("salt", F.explode(salts(c("n"), rows_per_task)))
@@ -104,19 +103,24 @@ def site_stats(places: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
         round_even(F.min("km"), 3).alias("geo_nearest_km"), F.sum("n").alias("geo_overlap_count"))
 
 
-def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
+def geo_hits(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
+    """Score of the projects that overlap with another one."""
     points = located(projects)
     stats = site_stats(sites(points, threshold_km), threshold_km)
-    by_project = points.join(stats, SITE).select("project_id", "geo_nearest_km", "geo_overlap_count")
     limit = F.lit(float(threshold_km))
     closeness = F.greatest((limit - c("geo_nearest_km")) / limit, F.lit(0.0))
     bonus = F.least(c("geo_overlap_count"), F.lit(3)) * 10
-    score = round_even(F.least(closeness * 70 + bonus, F.lit(100.0)), 2)
-    overlaps = c("geo_overlap_count").isNotNull()
-    # least() and greatest() skip NULL, so a project without overlap is set apart
-    return projects.select("project_id").join(by_project, "project_id", "left").select(
-        "project_id", overlaps.alias("geo_anomaly"),
-        F.when(overlaps, score).otherwise(F.lit(0.0)).alias("geo_risk_score"),
+    return points.join(stats, SITE).select(
+        "project_id", F.lit(True).alias("geo_anomaly"),
+        round_even(F.least(closeness * 70 + bonus, F.lit(100.0)), 2).alias("geo_risk_score"),
+        "geo_overlap_count", "geo_nearest_km")
+
+
+def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
+    """The same for every project, 0 without overlap."""
+    return projects.select("project_id").join(geo_hits(projects, threshold_km), "project_id", "left").select(
+        "project_id", F.coalesce(c("geo_anomaly"), F.lit(False)).alias("geo_anomaly"),
+        F.coalesce(c("geo_risk_score"), F.lit(0.0)).alias("geo_risk_score"),
         F.coalesce(c("geo_overlap_count"), F.lit(0)).alias("geo_overlap_count"), "geo_nearest_km")
 
 

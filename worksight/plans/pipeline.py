@@ -13,7 +13,7 @@ from ..operators.explain import explain
 from ..operators.features import add_features
 from ..operators.fusion import BASE_COLUMNS, fuse, join_signals, signal_availability
 from ..operators.outliers import ml_outliers
-from ..operators.proximity import geo_risk
+from ..operators.proximity import geo_hits
 from ..operators.reports import citizen_risk
 from ..operators.rules import row_rules
 from ..sources.readers import Dataset
@@ -54,7 +54,7 @@ def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = T
     if data.availability.get("project_name"):
         signals.append(duplicate_risk(data.projects).drop("duplicate_match_score"))
     if data.availability.get("latitude") and data.availability.get("longitude"):
-        signals.append(geo_risk(data.projects).drop("geo_nearest_km"))
+        signals.append(geo_hits(data.projects).drop("geo_nearest_km"))
     if data.citizen_reports is not None:
         signals.append(citizen_risk(data.citizen_reports))
 

@@ -9,9 +9,11 @@ task meets at most about ``rows_per_task`` rows of the salted side.  Keys
 below that size keep the single salt 0 and cost nothing.
 """
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 20_000          # joins whose output is a product of both sides
+LOOKUP_ROWS_PER_TASK = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def _count(n: Column, rows_per_task: int) -> Column:
@@ -26,3 +28,35 @@ def salt_of(n: Column, row_key: Column, rows_per_task: int = ROWS_PER_TASK) -> C
 def salts(n: Column, rows_per_task: int = ROWS_PER_TASK) -> Column:
     """Array of all salts, to be exploded on the repeated side."""
     return F.sequence(F.lit(0), F.greatest(_count(n, rows_per_task), F.lit(1)) - 1)
+
+
+def crowded_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows and their size ``n``; None if there
+    are none, which is the usual case.
+
+    At most ``rows / limit`` keys qualify.  Up to ``BROADCAST_KEYS`` of them
+    are sent to all tasks; beyond that the join is left to shuffle.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    found = sizes.limit(BROADCAST_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) > BROADCAST_KEYS:
+        return sizes
+    return F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
+
+
+def lookup_join(facts: DataFrame, table: DataFrame, key: str, row_key: str,
+                limit: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
+    """Inner join of facts to a table with one row per key.
+
+    Adaptive execution does not split a crowded key when the next step groups
+    by the same key, because the split would need one more shuffle.  Crowded
+    keys are salted here, so the grouping combines in many tasks first.
+    """
+    crowded = crowded_keys(facts, [key], limit)
+    if crowded is None:
+        return facts.join(table, key)
+    spread = facts.join(crowded, key, "left").withColumn("_salt", salt_of(F.col("n"), F.col(row_key), limit)).drop("n")
+    copies = table.join(crowded, key, "left").withColumn("_salt", F.explode(salts(F.col("n"), limit))).drop("n")
+    return spread.join(copies, [key, "_salt"]).drop("_salt")

@@ -99,7 +99,8 @@ def projects_out(df):
 def q_tfidf_terms(spark, sf):
     members = duplicates.text_members(B.projects(spark, sf), "project_id", duplicates.project_text())
     groups = duplicates.text_groups(members.where(F.size("words") > 0))
-    terms = duplicates.tfidf_terms(groups, members.agg(F.count("*")).scalar())
+    counted = duplicates.count_terms(groups)
+    terms = duplicates.tfidf_terms(counted, duplicates.shared_terms(counted), members.agg(F.count("*")).scalar())
     return rounded(terms.select(c("group").alias("project_id"), "term", "tf", "df", "weight"), 6, "weight")
 
 
