@@ -7,7 +7,7 @@ from worksight import Dataset, assess, risk_fusion
 from worksight import constants as K
 from worksight.operators import alerts as A, insights as I
 from worksight.operators.explain import explain
-from worksight.operators.fusion import data_readiness, effective_weights, fuse, signal_availability
+from worksight.operators.fusion import data_inventory, data_readiness, effective_weights, fuse, signal_availability
 from worksight.sources import DOCUMENTS, normalize
 
 
@@ -166,3 +166,22 @@ def test_readiness(make_projects):
     assert len(rows) == 11 and rows["ml_anomaly"].available and not rows["ml_anomaly"].active
     assert not rows["document"].available and rows["document"].effective_weight == 0.0
     assert sum(r.effective_weight for r in rows.values()) == pytest.approx(1.0)
+
+
+def test_inventory(make_projects):
+    rows = {(r.kind, r.name): r.supplied for r in data_inventory(Dataset(make_projects({}))).collect()}
+    assert rows["file", "projects"] and not rows["file", "images"] and rows["column", "latitude"]
+
+
+def test_all_insights_of_one_portfolio(make_projects):
+    from worksight.operators.proximity import geo_pairs
+    projects = make_projects(*[dict(state="S", latitude=10.0, longitude=20.0, sanctioned_amount=10.0,
+                                    released_amount=8.0, utilized_amount=2.0, status="Done") for _ in range(6)])
+    got = I.portfolio_insights(assess(Dataset(projects)).stored().risk, geo_pairs(projects, names=False))
+    assert got["totals"].first().flagged_projects == 6 and got["geo_overlap_pairs"].count() == 15
+    f = got["fund_tracking"].first()
+    assert (f.total_released, f.unutilized_funds, f.utilization_rate_percentage, f.release_rate_percentage) == (
+        48.0, 36.0, 25.0, 80.0)
+    first = got["signal_frequency"].first()
+    assert (first.signal, first.flagged_projects, first.percentage) == ("Geo-Spatial Overlap", 6, 100.0)
+    assert [r.name for r in got["risk_by_state"].collect()] == ["S"] and got["risk_by_district"].count() == 0

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracle
+from worksight.testing import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables not present")
@@ -17,6 +18,30 @@ def duck():
     return check_oracle.connect(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables():
+    """Build the canonical tables and each kind of risk table once per module."""
+    patch, kept = pytest.MonkeyPatch(), {}
+    dataset, assess = catalog.B.dataset, catalog.assess
+
+    def one_dataset(spark, sf_dir, without=()):
+        key = ("data", sf_dir, without)
+        if key not in kept:
+            kept[key] = dataset(spark, sf_dir, without)
+        return kept[key]
+
+    def one_assessment(data, as_of=None, include_ml=True, evidence="full"):
+        key = (id(data), include_ml, evidence)
+        if key not in kept:
+            kept[key] = assess(data, as_of, include_ml, evidence).stored()
+        return kept[key]
+
+    patch.setattr(catalog.B, "dataset", one_dataset)
+    patch.setattr(catalog, "assess", one_assessment)
+    yield
+    patch.undo()
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {"isolation_forest", "risk_fusion_with_ml"}

@@ -42,6 +42,19 @@ def test_materialize_keeps_rows_and_types(spark):
     assert spread(spark.range(10**5).coalesce(1), 10_000).rdd.getNumPartitions() > 1
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_crowded_keys_and_lookup(spark, most):
+    from worksight.plans import skew
+    facts = spark.range(1000).selectExpr("case when id % 3 = 0 then 0 when id % 3 = 1 then 1 else id end as k", "id")
+    found = skew.crowded_keys(facts, ["k"], 50, most)
+    assert sorted(map(tuple, found.collect())) == [(0, 334), (1, 333)]
+    assert skew.crowded_keys(facts, ["k"], 400) is None
+    table = spark.range(1000).selectExpr("id as k", "id * 2 as v")
+    got = skew.lookup_join(facts, table, "k", "id", limit=50)
+    want = facts.join(table, "k")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 # --- isolation forest -------------------------------------------------------------
 
 def portfolio(spark, n=2000, partitions=4):

@@ -83,3 +83,10 @@ def data_readiness(data: Dataset, ml_fitted: bool) -> DataFrame:
     rows = [(s, SIGNAL_INPUTS[s], by_columns[s], active[s], weights[s]) for s in SIGNAL_WEIGHTS]
     return data.projects.sparkSession.createDataFrame(
         rows, "signal string, requires array<string>, available boolean, active boolean, effective_weight double")
+
+
+def data_inventory(data: Dataset) -> DataFrame:
+    """Files and project columns: supplied by the source or filled in."""
+    rows = [("file", n, there) for n, there in data.files.items()]
+    rows += [("column", n, there) for n, there in data.availability.items()]
+    return data.projects.sparkSession.createDataFrame(rows, "kind string, name string, supplied boolean")

@@ -30,18 +30,17 @@ def salts(n: Column, rows_per_task: int = ROWS_PER_TASK) -> Column:
     return F.sequence(F.lit(0), F.greatest(_count(n, rows_per_task), F.lit(1)) - 1)
 
 
-def crowded_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+def crowded_keys(df: DataFrame, keys: list[str], limit: int, most: int = BROADCAST_KEYS) -> DataFrame | None:
     """Keys with more than ``limit`` rows and their size ``n``; None if there
     are none, which is the usual case.
 
-    At most ``rows / limit`` keys qualify.  Up to ``BROADCAST_KEYS`` of them
-    are sent to all tasks; beyond that the join is left to shuffle.
+    At most ``rows / limit`` keys qualify.  Up to ``most`` of them are sent to all tasks; beyond that the join is left to shuffle.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    found = sizes.limit(BROADCAST_KEYS + 1).collect()
+    found = sizes.limit(most + 1).collect()
     if not found:
         return None
-    if len(found) > BROADCAST_KEYS:
+    if len(found) > most:
         return sizes
     return F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
 
