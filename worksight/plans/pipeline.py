@@ -1,8 +1,10 @@
 """The whole analysis as one lazy plan."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import alerts as A
 from ..operators.contractors import contractor_scores
@@ -38,25 +40,36 @@ class Assessment:
         return Assessment(materialize(self.risk, "risk"), self.availability)
 
 
+def _together(spark: SparkSession, builders: list) -> list:
+    """Build independent signals side by side.  Some run jobs while they are
+    planned, and one such job alone rarely fills a cluster."""
+    carry = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        return [f.result() for f in [pool.submit(carry(b)) for b in builders]]
+
+
 def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = True) -> Assessment:
     """One row per project with all signals and the overall score."""
     features = add_features(data.projects, as_of)
     base = row_rules(features).select(*BASE_COLUMNS, *ROW_SIGNALS, *DETAIL)
-    signals, ml_fitted = [contractor_scores(features)], False
 
     evidence = {"document": data.documents, "image": data.images, "inspection": data.inspections}
-    rollups = {"document": lambda t: document_rollup(data.projects, t), "image": image_rollup,
-               "inspection": inspection_rollup}
-    signals += [rollups[kind](table) for kind, table in evidence.items() if table is not None]
-    if include_ml:
-        ml, ml_fitted = ml_outliers(features)
-        signals.append(ml.drop("ml_signal_available"))
+    rollups = {"document": lambda: document_rollup(data.projects, data.documents),
+               "image": lambda: image_rollup(data.images), "inspection": lambda: inspection_rollup(data.inspections)}
+    builders = [lambda: contractor_scores(features)]
+    builders += [rollups[kind] for kind, table in evidence.items() if table is not None]
     if data.availability.get("project_name"):
-        signals.append(duplicate_risk(data.projects).drop("duplicate_match_score"))
+        builders.append(lambda: duplicate_risk(data.projects).drop("duplicate_match_score"))
     if data.availability.get("latitude") and data.availability.get("longitude"):
-        signals.append(geo_hits(data.projects).drop("geo_nearest_km"))
+        builders.append(lambda: geo_hits(data.projects).drop("geo_nearest_km"))
     if data.citizen_reports is not None:
-        signals.append(citizen_risk(data.citizen_reports))
+        builders.append(lambda: citizen_risk(data.citizen_reports))
+    if include_ml:
+        builders.append(lambda: ml_outliers(features))
+    signals, ml_fitted = _together(data.projects.sparkSession, builders), False
+    if include_ml:
+        scores, ml_fitted = signals.pop()
+        signals.append(scores.drop("ml_signal_available"))
 
     joined = join_signals(base, signals)
     filled = {}
