@@ -37,12 +37,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     # Positions inside range partitions plus their offsets: no task sees all sources.
     parts = sources.repartitionByRange("key").withColumn("part", F.spark_partition_id())
     parts = materialize(parts, "mix-sources")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("x").join(sizes.alias("y"), c("y.part") < c("x.part"), "left").groupBy("x.part").agg(
-        F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    # One row for each partition, so this window is bounded by their number.
+    before = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1 + c("before")
     table = F.array(*[F.lit(float(w)) for w in weights])
-    weighed = materialize(parts.join(F.broadcast(before), "part").select(
+    weighed = materialize(parts.join(before, "part").select(
         "key", "total", F.element_at(table, (rank % len(weights) + 1).cast("int")).alias("weight")), "mix-weights")
 
     words, weight = weighed.agg(F.sum("total"), F.sum("weight")).first()

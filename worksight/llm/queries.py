@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import decontaminate, minhash, mixing, sharding
 
 c = F.col
 
@@ -18,9 +18,21 @@ def op2_source_mixing(spark, sf_dir):
                         (c("copies") * c("size")).alias("taken"))
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def op7_benchmark_decontamination(spark, sf_dir):
+    scanned = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                          table(spark, sf_dir, "benchmark"))
+    return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                          F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                          (c("n_hit") > 0).alias("contaminated"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_minhash_near_dedup, op6_sharding, op7_benchmark_decontamination)}
 ORACLE = {}
