@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, minhash, mixing, sharding
+from ..plans.materialize import materialize
+from . import decontaminate, minhash, mixing, neighbours, quality, sharding, statistics, token_files
 
 c = F.col
 
@@ -13,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(c("text")).alias("size"))
-    mixed = mixing.mix(mixing.materialize(docs, "mix-docs"))
+    mixed = mixing.mix(materialize(docs, "mix-docs"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies",
                         (c("copies") * c("size")).alias("taken"))
 
@@ -30,9 +31,38 @@ def op7_benchmark_decontamination(spark, sf_dir):
                           (c("n_hit") > 0).alias("contaminated"))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_minhash_near_dedup, op6_sharding, op7_benchmark_decontamination)}
-ORACLE = {}
+def op8_token_files(spark, sf_dir):
+    import public_tokenizers
+    folder = token_files.folder_of(spark)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.read(manifest, folder)
+
+
+def op10_quality_classifier(spark, sf_dir):
+    measured = materialize(statistics.add_statistics(table(spark, sf_dir, "documents"), keep=["doc_id"]), "statistics")
+    held_out = quality.fold(c("doc_id"), 5) == 0
+    scored = quality.score(measured, table(spark, sf_dir, "labels"), ~held_out, measured=measured)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(c("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_source_mixing, op3_minhash_near_dedup, op4_nearest_neighbours, op6_sharding, op7_benchmark_decontamination,
+    op8_token_files, op10_quality_classifier)}
+ORACLE = {
+    "op4_nearest_neighbours": """
+with ok as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+           from ok q join ok c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20""",
+}
