@@ -25,6 +25,7 @@ c = F.col
 U = np.uint64
 _EMPTY = U((1 << 64) - 1)
 _LOW = U((1 << 52) - 1)
+BLOCKS = 128
 _SEEDS = W.mix(np.arange(1, 4097, dtype=U) * U(0xA0761D6478BD642F))
 
 
@@ -84,6 +85,40 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, bands: int, rows: in
     return source.mapInArrow(sign, f"id {kind}, mark long, n_shingles long, cls long, bands array<long>")
 
 
+def profiles(texts: DataFrame, k: int) -> DataFrame:
+    """cls, own, blocks: how many shingles of a class no other class has, and the others by block of the hash.
+
+    Own shingles are in no intersection, and two classes share at most the
+    smaller count of each block.  So the profiles bound a pair's similarity
+    from above, closely so for copies that were changed in different places.
+    """
+    def explode(batches):
+        for batch in batches:
+            for i, j, data, bounds in W.slices(batch.column("text")):
+                row, h = W.shingle_sets(W.split(data, bounds, W.NOT_SPACE), k)
+                yield pa.RecordBatch.from_pydict({"cls": batch.column("cls").slice(i, j - i).take(pa.array(row)),
+                                                  "h": pa.array(h.astype(np.int64))})
+
+    def count(batches):
+        for batch in batches:
+            for i, j, data, bounds in W.slices(batch.column("text")):
+                row, h = W.shingle_sets(W.split(data, bounds, W.NOT_SPACE), k)
+                counts = np.bincount(row * BLOCKS + (h % U(BLOCKS)).astype(np.int64), minlength=(j - i) * BLOCKS)
+                own = batch.column("own").slice(i, j - i)
+                lengths = np.array([len(x) if x.is_valid else 0 for x in own], dtype=np.int64)
+                counts -= np.bincount(np.repeat(np.arange(j - i), lengths) * BLOCKS
+                                      + own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % BLOCKS,
+                                      minlength=(j - i) * BLOCKS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("cls").slice(i, j - i), pa.array(lengths),
+                     pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * BLOCKS, BLOCKS, dtype=np.int32), counts.astype(np.int32))],
+                    ["cls", "own", "blocks"])
+    once = (texts.mapInArrow(explode, "cls long, h long").groupBy("h").agg(F.count("*").alias("m"), F.min("cls").alias("cls"))
+            .where("m = 1"))
+    own = once.groupBy("cls").agg(F.collect_list("h").alias("own"))
+    return texts.join(own, "cls", "left").select("cls", "text", "own").mapInArrow(count, "cls long, own long, blocks array<int>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     def check(batches):
@@ -135,9 +170,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     texts = materialize(source.join(one, source["id"].eqNullSafe(one["id"]) & (source["mark"] == one["mark"]))
                         .select("cls", "text").dropDuplicates(["cls"]), "class-texts")
 
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    members = materialize(members.join(profiles(texts, k), "cls").select(
+        "key", "cls", (c("n") - c("own")).alias("n"), "own", "blocks"), "members")
+    # Cheap bounds from above; most pairs below the threshold need no look at their texts.
+    alike = 100 * F.least("na", "nb") >= percent * (F.greatest("na", "nb") + c("oa") + c("ob"))
+    common = F.aggregate(F.zip_with("blocks_a", "blocks_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+    alike &= (100 + percent) * common >= percent * (c("na") + c("oa") + c("nb") + c("ob"))
     links = signed.select(c("cls").alias("a"), c("cls").alias("b")).limit(0)
-    tested, labels, rounds, merged = links, None, 0, True
+    tested, labels, rounds, productive = links, None, 0, True
     while True:
         alive = members.withColumn("label", c("cls")) if labels is None else members.join(
             labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -148,22 +188,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
         if not left:
             break
         alive = alive.join(open_.select("key"), "key")
-        star = merged and (rounds == 0 or left > size)
-        if star:                                   # all members of a bucket against one; pivots alternate
-            pick = F.min if rounds % 2 == 0 else F.max
-            pivot = alive.groupBy("key").agg(pick(F.struct("label", "cls", "n")).alias("p"))
+        star = productive and (rounds == 0 or left > size)
+        if star:       # all members of a bucket against one: that with the fewest shingles of its own, later of another component
+            first = F.xxhash64("label", F.lit(rounds)) if rounds else F.lit(0)
+            pivot = alive.groupBy("key").agg(F.min(F.struct(first.alias("f"), (c("own") / (c("own") + c("n"))).alias("w"),
+                                                            "label", "cls", "n", "own", "blocks")).alias("p"))
             pairs = alive.join(pivot, "key").where("label != p.label").select(
-                F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), c("n").alias("na"), c("p.n").alias("nb"))
-        else:                                      # what is left between components
-            other = alive.select("key", c("cls").alias("b"), c("n").alias("nb"), c("label").alias("lb"))
-            pairs = alive.join(other, "key").where("cls < b and label != lb").select(
-                c("cls").alias("a"), "b", c("n").alias("na"), "nb")
-        pairs = pairs.where(alike).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+                F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"), c("n").alias("na"),
+                c("p.n").alias("nb"), c("own").alias("oa"), c("p.own").alias("ob"),
+                c("blocks").alias("blocks_a"), c("p.blocks").alias("blocks_b"))
+            pairs = pairs.where(alike)
+        else:          # what is left between components
+            other = alive.select("key", c("cls").alias("b"), c("n").alias("nb"), c("own").alias("ob"), c("label").alias("lb"),
+                                 c("blocks").alias("blocks_b"))
+            pairs = alive.withColumnsRenamed({"cls": "a", "n": "na", "own": "oa", "blocks": "blocks_a"}).join(
+                other, (alive["key"] == other["key"]) & (c("a") < c("b")) & (c("label") != c("lb")) & alike)
+        pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = materialize(confirm(pairs, texts, k, percent), "links")
-        merged = new.limit(1).count() > 0
+        found = new.count()
+        productive = 20 * found > pairs.count()
         links, tested = links.union(new), tested.union(pairs)
-        if merged:
+        if found:
             labels = components(links)
         if not star:
             break
