@@ -147,7 +147,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
                     bands: int = 48, rows: int = 7) -> DataFrame:
-    """id, n_shingles, component_id, kept for each row of ``docs``.
+    """id, n_shingles, component_id, kept and text_hash (xxhash64) for each row of ``docs``.
 
     Words are runs other than ASCII white space, with A-Z in lower case; a
     text's set has its distinct shingles of ``k`` words.  A null or blank text
@@ -217,9 +217,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     if labels is None:
         labels = links.select(c("a").alias("node"), c("b").alias("label"))
     named = signed.join(labels, c("cls") == c("node"), "left").select(
-        "id", "n_shingles", F.coalesce("label", "cls").alias("label"))
+        "id", "mark", "n_shingles", F.coalesce("label", "cls").alias("label"))
     named = materialize(named, "named")
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     return named.join(least, "label", "left").select(
         c("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-        c("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
+        c("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"), c("mark").alias("text_hash"))

@@ -35,7 +35,7 @@ def best_of_tile(queries: np.ndarray, found: np.ndarray, allowed: np.ndarray, k:
     low = np.where(allowed, about - error, -np.inf)
     least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
     q, v = np.nonzero(allowed & (about + error >= least[:, None]))
-    return q, v, np.einsum("ij,ij->i", queries[q], found[v])
+    return q, v, np.cumsum(queries[q] * found[v], axis=1)[:, -1]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vector: str = "embedding",

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.materialize import materialize
-from . import decontaminate, minhash, mixing, neighbours, quality, sharding, statistics, token_files
+from . import decontaminate, lines, minhash, mixing, neighbours, quality, sharding, statistics, token_counts, token_files, toxicity
 
 c = F.col
 
@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = lines.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"),
+                      F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op2_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(c("text")).alias("size"))
     mixed = mixing.mix(materialize(docs, "mix-docs"))
@@ -35,6 +41,14 @@ def op4_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.fold(c("doc_id"), 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), quality.fold(c("id"), 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                              F.when(c("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -46,6 +60,13 @@ def op8_token_files(spark, sf_dir):
     return token_files.read(manifest, folder)
 
 
+def op9_token_counts(spark, sf_dir):
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.drop("text")
+
+
 def op10_quality_classifier(spark, sf_dir):
     measured = materialize(statistics.add_statistics(table(spark, sf_dir, "documents"), keep=["doc_id"]), "statistics")
     held_out = quality.fold(c("doc_id"), 5) == 0
@@ -54,8 +75,8 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_source_mixing, op3_minhash_near_dedup, op4_nearest_neighbours, op6_sharding, op7_benchmark_decontamination,
-    op8_token_files, op10_quality_classifier)}
+    op1_line_dedup, op2_source_mixing, op3_minhash_near_dedup, op4_nearest_neighbours, op5_toxicity, op6_sharding,
+    op7_benchmark_decontamination, op8_token_files, op9_token_counts, op10_quality_classifier)}
 ORACLE = {
     "op4_nearest_neighbours": """
 with ok as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
