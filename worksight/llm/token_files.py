@@ -26,7 +26,9 @@ from ..plans.materialize import materialize, scratch_dir
 c = F.col
 MANIFEST = "part long, file string, index string, n_docs long, n_tokens long, first_id long"
 BATCH_ROWS = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+#: ASCII signs, without the apostrophe, which may begin a contraction.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -45,16 +47,30 @@ class Encoder:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[bytes, bytes] = {}
 
+    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """Lower case, and ASCII signs after a final ASCII letter on their own, as the tokenizer splits them.
+        A piece that may hold one of its special strings is left as it is."""
+        if b"<|" in piece:
+            return (piece,)
+        body = piece.rstrip(SIGNS)
+        if body and len(body) < len(piece) and body[-1:].isalpha():
+            return body.lower(), piece[len(body):]
+        return (piece.lower(),)
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         pieces = [(t or "").encode().split() for t in texts]
-        new = list({p for own in pieces for p in own if p not in self.known})
+        new = {p for own in pieces for p in own if p not in self.known}
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {}
-            new = list({p for own in pieces for p in own})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+            new = {p for own in pieces for p in own}
+        parts = {p: self._parts(p) for p in new}
+        fresh = list({x for own in parts.values() for x in own if x not in self.known})
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i:i + 20_000]
             for piece, x in zip(part, self.model.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(x.ids, dtype=self.dtype).tobytes()
+        for p, own in parts.items():
+            self.known[p] = self.known[own[0]] if len(own) == 1 else self.known[own[0]] + self.known[own[1]]
         take = self.known.__getitem__
         return [np.frombuffer(b"".join(map(take, own)), dtype=self.dtype) for own in pieces]
 
