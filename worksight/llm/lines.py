@@ -45,8 +45,9 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", w
     """
     names = [x for x in docs.columns if x not in ("n_lines", "n_removed")]
     marked = docs.select(F.struct(*[c(f"`{x}`") for x in names]).alias("row"), c(f"`{id}`").alias("id"),
-                         F.xxhash64(f"`{text}`").alias("mark"), lines_of(c(f"`{text}`")).alias("lines"))
-    cut = (marked.select("id", "mark", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+                         F.xxhash64(f"`{text}`").alias("mark"))
+    lines = lines_of(c("row")[text]).alias("lines")
+    cut = (marked.select("id", "mark", lines).select("id", "mark", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
            .select("id", "mark", "lines", F.explode(_chunks(window, divisor)).alias("at")).where(c("at.n") >= min_lines)
            .withColumn("body", _chunk_text(c("at.start"), c("at.n"))).where(F.length(F.regexp_replace("body", r"\s", "")) > 0))
     chunks = materialize(cut.select("id", "mark", "at.start", "at.n", F.xxhash64("body").alias("h")).distinct(), "chunks")
@@ -55,9 +56,10 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", w
 
     # Bytes: equal hashes with different texts are told apart by grouping on the text itself.
     lists = seen.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "h")).alias("at"))
-    key = marked.select(c("id").alias("_id"), c("mark").alias("_mark"), "lines")
-    bodies = (key.join(lists, c("_id").eqNullSafe(c("id")) & (c("_mark") == c("mark")))
-              .select("id", "mark", "lines", F.explode("at").alias("at"))
+    # Both lists grow with the corpus, so these joins are never broadcast.
+    key = marked.select(c("id").alias("_id"), c("mark").alias("_mark"), c("row")[text].alias("text"))
+    bodies = (key.join(lists.hint("merge"), c("_id").eqNullSafe(c("id")) & (c("_mark") == c("mark")))
+              .select("id", "mark", lines_of(c("text")).alias("lines"), F.explode("at").alias("at"))
               .select("id", "mark", "at.start", "at.h", _chunk_text(c("at.start"), c("at.n")).alias("body")))
     texts = materialize(bodies.groupBy("h", "body").agg(F.min(F.struct("id", "mark", "start")).alias("first"), F.count("*").alias("m")),
                         "chunk-texts")
@@ -70,7 +72,7 @@ def deduplicate_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", w
         removed = removed.union(both.join(seen, ["id", "mark", "start", "h"]).select("id", "mark", "start", "n"))
     gone = removed.groupBy(c("id").alias("_id"), c("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 
-    joined = marked.join(gone, c("_id").eqNullSafe(c("id")) & (c("_mark") == c("mark")), "left")
+    joined = marked.join(gone.hint("merge"), c("_id").eqNullSafe(c("id")) & (c("_mark") == c("mark")), "left").select("row", "gone", lines)
     stays = F.filter("lines", lambda x, i: ~F.exists(F.coalesce(c("gone"), F.array().cast("array<struct<start:int,n:int>>")),
                                                      lambda g: (i >= g["start"]) & (i < g["start"] + g["n"])))
     body = F.when(c("gone").isNull(), c("row")[text]).otherwise(F.array_join(stays, "\n"))

@@ -29,6 +29,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: Separators that may stand between the letters of a word.
 SEPARATORS = ".-_*'"
 COST_LEET, COST_RUN, COST_DOUBLE, COST_SEPARATOR, COST_DROP = 0.7, 0.5, 6.0, 0.2, 14.0
+SLICE = 1 << 19          # bytes worked on at a time
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 
 # Character classes of the language model: none, a-z, any other letter.
@@ -48,7 +49,7 @@ def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(_N ** 3, dtype=np.int64)
         for batch in batches:
-            for _, _, data, bounds in W.slices(batch.column("text")):
+            for _, _, data, bounds in W.slices(batch.column("text"), SLICE):
                 x = np.zeros(len(data) + 2 * len(bounds), dtype=np.int64)      # two boundaries between texts
                 x[np.arange(len(data)) + 2 * np.repeat(np.arange(1, len(bounds)), np.diff(bounds))] = _CLASS[W._LOWER[data]]
                 total += np.bincount((x[:-2] * _N + x[1:-1]) * _N + x[2:], minlength=_N ** 3)
@@ -187,7 +188,7 @@ def _presence(docs: DataFrame, counts: np.ndarray, wanted: np.ndarray | None) ->
         channel = Channel(counts)
         for batch in batches:
             label = batch.column("label").to_numpy()
-            for i, j, data, bounds in W.slices(batch.column("text")):
+            for i, j, data, bounds in W.slices(batch.column("text"), SLICE):
                 row, h, _ = features(*restore(data, bounds, channel), wanted)
                 every, at = np.unique(h, return_inverse=True)
                 bad = np.bincount(at, weights=label[i:j][row], minlength=len(every)).astype(np.int64)
@@ -207,7 +208,7 @@ class Model:
 def _vector(batches, model: Model):
     channel = Channel(model.counts)
     for batch in batches:
-        for i, j, data, bounds in W.slices(batch.column("text")):
+        for i, j, data, bounds in W.slices(batch.column("text"), SLICE):
             row, h, n = features(*restore(data, bounds, channel), model.wanted)
             yield batch.slice(i, j - i), row, np.searchsorted(model.wanted, h), np.log1p(n)
 
@@ -279,7 +280,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         channel, weights = Channel(own.counts), own.weights
         for batch in batches:
             out = np.full(batch.num_rows, own.intercept)
-            for i, j, data, bounds in W.slices(batch.column(text)):
+            for i, j, data, bounds in W.slices(batch.column(text), SLICE):
                 row, h, n = features(*restore(data, bounds, channel), own.wanted)
                 if len(row):
                     out[i:j] += np.bincount(row, weights=weights[np.searchsorted(own.wanted, h)] * np.log1p(n), minlength=j - i)
