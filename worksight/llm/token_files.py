@@ -46,6 +46,28 @@ class Encoder:
         self.wide = self.model.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.known: dict[bytes, bytes] = {}
+        words = self.model.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces of ASCII letters are one word each, and the last id of a word says so: many fit into one call."""
+        plain = [p for p in pieces if p.isalpha()]
+        for i in range(0, len(plain), 500):
+            part = plain[i:i + 500]
+            ids = np.array(self.model.encode(b" ".join(part).decode(), add_special_tokens=False).ids)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):         # a vocabulary without such ids
+                plain = plain[:i]
+                break
+            whole, at = ids.astype(self.dtype).tobytes(), [0, *(stops * self.dtype.itemsize).tolist()]
+            self.known.update((p, whole[at[x]:at[x + 1]]) for x, p in enumerate(part))
+        done = set(plain)
+        rest = [p for p in pieces if p not in done]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i:i + 20_000]
+            for piece, x in zip(part, self.model.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(x.ids, dtype=self.dtype).tobytes()
 
     def _parts(self, piece: bytes) -> tuple[bytes, ...]:
         """Lower case, and ASCII signs after a final ASCII letter on their own, as the tokenizer splits them.
@@ -64,11 +86,7 @@ class Encoder:
             self.known = {}
             new = {p for own in pieces for p in own}
         parts = {p: self._parts(p) for p in new}
-        fresh = list({x for own in parts.values() for x in own if x not in self.known})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i:i + 20_000]
-            for piece, x in zip(part, self.model.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(x.ids, dtype=self.dtype).tobytes()
+        self._learn(list({x for own in parts.values() for x in own if x not in self.known}))
         for p, own in parts.items():
             self.known[p] = self.known[own[0]] if len(own) == 1 else self.known[own[0]] + self.known[own[1]]
         take = self.known.__getitem__
