@@ -55,7 +55,8 @@ def test_dates_in_several_formats(spark):
                                  ("4", "25/04/2020"), ("5", "soon"), ("6", None)], "id string, start_date string")
     rows = {r.project_id: r.start_date for r in normalize(raw, PROJECTS)[0].collect()}
     assert rows["1"] == dt.datetime(2020, 3, 4) and rows["2"] == dt.datetime(2020, 3, 4, 5, 6, 7)
-    assert rows["3"] == dt.datetime(2020, 3, 4) and rows["4"] == dt.datetime(2020, 4, 25)
+    # One format for the column: 25/04 rules out month first, so 03/04 is the third of April.
+    assert rows["3"] == dt.datetime(2020, 4, 3) and rows["4"] == dt.datetime(2020, 4, 25)
     assert rows["5"] is None and rows["6"] is None
 
 
@@ -114,3 +115,10 @@ def test_plan_reads_only_the_needed_columns(spark, tmp_path):
     df = load_dataset(spark, str(tmp_path)).projects.select("project_id", "utilized_amount")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<project_id:bigint,expenditure:decimal" in plan
+
+
+def test_blank_ids_and_any_white_space(spark):
+    raw = spark.createDataFrame([("\tP1\u00a0", "x"), ("", "y"), (" \t", "z"), (None, "w")], "id string, project_name string")
+    rows, _ = normalize(raw, PROJECTS)
+    assert [r.project_id for r in rows.collect()] == ["P1"]
+    assert sorted(r.project_name for r in rejected_rows(raw, PROJECTS).collect()) == ["w", "y", "z"]

@@ -87,13 +87,13 @@ SIGNAL_INPUTS = {
     "delay": ["start_date", "expected_completion_date"],
     "progress": ["completion_percentage", "financial_progress_ratio"],
     "contractor": ["contractor", "completion_percentage"],
-    "document": ["documents file"],
-    "image": ["images file"],
-    "inspection": ["inspections file"],
+    "document": ["__documents_file__"],
+    "image": ["__images_file__"],
+    "inspection": ["__inspections_file__"],
     "ml_anomaly": ["completion_percentage", "sanctioned_amount", "utilized_amount"],
     "duplicate": ["project_name"],
     "geo": ["latitude", "longitude"],
-    "citizen": ["always available"],
+    "citizen": ["__always_available__"],
 }
 
 SCORE_COLUMN = {

@@ -47,7 +47,7 @@ def floor_days(later: Column, earlier: Column) -> Column:
 
 
 def normal_text(c: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
 def ladder(score: Column, steps: list[tuple[float, str]], default) -> Column:
@@ -63,3 +63,8 @@ def percent_of(part: Column, whole: Column, digits: int = 1) -> Column:
     """``part / whole`` in percent, 0 when the whole is 0 or missing."""
     ratio = F.try_divide(part.cast("double"), whole.cast("double"))
     return F.coalesce(round_even(ratio * F.lit(100.0), digits), F.lit(0.0))
+
+
+def strip(column) -> Column:
+    """Without white space of any kind at both ends; ``F.trim`` knows the blank only."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")

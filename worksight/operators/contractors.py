@@ -2,13 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import ladder, points
+from ..functions.columns import ladder, points, strip
 
 c = F.col
 
 
 def contractor_key(column="contractor"):
-    return F.trim(F.coalesce(c(column), F.lit("Unknown")))
+    return strip(F.coalesce(c(column), F.lit("Unknown")))
 
 
 def contractor_history(features: DataFrame) -> DataFrame:

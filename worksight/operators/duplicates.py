@@ -93,17 +93,19 @@ def candidate_groups(shared: DataFrame, threshold: float, rows_per_task: int) ->
     prefix = shared.where(c("rest_with") >= threshold - MARGIN)
     # A frequent term is spread over several tasks.
     one = prefix.select("term_id", salt_of(c("holders"), c("group"), rows_per_task).alias("salt"),
-                        c("group").alias("group_1"), c("weight").alias("w1"), c("rest").alias("r1"))
+                        c("group").alias("group_1"), c("weight").alias("w1"), c("rest").alias("r1"),
+                        c("rest_with").alias("a1"))
     two = prefix.select("term_id", F.explode(salts(c("holders"), rows_per_task)).alias("salt"),
-                        c("group").alias("group_2"), c("weight").alias("w2"), c("rest").alias("r2"))
-    met = (one.join(two, ["term_id", "salt"]).where(c("group_1") < c("group_2"))
+                        c("group").alias("group_2"), c("weight").alias("w2"), c("rest").alias("r2"),
+                        c("rest_with").alias("a2"))
+    # Before the shuffle: at the first common term of a pair that reaches the threshold, what both
+    # vectors have left from there on must reach it (Cauchy-Schwarz).
+    met = (one.join(two, ["term_id", "salt"])
+           .where((c("group_1") < c("group_2")) & (c("a1") * c("a2") >= threshold - MARGIN))
            .groupBy("group_1", "group_2").agg(
                F.sum(c("w1") * c("w2")).alias("got"), F.min("r1").alias("r1"), F.min("r2").alias("r2")))
-    # Common terms not counted yet come after the last counted one (remaining
-    # lengths r1, r2) and after the prefix of at least one side (remaining
-    # length below the threshold).
-    still = F.least(c("r1") * c("r2"), F.greatest("r1", "r2") * F.lit(float(threshold)))
-    return met.where(c("got") + still >= threshold - MARGIN).select("group_1", "group_2")
+    # The rows that pass are a pair's first common terms; the others come after the last of them.
+    return met.where(c("got") + c("r1") * c("r2") >= threshold - MARGIN).select("group_1", "group_2")
 
 
 def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SIGNAL_LABELS
-from ..functions.columns import percent_of, round_even
+from ..functions.columns import percent_of, round_even, strip
 from .alerts import mean_score
 from .proximity import closest_overlaps
 
@@ -51,7 +51,7 @@ def signal_frequency(alerts: DataFrame) -> DataFrame:
 
 
 def status_breakdown(projects: DataFrame) -> DataFrame:
-    label = F.trim(F.coalesce(c("status"), F.lit("")))
+    label = strip(F.coalesce(c("status"), F.lit("")))
     total = projects.agg(F.count("*")).scalar()
     return (projects.groupBy(F.when(label != "", label).otherwise("Unknown").alias("status"))
             .agg(F.count("*").alias("count"))
@@ -67,7 +67,7 @@ def _group_aggregates() -> list[Column]:
 
 
 def _group_name(column: str) -> Column:
-    return F.trim(F.coalesce(c(column), F.lit("Unknown")))
+    return strip(F.coalesce(c(column), F.lit("Unknown")))
 
 
 def risk_by(alerts: DataFrame, column: str, top: int = TOP_GROUPS) -> DataFrame:

@@ -8,6 +8,7 @@ projects.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import DECISIONS, REPORT_CATEGORIES
+from ..functions.columns import strip
 
 c = F.col
 OFFICER = "Demo Officer"
@@ -15,7 +16,7 @@ POINTS_PER_REPORT, MAX_POINTS = 25, 100
 
 
 def _with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
-    known = projects.select(F.trim("project_id").alias("project_id")).distinct()
+    known = projects.select(strip("project_id").alias("project_id")).distinct()
     return rows.join(known.withColumn("_known", F.lit(True)), "project_id", "left")
 
 
@@ -27,10 +28,10 @@ def check_reports(submitted: DataFrame, projects: DataFrame) -> DataFrame:
     """Normalised submissions with ``reject_reason`` (NULL when accepted)."""
     optional = [x for x in ("reporter_name", "reporter_contact") if x in submitted.columns]
     rows = submitted.withColumns({
-        "project_id": F.trim(c("project_id").cast("string")),
-        "category": F.trim(F.upper("category")),
-        "description": F.trim("description"),
-        **{x: F.coalesce(F.trim(x), F.lit("")) for x in optional},
+        "project_id": strip(c("project_id").cast("string")),
+        "category": strip(F.upper("category")),
+        "description": strip("description"),
+        **{x: F.coalesce(strip(x), F.lit("")) for x in optional},
     })
     if "submitted_at" not in submitted.columns:
         rows = rows.withColumn("submitted_at", F.current_timestamp())
@@ -50,8 +51,8 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 def check_decisions(submitted: DataFrame, projects: DataFrame, verified_by: str = OFFICER) -> DataFrame:
     rows = submitted.withColumns({
-        "project_id": F.trim(c("project_id").cast("string")),
-        "decision": F.trim(F.upper("decision")),
+        "project_id": strip(c("project_id").cast("string")),
+        "decision": strip(F.upper("decision")),
         "remarks": F.coalesce(c("remarks"), F.lit("")),
         "verified_by": F.lit(verified_by),
     })

@@ -12,9 +12,9 @@ from difflib import get_close_matches
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
-from ..functions.columns import clean_double
+from ..functions.columns import clean_double, strip
 
-# Tried in this order; the first that parses wins.
+# One is chosen for a column: that by which most values parse, the first of equals.
 DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM d, yyyy")
 
 
@@ -81,11 +81,29 @@ def resolve_headers(columns: list[str], spec: TableSpec) -> dict[str, int]:
     return resolved
 
 
-def _parse_date(c: Column, dtype: T.DataType, formats) -> Column:
+def _parse_date(c: Column, dtype: T.DataType, chosen: str | None) -> Column:
     if not isinstance(dtype, T.StringType):
         return c.cast("timestamp")
-    text = F.trim(c)
-    return F.coalesce(text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    iso = strip(c).try_cast("timestamp")
+    return F.coalesce(iso, F.try_to_timestamp(strip(c), F.lit(chosen))) if chosen else iso
+
+
+def column_formats(rows: DataFrame, columns: dict[str, str], formats) -> dict[str, str | None]:
+    """The date format of each text column (name -> position name), from one
+    aggregate over all rows, so ``02/03/2024`` is read like its neighbours."""
+    if not columns or not formats:
+        return dict.fromkeys(columns)
+    asked = [(name, f) for name in columns for f in formats]
+    counts = rows.agg(*[F.count(F.try_to_timestamp(strip(F.col(columns[name])), F.lit(f))) for name, f in asked]).first()
+    best: dict[str, tuple[int, str | None]] = {name: (0, None) for name in columns}
+    for (name, f), n in zip(asked, counts, strict=True):
+        if n > best[name][0]:
+            best[name] = (n, f)
+    return {name: f for name, (_, f) in best.items()}
+
+
+def _named(project_id: Column) -> Column:
+    return F.coalesce(strip(project_id.cast("string")) != "", F.lit(False))
 
 
 def _positional(df: DataFrame) -> DataFrame:
@@ -97,13 +115,16 @@ def normalize(df: DataFrame, spec: TableSpec, date_formats=DATE_FORMATS,
               keep_extra: bool = False) -> tuple[DataFrame, dict[str, bool]]:
     """Canonical columns with fixed types, and which of them the source had.
 
-    Rows without a project id can join to nothing and are left out here;
-    ``rejected_rows`` returns exactly those.
+    Rows without a project id, or with a blank one, can join to nothing and
+    are left out here; ``rejected_rows`` returns exactly those.  Text dates
+    take one aggregate over the table, which chooses a format per column.
     """
     at = resolve_headers(df.columns, spec)
     if "project_id" not in at:
         raise ValueError(f"the {spec.name} table has no column that names the project (project_id)")
     types = [f.dataType for f in df.schema.fields]
+    text_dates = {n: f"c{at[n]}" for n in spec.dates if n in at and isinstance(types[at[n]], T.StringType)}
+    formats = column_formats(_positional(df), text_dates, date_formats)
 
     def source(name):
         return F.col(f"c{at[name]}")
@@ -114,7 +135,7 @@ def normalize(df: DataFrame, spec: TableSpec, date_formats=DATE_FORMATS,
         if name == spec.row_id:
             c = source(name).cast("string") if present else (F.monotonically_increasing_id() + 1).cast("string")
         elif name == "project_id":
-            c = F.trim(source(name).cast("string"))
+            c = strip(source(name).cast("string"))
         elif name in spec.text:
             default = F.lit(spec.text[name])
             c = F.coalesce(source(name).cast("string"), default) if present else default
@@ -122,13 +143,13 @@ def normalize(df: DataFrame, spec: TableSpec, date_formats=DATE_FORMATS,
             c = (clean_double(source(name), isinstance(types[at[name]], T.StringType)) if present
                  else F.lit(None).cast("double"))
         else:
-            c = (_parse_date(source(name), types[at[name]], date_formats) if present
+            c = (_parse_date(source(name), types[at[name]], formats.get(name)) if present
                  else F.lit(None).cast("timestamp"))
         out.append(c.alias(name))
     if keep_extra:
         out += [source(n).alias(n) for n in at if n not in spec.canonical]
 
-    rows = _positional(df).where(source("project_id").isNotNull()).select(*out)
+    rows = _positional(df).where(_named(source("project_id"))).select(*out)
     availability = {n: n in at for n in [*spec.text, *spec.numeric, *spec.dates]}
     availability["project_id"] = True
     return rows, availability
@@ -138,5 +159,5 @@ def rejected_rows(df: DataFrame, spec: TableSpec) -> DataFrame:
     """The rows ``normalize`` leaves out because they name no project."""
     at = resolve_headers(df.columns, spec)
     names = df.columns
-    rows = _positional(df).where(F.col(f"c{at['project_id']}").isNull())
+    rows = _positional(df).where(~_named(F.col(f"c{at['project_id']}")))
     return rows.toDF(*names)

@@ -58,21 +58,20 @@ select l_orderkey * 10 + l_linenumber as document_id, project_id, 'Utilization C
        case when l_partkey % 5 = 0 then 'Different Contractor' else contractor end as contractor,
        case when l_partkey % 7 = 0 then 'Different Location' else concat(district, ', ', state) end as location,
        l_linestatus as status
-from lineitem join projects on project_id = concat('P', cast(l_orderkey as varchar(20)))
-where l_linenumber = 1""",
+from lineitem join projects on project_id = concat('P', cast(l_orderkey as varchar(20)))""",
     "evidence_images": """
 select l_orderkey * 10 + l_linenumber as image_id, concat('P', cast(l_orderkey as varchar(20))) as project_id,
        md5(concat(cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)))) as image_hash,
        cast(l_discount * 10 as double) as similarity_score,
        case when l_returnflag = 'R' and l_linestatus = 'F' then 'Potentially Reused' else 'Valid' end as status
-from lineitem where l_linenumber = 2""",
+from lineitem""",
     "inspections": """
 select l_orderkey * 10 + l_linenumber as inspection_id, concat('P', cast(l_orderkey as varchar(20))) as project_id,
        cast(l_quantity * 2 as double) as inspection_score,
        case l_returnflag when 'A' then 'Passed' when 'N' then 'Needs Improvement' else 'Failed' end
          as inspection_status,
        cast(l_shipdate as date) as inspection_date
-from lineitem where l_linenumber = 3""",
+from lineitem""",
     "citizen_reports": """
 select event_id as report_id, ts as submitted_at,
        concat('P', cast((event_id * event_id) % (select count(*) from orders) as varchar(20))) as project_id,
