@@ -26,7 +26,7 @@ from ..plans.materialize import materialize, scratch_dir
 c = F.col
 MANIFEST = "part long, file string, index string, n_docs long, n_tokens long, first_id long"
 BATCH_ROWS = 64
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 #: ASCII signs, without the apostrophe, which may begin a contraction.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, tuple] = {}
@@ -150,8 +150,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id: str = "doc_id", text
         encode, writer, name, ids, sizes = encoder(tokenizer), None, uuid.uuid4().hex, [], []
         disk.create_dir(root, recursive=True)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
                 ids += part.column("id").to_pylist()
                 for x in encode(part.column("text").to_pylist()):
                     if writer is None:
