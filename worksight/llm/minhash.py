@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, bands: int, rows: in
 
     def sign(batches):
         for batch in batches:
-            for i, j, data, bounds in W.slices(batch.column("text"), size=1 << 21):
+            for i, j, data, bounds in W.slices(batch.column("text"), size=1 << 20):
                 n = j - i
                 row, h = W.shingle_sets(W.split(data, bounds, W.NOT_SPACE), k)
                 size = np.bincount(row, minlength=n)
@@ -126,7 +126,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             a, b, i, keep = batch.column("ta"), batch.column("tb"), 0, []
             while i < batch.num_rows:                                   # rows whose two texts have a few MB
                 j, size = i, 0
-                while j < min(batch.num_rows, i + 2048) and (j == i or size < 1 << 21):
+                while j < min(batch.num_rows, i + 2048) and (j == i or size < 1 << 20):
                     size += len(a[j].as_buffer()) + len(b[j].as_buffer())
                     j += 1
                 keys, sizes = [], []
