@@ -174,10 +174,9 @@ def test_inventory(make_projects):
 
 
 def test_all_insights_of_one_portfolio(make_projects):
-    from worksight.operators.proximity import geo_pairs
     projects = make_projects(*[dict(state="S", latitude=10.0, longitude=20.0, sanctioned_amount=10.0,
                                     released_amount=8.0, utilized_amount=2.0, status="Done") for _ in range(6)])
-    got = I.portfolio_insights(assess(Dataset(projects)).stored().risk, geo_pairs(projects, names=False))
+    got = I.portfolio_insights(assess(Dataset(projects)).stored().risk, projects)
     assert got["totals"].first().flagged_projects == 6 and got["geo_overlap_pairs"].count() == 15
     f = got["fund_tracking"].first()
     assert (f.total_released, f.unutilized_funds, f.utilization_rate_percentage, f.release_rate_percentage) == (

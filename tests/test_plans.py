@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from worksight.operators import outliers as M
 from worksight.plans import exact_quantiles, global_rank, materialize, scratch_dir
 from worksight.plans.materialize import spread
+from worksight.plans.skew import lookup_join
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -109,3 +110,12 @@ def test_expected_path_and_depth():
              (("feature", 1), ("split", 2), ("left", 3), ("right", 4), ("depth", 5))}
     scores = raw_score(grids, 4, np.array([[0.0], [100.0]]))
     assert -1.0 <= scores.min() and scores.max() <= 0.0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join_of_a_hot_key(spark, how):
+    facts = spark.range(900).selectExpr("id as row", "case when id % 3 = 0 then 0 else id end as k", "id % 2 as j")
+    table = facts.where("k % 5 < 4").select("k", "j", F.lit(1).alias("found")).distinct()
+    got = lookup_join(facts, table, ["k", "j"], "row", limit=20, how=how)
+    assert sorted(got.collect()) == sorted(facts.join(table, ["k", "j"], how).select(*got.columns).collect())
+    assert "_salt" in got._jdf.queryExecution().toString()

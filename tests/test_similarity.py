@@ -148,3 +148,21 @@ def test_closest(make_projects):
     rows = [dict(latitude=10.0 + i * i * 1e-4, longitude=20.0) for i in range(8)]
     got = G.closest_overlaps(G.geo_pairs(make_projects(*rows)), 2).collect()
     assert [(r.project_id_1, r.project_id_2) for r in got] == [("P0", "P1"), ("P1", "P2")]
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_closest_pairs_equal_the_listing(make_projects, k):
+    rows = [dict(latitude=10.0 + (i % 7) * 4e-4, longitude=20.0 + (i % 3) * 3e-4, project_name=f"n{i}") for i in range(60)]
+    projects = make_projects(*rows, {})
+    assert G.closest_pairs(projects, k).collect() == G.closest_overlaps(G.geo_pairs(projects), k).collect()
+
+
+def test_closest_pairs_of_few_projects_is_empty(make_projects):
+    assert G.closest_pairs(make_projects(*[dict(latitude=1.0, longitude=2.0)] * 3)).count() == 0
+
+
+def test_closest_pairs_of_a_crowded_spot_form_no_listing(spark):
+    projects = spark.range(10_000).selectExpr("format_string('P%05d', id) as project_id", "'n' as project_name",
+                                              "1.0D as latitude", "2.0D as longitude")
+    got = G.closest_pairs(projects, 20)
+    assert [(r.project_id_1, r.project_id_2) for r in got.collect()] == [("P00000", f"P{i:05d}") for i in range(1, 21)]

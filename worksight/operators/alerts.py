@@ -70,9 +70,17 @@ def add_alerts(explained: DataFrame) -> DataFrame:
     })
 
 
-def investigation_rank(alerts: DataFrame) -> DataFrame:
-    """1..n over the whole table; ties go by project id."""
-    return global_rank(alerts, rank_order(), "investigation_rank")
+RANK_KEYS = ["project_id", "overall_risk_score", "risk_signal_count"]
+
+
+def investigation_rank(alerts: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
+    """1..n over the whole table; ties go by project id.
+
+    Ranking writes its rows twice.  ``carry`` names the columns to take along
+    beside the three that decide the rank (default: all of the table).
+    """
+    narrow = alerts if carry is None else alerts.select(*dict.fromkeys([*RANK_KEYS, *carry]))
+    return global_rank(narrow, rank_order(), "investigation_rank")
 
 
 # --- reports on the finished table -------------------------------------------

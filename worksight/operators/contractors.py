@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ladder, points, strip
+from ..plans.skew import LOOKUP_ROWS_PER_TASK, lookup_join
 
 c = F.col
 
@@ -28,10 +29,11 @@ def contractor_history(features: DataFrame) -> DataFrame:
         c("contractor_risk_score"), [(70, "HIGH"), (40, "MEDIUM")], "LOW"))
 
 
-def contractor_scores(features: DataFrame) -> DataFrame:
-    """Score of the contractor for each project."""
+def contractor_scores(features: DataFrame, limit: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
+    """Score of the contractor for each project; every project without one is under the same name, so crowded
+    names are salted."""
     history = contractor_history(features).select("contractor", "contractor_risk_score")
     score = F.coalesce(c("contractor_risk_score"), F.lit(0.0))
-    return (features.select("project_id", contractor_key().alias("contractor"))
-            .join(history, "contractor", "left")
+    named = features.select("project_id", contractor_key().alias("contractor"))
+    return (lookup_join(named, history, "contractor", "project_id", limit)
             .select("project_id", score.alias("contractor_risk_score"), (score >= 70).alias("contractor_anomaly")))

@@ -25,7 +25,7 @@ from ..constants import ENGLISH_STOP_WORDS, MIN_ROWS_FOR_PAIRS, TEXT_SIMILARITY
 from ..functions.columns import round_even
 from ..functions.text import ngrams, tokens
 from ..plans.materialize import materialize, spread
-from ..plans.skew import ROWS_PER_TASK, salt_of, salts
+from ..plans.skew import ROWS_PER_TASK, lookup_join, salt_of, salts
 
 c = F.col
 # Float sums in another order may differ in the last bits; pruning keeps this margin.
@@ -205,7 +205,7 @@ def duplicate_risk(projects: DataFrame, doc_id: str = "project_id", text: Column
     by_text = groups.join(best, "group", "left").select(
         "text_key", F.when(c("copies") > 1, F.lit(1.0)).otherwise(c("best")).alias("best"))
     match = F.coalesce(c("best"), F.lit(0.0))
-    return members.join(by_text, "text_key", "left").select(
+    return lookup_join(members, by_text, "text_key", "id", how="left").select(
         c("id").alias(doc_id), (match > 0).alias("duplicate_anomaly"),
         round_even(F.least(match * 100, F.lit(100.0)), 2).alias("duplicate_risk_score"),
         match.alias("duplicate_match_score"))

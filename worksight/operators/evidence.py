@@ -17,6 +17,8 @@ from ..plans.skew import LOOKUP_ROWS_PER_TASK, lookup_join
 
 c = F.col
 
+EMPTY_HASH_PARTS = 4096         # parts into which the images without a hash are dealt
+
 DOCUMENT_FLAGS = ["amount_mismatch", "contractor_mismatch", "location_mismatch", "missing_document"]
 IMAGE_FLAGS = ["missing_image", "reused_image", "high_similarity", "potentially_reused"]
 INSPECTION_FLAGS = ["missing_inspection", "failed_inspection", "needs_improvement", "low_inspection_score"]
@@ -103,9 +105,12 @@ def image_hash_reuse(images: DataFrame, count_empty: bool = False) -> DataFrame:
 def _check_images(images: DataFrame, count_empty: bool) -> DataFrame:
     reuse = image_hash_reuse(images, count_empty)
     exists = c("image_id").isNotNull()
+    # Images without a hash all have the same one; the join deals them out by id.
+    without = (F.coalesce(c("image_hash"), F.lit("")) == "") & F.lit(not count_empty)
+    part = F.when(without, F.pmod(F.xxhash64("project_id", "image_id"), F.lit(EMPTY_HASH_PARTS))).otherwise(F.lit(0))
     rows = (images.select("project_id", "image_id", "image_hash", "similarity_score",
-                          c("status").alias("image_status"))
-            .join(reuse, "image_hash", "left")
+                          c("status").alias("image_status"), part.cast("int").alias("_part"))
+            .join(reuse.withColumn("_part", F.lit(0)), ["image_hash", "_part"], "left").drop("_part")
             .withColumn("similarity_score", F.coalesce(c("similarity_score"), F.lit(0.0))))
     rows = rows.withColumns({
         "image_exists": exists,

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import SIGNAL_LABELS
 from ..functions.columns import percent_of, round_even, strip
 from .alerts import mean_score
-from .proximity import closest_overlaps
+from .proximity import closest_pairs
 
 c = F.col
 GROUP_KEYS = {"state": "state", "district": "district", "project_type": "project_type", "contractor": "contractor"}
@@ -91,12 +91,13 @@ def risk_by_all(alerts: DataFrame, top: int = TOP_GROUPS) -> DataFrame:
             .withColumn("position", F.row_number().over(best)).where(c("position") <= top))
 
 
-def portfolio_insights(alerts: DataFrame, geo_pairs: DataFrame | None = None, top_pairs: int = 20) -> dict[str, DataFrame]:
+def portfolio_insights(alerts: DataFrame, projects: DataFrame | None = None, top_pairs: int = 20) -> dict[str, DataFrame]:
     """All portfolio aggregates by name.  Pass a stored risk table: every
-    entry reads it again, though only the columns it needs."""
+    entry reads it again, though only the columns it needs.  With
+    ``projects``, the closest pairs of them are added."""
     out = {"totals": portfolio_totals(alerts), "fund_tracking": fund_tracking(alerts),
            "status_breakdown": status_breakdown(alerts), "signal_frequency": signal_frequency(alerts),
            **{f"risk_by_{kind}": risk_by(alerts, column) for kind, column in GROUP_KEYS.items()}}
-    if geo_pairs is not None:
-        out["geo_overlap_pairs"] = closest_overlaps(geo_pairs, top_pairs)
+    if projects is not None:
+        out["geo_overlap_pairs"] = closest_pairs(projects, top_pairs)
     return out

@@ -6,13 +6,13 @@ through a cubic grid, so work follows the number of real neighbours, not the
 square of the table; crowded cells are spread over several tasks.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import MIN_ROWS_FOR_PAIRS, OVERLAP_KM
 from ..functions.columns import clean_double, round_even
 from ..functions.geo import forward_offsets, grid_cell, haversine_km
 from ..plans.materialize import materialize
-from ..plans.skew import ROWS_PER_TASK, crowded_keys, salt_of, salts
+from ..plans.skew import ROWS_PER_TASK, crowded_keys, lookup_join, salt_of, salts
 
 c = F.col
 SITE = ["latitude", "longitude"]
@@ -24,20 +24,20 @@ def located(projects: DataFrame, *keep: str) -> DataFrame:
     return rows.where(c("latitude").isNotNull() & c("longitude").isNotNull())
 
 
-def sites(points: DataFrame, threshold_km: float) -> DataFrame:
-    """Distinct coordinates, the projects on each, and the grid cell.
+def sites(points: DataFrame, threshold_km: float, *more: Column) -> DataFrame:
+    """Distinct coordinates, the projects on each, ``more`` aggregates, and the grid cell.
 
     Written once: four narrow columns that the steps below read repeatedly.
     """
     enough = points.agg(F.count("*")).scalar() >= MIN_ROWS_FOR_PAIRS
-    places = (points.groupBy(*SITE).agg(F.count("*").alias("projects")).where(enough)
+    places = (points.groupBy(*SITE).agg(F.count("*").alias("projects"), *more).where(enough)
               .withColumn("cell", grid_cell(c("latitude"), c("longitude"), threshold_km)))
     return materialize(places, "sites")
 
 
 def near_sites(places: DataFrame, threshold_km: float = OVERLAP_KM,
                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Each unordered pair of different sites within the threshold, once."""
+    """Each unordered pair of different sites within the threshold, once, with the columns of both."""
     steps = F.array(*[F.lit(s) for s in forward_offsets(threshold_km)])
     visitors = places.withColumn("step", F.explode(steps)).withColumn("cell", c("cell") + c("step"))
     home, keys = places, ["cell"]
@@ -48,7 +48,7 @@ def near_sites(places: DataFrame, threshold_km: float = OVERLAP_KM,
             "salt", salt_of(c("n"), F.struct(*SITE), rows_per_task))
         home = home.join(crowded, "cell", "left").withColumn("salt", F.explode(salts(c("n"), rows_per_task)))
         keys = ["cell", "salt"]
-    columns = [*SITE, "projects"]
+    columns = [x for x in places.columns if x != "cell"]
     visitors = visitors.select(*keys, "step", *[c(x).alias(f"{x}_1") for x in columns])
     home = home.select(*keys, *[c(x).alias(f"{x}_2") for x in columns])
     one, two = F.struct("latitude_1", "longitude_1"), F.struct("latitude_2", "longitude_2")
@@ -110,7 +110,7 @@ def geo_hits(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
     limit = F.lit(float(threshold_km))
     closeness = F.greatest((limit - c("geo_nearest_km")) / limit, F.lit(0.0))
     bonus = F.least(c("geo_overlap_count"), F.lit(3)) * 10
-    return points.join(stats, SITE).select(
+    return lookup_join(points, stats, SITE, "project_id").select(
         "project_id", F.lit(True).alias("geo_anomaly"),
         round_even(F.least(closeness * 70 + bonus, F.lit(100.0)), 2).alias("geo_risk_score"),
         "geo_overlap_count", "geo_nearest_km")
@@ -125,4 +125,40 @@ def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
 
 
 def closest_overlaps(pairs: DataFrame, k: int = 20) -> DataFrame:
+    """The first pairs of a listing by distance, then ids."""
     return pairs.orderBy("distance_km", "project_id_1", "project_id_2").limit(k)
+
+
+def closest_pairs(projects: DataFrame, k: int = 20, threshold_km: float = OVERLAP_KM, names: bool = True) -> DataFrame:
+    """``closest_overlaps(geo_pairs(projects), k)`` without the listing.
+
+    A pair of sites has its first project pair from the smallest id of each,
+    so the k best site pairs in that order, and the k best sites with several
+    projects, hold the k first project pairs.  Of a site, the k + 1 smallest
+    ids suffice: any other pair comes after k pairs with smaller ids.
+    """
+    keep = ["project_name"] if names else []
+    points = located(projects, *keep)
+    places = sites(points, threshold_km, F.min("project_id").alias("low"), F.max("project_id").alias("high"))
+    ends = {s: [f"{x}_{s}" for x in SITE] for s in "12"}
+    lows = [F.least("low_1", "low_2"), F.greatest("low_1", "low_2")]
+    between = (near_sites(places, threshold_km).select(*ends["1"], *ends["2"], round_even(c("km"), 3).alias("km"),
+                                                       lows[0].alias("p"), lows[1].alias("q"))
+               .orderBy("km", "p", "q").limit(k).drop("p", "q"))
+    within = places.where(c("low") < c("high")).orderBy("low").limit(k).select(
+        *[c(x).alias(f"{x}_{s}") for s in "12" for x in SITE], F.lit(0.0).alias("km"))
+    picked = materialize(between.unionByName(within), "closest-sites")       # at most 2 k rows
+    wanted = picked.select(F.inline(F.array(*[F.struct(*[c(n).alias(x) for n, x in zip(ends[s], SITE)]) for s in "12"])))
+    # Ranking with a constant limit is cut in each task before the shuffle, so a crowded site sends little.
+    by_id = Window.partitionBy(*SITE).orderBy("project_id")
+    heads = materialize(points.join(F.broadcast(wanted.distinct()), SITE).withColumn("place", F.dense_rank().over(by_id))
+                        .where(c("place") <= k + 1).select(*SITE, F.struct("project_id", *keep).alias("at")), "site-heads")
+    met = picked
+    for s in "12":
+        met = met.join(heads.select(*[c(x).alias(f"{x}_{s}") for x in SITE], c("at").alias(f"at_{s}")), ends[s])
+    same = (c("latitude_1") == c("latitude_2")) & (c("longitude_1") == c("longitude_2"))
+    met = met.where(~same | (c("at_1.project_id") < c("at_2.project_id")))
+    first, second = F.least("at_1", "at_2"), F.greatest("at_1", "at_2")
+    columns = [side[field].alias(f"{field}_{s}") for field in ["project_id", *keep]
+               for s, side in (("1", first), ("2", second))]
+    return closest_overlaps(met.select(*columns, c("km").alias("distance_km")), k)

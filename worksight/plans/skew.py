@@ -45,17 +45,18 @@ def crowded_keys(df: DataFrame, keys: list[str], limit: int, most: int = BROADCA
     return F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
 
 
-def lookup_join(facts: DataFrame, table: DataFrame, key: str, row_key: str,
-                limit: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
-    """Inner join of facts to a table with one row per key.
+def lookup_join(facts: DataFrame, table: DataFrame, key: str | list[str], row_key: str,
+                limit: int = LOOKUP_ROWS_PER_TASK, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of facts to a table with one row per key.
 
     Adaptive execution does not split a crowded key when the next step groups
     by the same key, because the split would need one more shuffle.  Crowded
     keys are salted here, so the grouping combines in many tasks first.
     """
-    crowded = crowded_keys(facts, [key], limit)
+    keys = [key] if isinstance(key, str) else list(key)
+    crowded = crowded_keys(facts, keys, limit)
     if crowded is None:
-        return facts.join(table, key)
-    spread = facts.join(crowded, key, "left").withColumn("_salt", salt_of(F.col("n"), F.col(row_key), limit)).drop("n")
-    copies = table.join(crowded, key, "left").withColumn("_salt", F.explode(salts(F.col("n"), limit))).drop("n")
-    return spread.join(copies, [key, "_salt"]).drop("_salt")
+        return facts.join(table, keys, how)
+    spread = facts.join(crowded, keys, "left").withColumn("_salt", salt_of(F.col("n"), F.col(row_key), limit)).drop("n")
+    copies = table.join(crowded, keys, "left").withColumn("_salt", F.explode(salts(F.col("n"), limit))).drop("n")
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

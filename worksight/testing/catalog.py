@@ -294,8 +294,7 @@ QUERIES = {
     # proximity
     "geo_pairs": _mk(lambda s, f: proximity.geo_pairs(B.projects(s, f))),
     "geo_project_risk": _mk(lambda s, f: proximity.geo_risk(B.dataset(s, f).projects)),
-    "geo_closest20": _mk(lambda s, f: proximity.closest_overlaps(proximity.geo_pairs(B.projects(s, f))),
-                         cols(*CLOSEST)),
+    "geo_closest20": _mk(lambda s, f: proximity.closest_pairs(B.projects(s, f)), cols(*CLOSEST)),
     # near duplicates
     "dup_pairs": _mk(q_dup_pairs),
     "dup_text_groups": _mk(q_dup_text_groups),
@@ -327,7 +326,7 @@ QUERIES = {
     "explanations_summary": _mk(lambda s, f: _alerts(s, f, "summary"), joined_reasons,
                                 cols("project_id", "risk_reasons", "risk_reason_count", "alert_type")),
     "alerts": _mk(_alerts, cols(*ALERT_OUT)),
-    "investigation_rank": _mk(_alerts, A.investigation_rank, cols(
+    "investigation_rank": _mk(_alerts, lambda df: A.investigation_rank(df, ()), cols(
         "project_id", "overall_risk_score", "risk_signal_count", "investigation_rank")),
     # reports on the risk table
     "risk_summary": _mk(_alerts, A.risk_summary),
