@@ -14,8 +14,7 @@ from ..sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, PROJECTS, normalize
 from ..sources.sinks import to_records
 from ..streaming import intake
 from . import bindings as B
-from .oracle import (ALL_COLUMNS, ALL_FILES, FLAGS, SCORES, compose, effective_weights, even, pct,
-                     signal_availability, text)
+from .oracle import FLAGS, SCORES, compose, even, pct, text, weights_without
 
 c = F.col
 SEARCH, LEVEL, LOOKUP = "widget", "MEDIUM", "P4"
@@ -420,8 +419,7 @@ def _zscore():
 
 
 def _readiness():
-    active = signal_availability(ALL_COLUMNS, ALL_FILES, True)
-    weights = effective_weights(active)
+    weights = weights_without()
     enough = " + ".join(f"cast(count({x}) >= 20 as int)" for x in K.OUTLIER_FEATURES)
     rows = ", ".join(f"({text(s)}, {text(', '.join(K.SIGNAL_INPUTS[s]))}, {w!r}e0)" for s, w in weights.items())
     return compose(

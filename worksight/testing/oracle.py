@@ -1,17 +1,16 @@
 """SQL answers for the oracle, composed from named common table expressions.
 
 Written independently of the operators: pairs by direct comparison, evidence
-by outer joins, ranks by one global window.
+by outer joins, ranks by one global window.  Weights, labels and alert words
+are stated here again, so a wrong one in an operator shows; column names, the
+sentences of the reasons and the stop words are shared with the operators.
 """
 
 import re
 
 from .. import constants as K
-from ..operators.alerts import (ACTION, ALERT_COLUMNS, DETAIL_COLUMNS, FLAG_ALERT, GENERAL_ALERT, HIGH_RISK_COLUMNS,
-                                LEVEL_ALERT, PRIORITY, WORD_ALERT)
+from ..operators.alerts import ALERT_COLUMNS, DETAIL_COLUMNS, HIGH_RISK_COLUMNS
 from ..operators.explain import TEXT
-from ..operators.fusion import effective_weights, signal_availability
-from ..sources.schema import PROJECTS
 from .bindings import AS_OF, VIEWS
 
 FLAGS = list(K.FLAG_COLUMN.values())
@@ -215,13 +214,20 @@ from (select report_id, submitted_at, trim(project_id) as project_id, trim(upper
              trim(description) as description from submissions) s left join projects p using (project_id)""",
 })
 
-ALL_COLUMNS = dict.fromkeys([n for n in PROJECTS.canonical], True)
+# Hundredths of each signal.
+HUNDREDTHS = {"financial": 13, "delay": 13, "progress": 14, "contractor": 10, "document": 10, "image": 10,
+              "inspection": 10, "ml_anomaly": 5, "duplicate": 5, "geo": 5, "citizen": 5}
+
+
+def weights_without(*missing: str) -> dict[str, float]:
+    """Weights when all inputs but those of ``missing`` signals are supplied."""
+    there = {s: n / 100 for s, n in HUNDREDTHS.items() if s not in missing}
+    return {s: there.get(s, 0.0) / sum(there.values()) for s in HUNDREDTHS}
 
 
 def fused(name: str, files: dict[str, bool]) -> dict[str, str]:
     """The fused table without the model-based signal."""
-    available = signal_availability(ALL_COLUMNS, files, False)
-    weights = effective_weights(available)
+    weights = weights_without("ml_anomaly", *[n for n in ("document", "image", "inspection") if not files[n + "s"]])
     score = "0e0 + " + " + ".join(f"{K.SCORE_COLUMN[s]} * {num(w)}" for s, w in weights.items() if w > 0)
     off = [n for n in ("document", "image", "inspection") if not files[n + "s"]]
     nulls = {"document": "amount_mismatch contractor_mismatch location_mismatch missing_document".split(),
@@ -304,21 +310,38 @@ def reasons(detail: bool) -> str:
 
 def alert_ctes(name: str, source: str, detail: bool) -> dict[str, str]:
     some = "risk_signal_count > 0"
-    level = " ".join(f"when risk_level = {text(k)} then {text(v)}" for k, v in LEVEL_ALERT.items())
-    by_word = " ".join("when " + " or ".join(f"contains(lower(risk_reasons), {text(w)})" for w in words)
-                       + f" then {text(v)}" for words, v in WORD_ALERT)
-    by_flag = " ".join(f"when {K.FLAG_COLUMN[s]} then {text(v)}" for s, v in FLAG_ALERT)
-    sharp = " or ".join(K.FLAG_COLUMN[s] for s in K.SHARP_SIGNALS)
+    said = "lower(risk_reasons)"
+    level = "when risk_level = 'CRITICAL' then 'CRITICAL RISK ALERT' when risk_level = 'HIGH' then 'HIGH RISK ALERT'"
+    by_word = f"""when contains({said}, 'financial') then 'FINANCIAL ALERT'
+       when contains({said}, 'delay') then 'DELAY ALERT'
+       when contains({said}, 'document') then 'DOCUMENT ALERT'
+       when contains({said}, 'inspection') then 'INSPECTION ALERT'
+       when contains({said}, 'image') then 'IMAGE EVIDENCE ALERT'
+       when contains({said}, 'ml model') or contains({said}, 'isolation forest') then 'ML ANOMALY ALERT'
+       when contains({said}, 'duplicate') or contains({said}, 're-registered') then 'DUPLICATE PROJECT ALERT'
+       when contains({said}, 'location overlaps') then 'GEO-SPATIAL OVERLAP ALERT'
+       when contains({said}, 'citizen report') then 'CITIZEN REPORTED ALERT'"""
+    by_flag = """when financial_anomaly then 'FINANCIAL ALERT' when delay_anomaly then 'DELAY ALERT'
+       when document_anomaly then 'DOCUMENT ALERT' when inspection_anomaly then 'INSPECTION ALERT'
+       when image_anomaly then 'IMAGE EVIDENCE ALERT' when ml_anomaly then 'ML ANOMALY ALERT'
+       when duplicate_anomaly then 'DUPLICATE PROJECT ALERT' when geo_anomaly then 'GEO-SPATIAL OVERLAP ALERT'
+       when citizen_anomaly then 'CITIZEN REPORTED ALERT'"""
+    sharp = ("financial_anomaly or document_anomaly or image_anomaly or duplicate_anomaly or geo_anomaly "
+             "or ml_anomaly or citizen_anomaly")
+    priority = [(90, "P1 - IMMEDIATE"), (70, "P2 - HIGH PRIORITY"), (40, "P3 - MONITOR")]
+    action = [(90, "Immediate human verification / field inspection"),
+              (70, "Priority investigation by responsible authority"),
+              (40, "Monitor project and review supporting evidence")]
     return {
         f"{name}_said": f"select *, case when len(rr) = 0 then {say('none')} else array_to_string(rr, ' | ') end "
                         f"as risk_reasons, cast(greatest(len(rr), 1) as bigint) as risk_reason_count "
                         f"from (select *, {reasons(detail)} as rr from {source}) t",
         name: f"""
-select *, {ladder(PRIORITY, f"case when {some} then 'P4 - REVIEW' else 'P5 - NORMAL' end")} as priority,
-       {ladder(ACTION, f"case when {some} then 'Routine verification recommended' "
+select *, {ladder(priority, f"case when {some} then 'P4 - REVIEW' else 'P5 - NORMAL' end")} as priority,
+       {ladder(action, f"case when {some} then 'Routine verification recommended' "
                        "else 'No immediate action required' end")} as recommended_action,
-       case {level} {by_word} else {text(GENERAL_ALERT)} end as alert_type,
-       case {level} {by_flag} else {text(GENERAL_ALERT)} end as alert_type_by_flag,
+       case {level} {by_word} else 'GENERAL REVIEW ALERT' end as alert_type,
+       case {level} {by_flag} else 'GENERAL REVIEW ALERT' end as alert_type_by_flag,
        {sharp} as sharp_signal_fired, overall_risk_score >= 40 or {sharp} as alert_required,
        {ladder([(90, "CRITICAL"), (70, "HIGH"), (40, "MEDIUM")],
                f"case when {sharp} then 'MEDIUM' else 'NONE' end")} as alert_severity
