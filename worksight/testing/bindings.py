@@ -22,56 +22,74 @@ select l_orderkey,
 from lineitem group by l_orderkey""",
     "projects": """
 select concat('P', cast(o_orderkey as varchar(20))) as project_id,
-       concat(p_name, ' ', p_type) as project_name,
+       case when o_custkey % 50 in (7, 9) then concat('Community Hall Phase ', c_name)
+            when o_orderkey % 8 = 0 then concat(p_name, ' ', p_type)
+            when o_orderkey % 8 = 1 then concat(p_name, ' ', p_type, ' ', c_name)
+            else concat('Site', cast(o_orderkey as varchar(20)), ' ', p_name) end as project_name,
        r_name as state, n_name as district,
        concat('MP_', n_name) as mp_name,
        o_orderpriority as project_type,
        c_name as contractor, c_mktsegment as agency,
-       case o_orderstatus when 'F' then 'Completed' when 'O' then 'In Progress' else 'Delayed' end as status,
+       case when o_custkey % 50 in (7, 9) then 'Delayed' when o_orderstatus = 'F' then 'Completed'
+            when o_orderstatus = 'O' then 'In Progress' else 'Delayed' end as status,
        cast(o_totalprice as double) as sanctioned_amount,
        cast(case when o_orderkey % 11 = 0 then o_totalprice
-            when o_orderkey % 29 = 0 then o_totalprice * 11e-1
+            when o_orderkey % 29 = 0 or o_custkey % 50 in (7, 9) then o_totalprice * 11e-1
             else o_totalprice * 75e-2 end as double) as released_amount,
-       cast(case when o_orderkey % 37 = 0 then 0e0
-            when n_lines is null then null
-            else o_totalprice * (2e-1 + 9e-1 * ((o_orderkey * 31) % 97) / 97e0) end as double) as utilized_amount,
-       cast(pct_done as double) as completion_percentage,
-       cast(case when n_lines is null then null
-            else 2e-1 + 9e-1 * ((o_orderkey * 31) % 97) / 97e0 end as double) as financial_progress_ratio,
+       cast(case when o_orderkey % 37 = 0 then 0e0 else o_totalprice * spent end as double) as utilized_amount,
+       cast(case when o_custkey % 50 in (7, 9) then 1e1 else pct_done end as double) as completion_percentage,
+       cast(spent as double) as financial_progress_ratio,
        cast(case when o_orderkey % 53 = 0 then null
-            else 1e1 + n_nationkey + 2e-1 * ((o_orderkey * 7919) % 10007) / 10007e0 end as double) as latitude,
+            when o_custkey % 50 in (7, 9) then 1e1 + n_nationkey
+            else 1e1 + n_nationkey + 9e-1 * ((o_orderkey * 7919) % 10007) / 10007e0 end as double) as latitude,
        cast(case when o_orderkey % 53 = 0 then null
-            else 7e1 + n_nationkey + 2e-1 * ((o_orderkey * 104729) % 10009) / 10009e0 end as double) as longitude,
+            when o_custkey % 50 in (7, 9) then 7e1 + n_nationkey + 9e-1 * ((o_custkey * 7919) % 10007) / 10007e0
+            else 7e1 + n_nationkey + 9e-1 * ((o_orderkey * 104729) % 10009) / 10009e0 end as double) as longitude,
        cast(o_orderdate as date) as sanction_date,
        cast(o_orderdate as date) + 10 as start_date,
        cast(o_orderdate as date) + 200 as expected_completion_date,
-       case when n_open = 0 and last_ship > cast(o_orderdate as date) then last_ship end as actual_completion_date
-from orders
+       case when o_custkey % 50 in (7, 9) then null
+            when n_open = 0 and last_ship > cast(o_orderdate as date) then last_ship end as actual_completion_date
+from (select *, case when o_custkey % 50 in (7, 9) then 11e-1
+                     when n_lines is null then null
+                     when (o_orderkey * 31) % 97 < 60 then pct_done * 94e-4 + ((o_orderkey * 31) % 97) / 1e3
+                     else 2e-1 + 9e-1 * ((o_orderkey * 31) % 97) / 97e0 end as spent,
+             o_orderkey % (select count(*) from part) as part_key
+      from orders left join line_agg on l_orderkey = o_orderkey) o
 join customer on o_custkey = c_custkey
 join nation on c_nationkey = n_nationkey
 join region on n_regionkey = r_regionkey
-join part on p_partkey = o_orderkey % 200
-left join line_agg on l_orderkey = o_orderkey""",
+join part on p_partkey = part_key""",
     "evidence_documents": """
 select l_orderkey * 10 + l_linenumber as document_id, project_id, 'Utilization Certificate' as document_type,
-       cast(case when l_returnflag = 'R' then utilized_amount * 125e-2 else utilized_amount end as double) as amount,
-       case when l_partkey % 5 = 0 then 'Different Contractor' else contractor end as contractor,
-       case when l_partkey % 7 = 0 then 'Different Location' else concat(district, ', ', state) end as location,
+       cast(case when l_returnflag = 'R' and l_partkey % 20 = 0 or contractor_key % 50 = 7 then utilized_amount * 125e-2
+            else utilized_amount end as double) as amount,
+       case when l_partkey % 41 = 0 or contractor_key % 50 = 7 then 'Different Contractor' else contractor end
+         as contractor,
+       case when l_partkey % 43 = 0 or contractor_key % 50 = 7 then 'Different Location'
+            else concat(district, ', ', state) end as location,
        l_linestatus as status
-from lineitem join projects on project_id = concat('P', cast(l_orderkey as varchar(20)))""",
+from (select *, cast(substr(contractor, 10) as bigint) as contractor_key
+      from lineitem join projects on project_id = concat('P', cast(l_orderkey as varchar(20)))) e""",
+    # A third of the images carries no hash.
     "evidence_images": """
 select l_orderkey * 10 + l_linenumber as image_id, concat('P', cast(l_orderkey as varchar(20))) as project_id,
-       md5(concat(cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)))) as image_hash,
-       cast(l_discount * 10 as double) as similarity_score,
-       case when l_returnflag = 'R' and l_linestatus = 'F' then 'Potentially Reused' else 'Valid' end as status
-from lineitem""",
+       case when o_custkey % 50 = 7 then md5(cast(o_custkey as varchar(20)))
+            when l_partkey % 3 = 0 then ''
+            else md5(concat(cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)), '-',
+                            cast(l_linenumber as varchar(20)))) end as image_hash,
+       cast(case when o_custkey % 50 = 7 then 95e-2 else l_discount * 8e0 + l_tax * 2e0 end as double)
+         as similarity_score,
+       case when o_custkey % 50 = 7 or l_returnflag = 'R' and l_suppkey % 13 = 0 then 'Potentially Reused'
+            else 'Valid' end as status
+from lineitem join orders on l_orderkey = o_orderkey""",
     "inspections": """
 select l_orderkey * 10 + l_linenumber as inspection_id, concat('P', cast(l_orderkey as varchar(20))) as project_id,
-       cast(l_quantity * 2 as double) as inspection_score,
-       case l_returnflag when 'A' then 'Passed' when 'N' then 'Needs Improvement' else 'Failed' end
-         as inspection_status,
+       cast(case when o_custkey % 50 = 7 then 20 else 46 + l_quantity end as double) as inspection_score,
+       case when o_custkey % 50 = 7 or l_partkey % 47 = 0 then 'Failed'
+            when l_partkey % 37 = 0 then 'Needs Improvement' else 'Passed' end as inspection_status,
        cast(l_shipdate as date) as inspection_date
-from lineitem""",
+from lineitem join orders on l_orderkey = o_orderkey""",
     "citizen_reports": """
 select event_id as report_id, ts as submitted_at,
        concat('P', cast((event_id * event_id) % (select count(*) from orders) as varchar(20))) as project_id,
@@ -99,7 +117,7 @@ from events""",
 
 NEEDS = {"projects": ["line_agg"], "evidence_documents": ["projects"]}
 SOURCES = {"line_agg": ["lineitem"], "projects": ["orders", "customer", "nation", "region", "part"],
-           "evidence_documents": ["lineitem"], "evidence_images": ["lineitem"], "inspections": ["lineitem"],
+           "evidence_documents": ["lineitem"], "evidence_images": ["lineitem", "orders"], "inspections": ["lineitem", "orders"],
            "citizen_reports": ["events", "orders"], "verifications": ["events"], "submissions": ["events"]}
 
 
