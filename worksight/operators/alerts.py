@@ -133,13 +133,16 @@ def project_detail(alerts: DataFrame, project_id: str) -> DataFrame:
     return alerts.where(c("project_id") == project_id.strip()).select(*DETAIL_COLUMNS)
 
 
-def search_projects(alerts: DataFrame, text: str = "", level: str = "ALL", limit: int = 200) -> DataFrame:
-    """First matches in rank order; the text may stand in any searched column."""
+def search_projects(alerts: DataFrame, text: str = "", level: str = "ALL",
+                    limit: int | None = 200) -> DataFrame:
+    """Matches in rank order; the text may stand in any searched column.  The
+    default limit is the length of a screen; ``None`` returns every match."""
     found = alerts if level == "ALL" else alerts.where(c("risk_level") == level)
     query = text.strip().lower()
     if query:
         found = found.where(any_of(*[F.contains(F.lower(x), F.lit(query)) for x in SEARCHED]))
-    return found.orderBy(*rank_order()).limit(limit)
+    ranked = found.orderBy(*rank_order())
+    return ranked if limit is None else ranked.limit(limit)
 
 
 # --- reports of single signals -----------------------------------------------

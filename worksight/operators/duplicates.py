@@ -122,11 +122,12 @@ def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
         "group_1", "group_2", round_even(c("cosine"), 3).alias("similarity_score"))
 
 
-def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words, min_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    # ``min_rows``: a smaller table has no pairs at all (a rule of the analysis, not of the plan).
     rows = docs.count()
     # Texts are split into words once; all later steps read the result.
     words = materialize(text_members(spread(docs, rows), doc_id, text, stop_words), "words")
-    enough = F.lit(rows >= MIN_ROWS_FOR_PAIRS)
+    enough = F.lit(rows >= min_rows)
     total = F.lit(rows)
     groups = text_groups(words.where((F.size("words") > 0) & enough))
     # A term that only one text holds counts for its length, then is done.
@@ -137,13 +138,14 @@ def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words) -> tuple[Da
 
 
 def similar_texts(docs: DataFrame, doc_id: str, text: Column, threshold: float = TEXT_SIMILARITY,
-                  stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> DataFrame:
+                  stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS),
+                  min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """Similar pairs of distinct texts with the copies on each side.
 
     Linear in the copies: a text used by a million projects is one row
     ``(group, group, copies, copies, 1.0)``, not a million squared.
     """
-    _, groups, terms = _prepare(docs, doc_id, text, stop_words)
+    _, groups, terms = _prepare(docs, doc_id, text, stop_words, min_rows)
     a = groups.select(c("group").alias("group_1"), c("copies").alias("copies_1"))
     b = groups.select(c("group").alias("group_2"), c("copies").alias("copies_2"))
     between = similar_groups(terms, threshold).join(a, "group_1").join(b, "group_2")
@@ -156,14 +158,14 @@ def similar_texts(docs: DataFrame, doc_id: str, text: Column, threshold: float =
 def duplicate_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column | None = None,
                     name: str | None = None, threshold: float = TEXT_SIMILARITY,
                     stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS),
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                    rows_per_task: int = ROWS_PER_TASK, min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """Every similar pair of projects, smaller id first.
 
     This listing is as large as its answer; a text with m copies has
     m(m-1)/2 pairs.  Scores use ``duplicate_risk`` and reports
     ``similar_texts``, which stay linear.  Large groups are spread by salt.
     """
-    members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words)
+    members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words, min_rows)
     # Both joins meet all members of a group, so both are salted by its size.
     sized = members.join(groups, "text_key")
     one = sized.select(c("group").alias("group_1"), c("id").alias(f"{doc_id}_1"),
@@ -190,13 +192,47 @@ def duplicate_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column |
     return pairs
 
 
+def most_similar_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column | None = None, k: int = 20,
+                       threshold: float = TEXT_SIMILARITY,
+                       stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS),
+                       min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
+    """The first ``k`` of ``duplicate_pairs`` by similarity, then ids, without the listing.
+
+    A group is named by its smallest id, so the first pair of two groups is
+    that of their names, and the k best pairs of groups hold the k first
+    pairs.  Of a group, the k + 1 smallest ids suffice.
+    """
+    members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words, min_rows)
+    between = (similar_groups(terms, threshold)
+               .select("similarity_score", F.least("group_1", "group_2").alias("group_1"),
+                       F.greatest("group_1", "group_2").alias("group_2"))
+               .orderBy(c("similarity_score").desc(), "group_1", "group_2").limit(k))
+    within = (groups.where(c("copies") > 1).orderBy("group").limit(k)
+              .select(F.lit(1.0).alias("similarity_score"), c("group").alias("group_1"), c("group").alias("group_2")))
+    picked = materialize(between.unionByName(within), "similar-groups")      # at most 2 k rows
+    wanted = picked.select(F.explode(F.array("group_1", "group_2")).alias("group")).distinct()
+    keys = groups.join(F.broadcast(wanted), "group").select("text_key", "group")
+    # Ranking with a constant limit is cut in each task before the shuffle, so a crowded text sends little.
+    by_id = Window.partitionBy("group").orderBy("id")
+    heads = materialize(members.join(F.broadcast(keys), "text_key").select("group", "id")
+                        .withColumn("place", F.row_number().over(by_id)).where(c("place") <= k + 1), "group-heads")
+    met = picked
+    for side in ("1", "2"):
+        met = met.join(heads.select(c("group").alias(f"group_{side}"), c("id").alias(f"id_{side}")), f"group_{side}")
+    a, b = c("id_1"), c("id_2")
+    return (met.where((c("group_1") != c("group_2")) | (a < b))
+            .select(F.least(a, b).alias(f"{doc_id}_1"), F.greatest(a, b).alias(f"{doc_id}_2"), "similarity_score")
+            .orderBy(c("similarity_score").desc(), f"{doc_id}_1", f"{doc_id}_2").limit(k))
+
+
 def duplicate_risk(projects: DataFrame, doc_id: str = "project_id", text: Column | None = None,
                    threshold: float = TEXT_SIMILARITY,
-                   stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> DataFrame:
+                   stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS),
+                   min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """Best match of each project.  A copy scores 1.0 from the group size
     alone, and the best partner is found per distinct text, so no pair of
     copies is ever formed."""
-    members, groups, terms = _prepare(projects, doc_id, project_text() if text is None else text, stop_words)
+    members, groups, terms = _prepare(projects, doc_id, project_text() if text is None else text, stop_words, min_rows)
     # One row per side from a single pass over the pairs.
     sides = similar_groups(terms, threshold).select(
         F.explode(F.array("group_1", "group_2")).alias("group"), "similarity_score")

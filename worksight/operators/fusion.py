@@ -85,6 +85,11 @@ def data_readiness(data: Dataset, ml_fitted: bool) -> DataFrame:
         rows, "signal string, requires array<string>, available boolean, active boolean, effective_weight double")
 
 
+def readiness_totals(readiness: DataFrame) -> DataFrame:
+    """How many signals the columns and files allow, of how many."""
+    return readiness.agg(F.count_if("available").alias("signals_available"), F.count("*").alias("signals_total"))
+
+
 def data_inventory(data: Dataset) -> DataFrame:
     """Files and project columns: supplied by the source or filled in."""
     rows = [("file", n, there) for n, there in data.files.items()]

@@ -46,9 +46,14 @@ class FeatureStats:
         return len(self.features) >= 2 and self.rows >= MIN_ROWS
 
 
+def feature_gate(features: DataFrame, columns=tuple(OUTLIER_FEATURES)) -> DataFrame:
+    """One row: number of projects and of values per feature."""
+    return features.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in columns])
+
+
 def feature_stats(features: DataFrame, columns=tuple(OUTLIER_FEATURES)) -> FeatureStats:
     """Features with enough values, and their medians."""
-    row = features.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in columns]).first()
+    row = feature_gate(features, columns).first()
     used = [x for x in columns if row[x] >= MIN_ROWS]
     stats = FeatureStats(row.rows, used, {})
     if stats.usable:
@@ -75,28 +80,25 @@ def top_feature(imputed: DataFrame, stats: FeatureStats) -> DataFrame:
 
 # --- forest -----------------------------------------------------------------
 
-NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth double"
+NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth double, rows int"
 
 
 def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed: int) -> DataFrame:
     """Up to ``subsample`` rows for each tree, without replacement.
 
-    Every row names a few trees by hash, so that about twice as many rows as
-    needed apply to each tree; the tree takes those with the smallest hash.
+    One formula at every size, by hash of the id: a row enters the pool with
+    probability ``thin`` and applies to each tree with probability ``offer``,
+    so that about ``2 * subsample`` rows apply to a tree (all rows, if there
+    are no more).  The tree takes those with the smallest hash.
     """
-    wanted = 2 * trees * subsample
-    pool = imputed
-    if rows > 4 * wanted:
-        # A large table is thinned first; one hash per row.
-        share = 2 * wanted / rows
-        place = F.pmod(F.xxhash64("project_id", F.lit(seed), F.lit("pool")), F.lit(1 << 40))
-        pool, rows = imputed.where(place < F.lit(int(share * (1 << 40)))), 2 * wanted
-    draws = -(-wanted // rows)
-    if draws >= trees // 2:
-        each = F.sequence(F.lit(0), F.lit(trees - 1))
-    else:
-        each = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: F.pmod(
-            F.xxhash64("project_id", F.lit(seed), j), F.lit(trees)).cast("int")))
+    thin = min(1.0, 2 * trees * subsample / rows)
+    offer = min(1.0, 2 * subsample / (rows * thin))
+
+    def below(share: float, *salt) -> Column:
+        return F.pmod(F.xxhash64("project_id", F.lit(seed), *salt), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+
+    pool = imputed.where(below(thin, F.lit("pool")))
+    each = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: below(offer, tree))
     # A bounded number of rows, about 2 * subsample, reaches each window.
     order = Window.partitionBy("tree").orderBy(F.xxhash64("project_id", "tree", F.lit(seed)), "project_id")
     return (pool.withColumn("tree", F.explode(each))
@@ -105,9 +107,10 @@ def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed
 
 @dataclass
 class Forest:
-    """Node arrays by tree and node number: feature, split, left, right, depth."""
+    """Node arrays by tree and node number: feature, split, left, right, depth;
+    and the rows each tree was grown from."""
     features: list[str]
-    subsample: int
+    sizes: np.ndarray
     nodes: dict[str, np.ndarray]
 
 
@@ -120,8 +123,8 @@ def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subs
         tree = int(key[0])
         x = pdf.sort_values("_place")[columns].to_numpy(dtype=float)
         nodes = grow_tree(x, np.random.default_rng([seed, tree]), depth)
-        return pd.DataFrame([(tree, *n) for n in nodes],
-                            columns=["tree", "node", "feature", "split", "left", "right", "depth"])
+        return pd.DataFrame([(tree, *n, len(x)) for n in nodes],
+                            columns=["tree", "node", "feature", "split", "left", "right", "depth", "rows"])
 
     nodes = (draw_samples(imputed, stats.rows, trees, subsample, seed)
              .groupBy("tree").applyInPandas(grow, NODE_SCHEMA)).toPandas()   # at most trees * 511 rows
@@ -131,18 +134,20 @@ def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subs
     grids["feature"][:] = -1
     for n, grid in grids.items():
         grid[nodes["tree"], nodes["node"]] = nodes[n]
-    return Forest(columns, size, grids)
+    sizes = np.full(trees, size)
+    sizes[nodes["tree"]] = nodes["rows"]
+    return Forest(columns, sizes, grids)
 
 
 def score_rows(imputed: DataFrame, forest: Forest) -> DataFrame:
     # At most trees * 511 nodes, whatever the size of the portfolio.
     shared = imputed.sparkSession.sparkContext.broadcast(forest.nodes)
-    subsample = forest.subsample
+    sizes = forest.sizes
 
     @F.pandas_udf(T.DoubleType())
     def isolation(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
-        return pd.Series(raw_score(shared.value, subsample, x))
+        return pd.Series(raw_score(shared.value, sizes, x))
 
     return imputed.withColumn("_raw", isolation(*[c(x) for x in forest.features]))
 

@@ -24,12 +24,14 @@ def located(projects: DataFrame, *keep: str) -> DataFrame:
     return rows.where(c("latitude").isNotNull() & c("longitude").isNotNull())
 
 
-def sites(points: DataFrame, threshold_km: float, *more: Column) -> DataFrame:
+def sites(points: DataFrame, threshold_km: float, *more: Column, min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """Distinct coordinates, the projects on each, ``more`` aggregates, and the grid cell.
 
     Written once: four narrow columns that the steps below read repeatedly.
+    With fewer than ``min_rows`` located projects there are no pairs at all (a
+    rule of the analysis, not of the plan).
     """
-    enough = points.agg(F.count("*")).scalar() >= MIN_ROWS_FOR_PAIRS
+    enough = points.agg(F.count("*")).scalar() >= min_rows
     places = (points.groupBy(*SITE).agg(F.count("*").alias("projects"), *more).where(enough)
               .withColumn("cell", grid_cell(c("latitude"), c("longitude"), threshold_km)))
     return materialize(places, "sites")
@@ -103,10 +105,10 @@ def site_stats(places: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
         round_even(F.min("km"), 3).alias("geo_nearest_km"), F.sum("n").alias("geo_overlap_count"))
 
 
-def geo_hits(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
+def geo_hits(projects: DataFrame, threshold_km: float = OVERLAP_KM, min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """Score of the projects that overlap with another one."""
     points = located(projects)
-    stats = site_stats(sites(points, threshold_km), threshold_km)
+    stats = site_stats(sites(points, threshold_km, min_rows=min_rows), threshold_km)
     limit = F.lit(float(threshold_km))
     closeness = F.greatest((limit - c("geo_nearest_km")) / limit, F.lit(0.0))
     bonus = F.least(c("geo_overlap_count"), F.lit(3)) * 10
@@ -116,9 +118,9 @@ def geo_hits(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame
         "geo_overlap_count", "geo_nearest_km")
 
 
-def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM) -> DataFrame:
+def geo_risk(projects: DataFrame, threshold_km: float = OVERLAP_KM, min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """The same for every project, 0 without overlap."""
-    return projects.select("project_id").join(geo_hits(projects, threshold_km), "project_id", "left").select(
+    return projects.select("project_id").join(geo_hits(projects, threshold_km, min_rows), "project_id", "left").select(
         "project_id", F.coalesce(c("geo_anomaly"), F.lit(False)).alias("geo_anomaly"),
         F.coalesce(c("geo_risk_score"), F.lit(0.0)).alias("geo_risk_score"),
         F.coalesce(c("geo_overlap_count"), F.lit(0)).alias("geo_overlap_count"), "geo_nearest_km")
@@ -129,7 +131,8 @@ def closest_overlaps(pairs: DataFrame, k: int = 20) -> DataFrame:
     return pairs.orderBy("distance_km", "project_id_1", "project_id_2").limit(k)
 
 
-def closest_pairs(projects: DataFrame, k: int = 20, threshold_km: float = OVERLAP_KM, names: bool = True) -> DataFrame:
+def closest_pairs(projects: DataFrame, k: int = 20, threshold_km: float = OVERLAP_KM, names: bool = True,
+                  min_rows: int = MIN_ROWS_FOR_PAIRS) -> DataFrame:
     """``closest_overlaps(geo_pairs(projects), k)`` without the listing.
 
     A pair of sites has its first project pair from the smallest id of each,
@@ -139,7 +142,8 @@ def closest_pairs(projects: DataFrame, k: int = 20, threshold_km: float = OVERLA
     """
     keep = ["project_name"] if names else []
     points = located(projects, *keep)
-    places = sites(points, threshold_km, F.min("project_id").alias("low"), F.max("project_id").alias("high"))
+    places = sites(points, threshold_km, F.min("project_id").alias("low"), F.max("project_id").alias("high"),
+                   min_rows=min_rows)
     ends = {s: [f"{x}_{s}" for x in SITE] for s in "12"}
     lows = [F.least("low_1", "low_2"), F.greatest("low_1", "low_2")]
     between = (near_sites(places, threshold_km).select(*ends["1"], *ends["2"], round_even(c("km"), 3).alias("km"),

@@ -35,9 +35,11 @@ def grow_tree(x: np.ndarray, rng, max_depth: int) -> list[tuple]:
     return nodes
 
 
-def raw_score(nodes: dict[str, np.ndarray], subsample: int, x: np.ndarray) -> np.ndarray:
-    """-2^(-mean path / c): -1 is most isolated, 0 least."""
+def raw_score(nodes: dict[str, np.ndarray], sizes: int | np.ndarray, x: np.ndarray) -> np.ndarray:
+    """-2^(-mean of path / c): -1 is most isolated, 0 least.  ``sizes`` are the
+    rows each tree was grown from, or one number for all trees."""
     trees = len(nodes["feature"])
+    norm = np.maximum(expected_path(np.broadcast_to(sizes, trees)), 1e-12)
     total, rows = np.zeros(len(x)), np.arange(len(x))
     for t in range(trees):
         feature, split, left, right = (nodes[n][t] for n in ("feature", "split", "left", "right"))
@@ -49,6 +51,5 @@ def raw_score(nodes: dict[str, np.ndarray], subsample: int, x: np.ndarray) -> np
             node = np.where(goes_left, left[node], right[node])
             at[active] = node
             active = active[feature[node] >= 0]
-        total += nodes["depth"][t][at]
-    norm = max(float(expected_path([subsample])[0]), 1e-12)
-    return -np.exp2(-(total / max(trees, 1)) / norm)
+        total += nodes["depth"][t][at] / norm[t]
+    return -np.exp2(-total / max(trees, 1))

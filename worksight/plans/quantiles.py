@@ -1,22 +1,20 @@
 """Exact quantiles of many columns in few passes.
 
-``percentile`` keeps every distinct value of a column in one task.  That is
-fine for a table of known moderate size, so it is used up to ``small``
-values.  Beyond it, each pass counts the values in a few thousand equal bins,
-keeps the bin that holds the wanted position and narrows the range to it,
-until few enough values are left.  Only bin counts reach the driver.
+Each pass counts the values in a few thousand equal bins, keeps the bin that
+holds the wanted position and narrows the range to it, until it holds a
+single value.  Only bin counts, with the least and greatest value of each
+bin, reach the driver.  The method is the same at every size, and the result
+is interpolated once, between two values of the column.
 """
 
 import math
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL = 1_000_000
 BINS = 4096
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float, small: int = SMALL,
-                    bins: int = BINS) -> dict[str, float | None]:
+def exact_quantiles(df: DataFrame, columns: list[str], q: float, bins: int = BINS) -> dict[str, float | None]:
     """Linear-interpolated quantile ``q`` of each column; NULLs are ignored."""
     stats = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns)
                      for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
@@ -36,7 +34,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, small: int = SM
             if lo == hi:
                 found[key] = lo
                 del open_ranks[key]
-        _finish_small(df, open_ranks, found, small)
         if open_ranks:
             _narrow(df, open_ranks, bins)
 
@@ -50,27 +47,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, small: int = SM
     return out
 
 
-def _finish_small(df, open_ranks, found, small):
-    ready = [(key, r) for key, r in open_ranks.items() if r[3] <= small]
-    if not ready:
-        return
-    aggs = []
-    for i, ((c, rank), (lo, hi, below, n)) in enumerate(ready):
-        inside = F.when(F.col(c).between(lo, hi), F.col(c))
-        share = (rank - below) / (n - 1) if n > 1 else 0.0
-        aggs.append(F.percentile(inside, F.lit(float(share))).alias(f"p{i}"))
-    row = df.agg(*aggs).first()
-    for i, (key, _) in enumerate(ready):
-        found[key] = row[f"p{i}"]
-        del open_ranks[key]
-
-
 def _narrow(df, open_ranks, bins):
     keys = list(open_ranks)
     cells = []
     for i, (c, _) in enumerate(keys):
         lo, hi, _, _ = open_ranks[keys[i]]
-        place = F.floor((F.col(c) / 2 - lo / 2) / (hi / 2 - lo / 2) * bins)
+        half = 1.0 if hi - lo < math.inf else 2.0       # a range wider than the largest double is halved
+        place = F.floor((F.col(c) / half - lo / half) / (hi / half - lo / half) * bins)
         cells.append(F.when(F.col(c).between(lo, hi), F.struct(
             F.lit(i).alias("k"), F.least(place, F.lit(bins - 1)).alias("b"), F.col(c).alias("v"))))
     counted = (df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x"))
