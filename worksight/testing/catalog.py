@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import constants as K
 from ..operators import alerts as A, contractors, duplicates, evidence, insights, outliers, proximity, reports, rules
 from ..operators.features import add_features
-from ..operators.fusion import data_readiness
-from ..plans.materialize import scratch_dir
+from ..operators.fusion import data_inventory, data_readiness, readiness_totals
+from ..plans.materialize import materialize, scratch_dir
 from ..plans.pipeline import assess, risk_fusion
-from ..sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, PROJECTS, normalize
+from ..sources.readers import find_table, load_dataset, load_projects
+from ..sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, PROJECTS, normalize, rejected_rows
 from ..sources.sinks import to_records
 from ..streaming import intake
 from . import bindings as B
-from .oracle import FLAGS, SCORES, compose, even, pct, text, weights_without
+from .oracle import BODY, FLAGS, SCORES, compose, even, pct, text, weights_without
 
 c = F.col
 SEARCH, LEVEL, LOOKUP = "widget", "MEDIUM", "P4"
@@ -90,6 +91,45 @@ def q_normalize_headers(spark, sf):
     return projects_out(normalize(messy, PROJECTS)[0])
 
 
+# The project table as a careless office would deliver it, as CSV text: day before month, money with
+# marks for missing values, ids with white space of all kinds around them, and rows without any id.
+MESSY_CSV = """
+select case when o % 19 = 0 then concat(chr(9), ' ') when o % 23 = 0 then null
+            when o % 7 = 0 then concat(chr(9), project_id, ' ') else project_id end as `Proj ID`,
+       concat(project_name, case when o % 5 = 0 then ', "phase 2"' else '' end) as `Work Name`,
+       state as STATE_UT, case when o % 13 = 0 then 'N/A' else contractor end as ` vendor `,
+       case when o % 17 = 0 then 'not known' when o % 3 = 0 then 'NULL' else cast(sanctioned_amount as string) end
+         as `sanctionned_amount`,
+       cast(latitude as string) as Lat,
+       date_format(sanction_date, 'dd/MM/yyyy') as approval_date,
+       date_format(start_date, 'yyyy-MM-dd') as `Date of Commencement`
+from (select *, cast(substr(project_id, 2) as bigint) as o from {projects}) t"""
+
+
+def _messy_folder(spark, sf):
+    """Writes the table above below the scratch folder, as several CSV files."""
+    folder = _fresh(spark, "messy")
+    spark.sql(MESSY_CSV, projects=B.view(spark, sf, "projects")).write.option("header", True).option(
+        "escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(
+        f"{folder}/projects.csv")
+    B.view(spark, sf, "inspections").write.parquet(f"{folder}/inspections.parquet")
+    return folder
+
+
+def q_messy_projects_csv(spark, sf):
+    return projects_out(load_projects(spark, _messy_folder(spark, sf))[0])
+
+
+def q_rejected_rows(spark, sf):
+    rows = rejected_rows(find_table(spark, _messy_folder(spark, sf), "projects"), PROJECTS)
+    return rows.groupBy(F.coalesce(c("STATE_UT"), F.lit("")).alias("state")).agg(
+        F.count("*").alias("rows"), F.count("Proj ID").alias("blank_ids"))
+
+
+def q_data_inventory(spark, sf):
+    return data_inventory(load_dataset(spark, _messy_folder(spark, sf)))
+
+
 def projects_out(df):
     days = [F.date_format(n, "yyyy-MM-dd").alias(n) for n in PROJECTS.dates]
     return df.select("project_id", *PROJECTS.text, *PROJECTS.numeric, *days)
@@ -113,6 +153,41 @@ def q_dup_text_groups(spark, sf):
     return duplicates.similar_texts(docs, "doc_id", body)
 
 
+def q_dup_document_risk(spark, sf):
+    docs, body = _documents(spark, sf)
+    return duplicates.duplicate_risk(docs, "doc_id", body)
+
+
+def q_portfolio_insights(spark, sf):
+    """The whole bundle as one table: part, key and JSON of its other columns."""
+    data = B.dataset(spark, sf)
+    table = assess(data, B.as_of(), include_ml=False).stored().risk
+    parts = []
+    for part, df in insights.portfolio_insights(table, data.projects).items():
+        key = {"status_breakdown": "status", "signal_frequency": "signal"}.get(part, "name")
+        if part == "geo_overlap_pairs":
+            df = df.withColumn("name", F.concat_ws(" ", "project_id_1", "project_id_2"))
+        key = c(key) if key in df.columns else F.lit("")
+        for measure in MEASURES[part]:
+            parts.append(df.select(F.lit(part).alias("part"), key.alias("name"), F.lit(measure).alias("measure"),
+                                   c(measure).cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+GROUP_MEASURES = ["project_count", "average_risk_score", "flagged_count", "sanctioned_amount_at_risk"]
+MEASURES = {
+    "totals": ["total_projects", "flagged_projects", "flagged_percentage", "total_sanctioned_amount",
+               "sanctioned_amount_at_risk", "sanctioned_at_risk_percentage"],
+    "fund_tracking": ["total_sanctioned", "total_released", "total_utilized", "unutilized_funds",
+                      "utilization_rate_percentage", "release_rate_percentage"],
+    "status_breakdown": ["count", "percentage"], "signal_frequency": ["flagged_projects", "percentage"],
+    **{f"risk_by_{kind}": GROUP_MEASURES for kind in insights.GROUP_KEYS}, "geo_overlap_pairs": ["distance_km"],
+}
+
+
 def q_median_impute(spark, sf):
     features = _stored_features(spark, sf)
     stats = outliers.feature_stats(features)
@@ -126,11 +201,6 @@ def q_zscore(spark, sf):
     return best.select("project_id", "ml_top_feature", "ml_top_feature_z")
 
 
-def q_feature_gate(spark, sf):
-    features = _features(spark, sf)
-    return features.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in K.OUTLIER_FEATURES])
-
-
 def q_isolation_forest(spark, sf):
     return outliers.ml_outliers(_stored_features(spark, sf))[0]
 
@@ -157,14 +227,17 @@ def q_contractor_report(spark, sf):
                    20, tie="contractor")
 
 
-def q_data_readiness(spark, sf):
+def _readiness(spark, sf):
     data = B.dataset(spark, sf)
-    fitted = outliers.feature_stats(add_features(data.projects, B.as_of())).usable
-    ready = data_readiness(data, fitted)
+    return data_readiness(data, outliers.feature_stats(add_features(data.projects, B.as_of())).usable)
+
+
+def q_data_readiness(spark, sf):
+    ready = _readiness(spark, sf)
     return rounded(ready.withColumn("requires", F.array_join("requires", ", ")), 6, "effective_weight")
 
 
-def q_portfolio_insights(spark, sf):
+def q_portfolio_totals(spark, sf):
     return insights.portfolio_totals(_alerts(spark, sf))
 
 
@@ -263,7 +336,11 @@ QUERIES = {
     # sources and schema
     "normalize_headers": q_normalize_headers,
     "projects_table": _mk(B.projects, projects_out),
+    "messy_projects_csv": q_messy_projects_csv,
+    "rejected_rows": _mk(q_rejected_rows),
+    "data_inventory": _mk(q_data_inventory),
     "records_sink": _mk(q_records),
+    "readiness_totals": _mk(lambda s, f: readiness_totals(_readiness(s, f))),
     "data_readiness": _mk(q_data_readiness),
     # features and rules
     "features": _mk(_features, cols(*FEATURE_COLUMNS), lambda d: rounded(
@@ -297,10 +374,14 @@ QUERIES = {
     # near duplicates
     "dup_pairs": _mk(q_dup_pairs),
     "dup_text_groups": _mk(q_dup_text_groups),
+    "dup_project_pairs": _mk(lambda s, f: duplicates.duplicate_pairs(
+        materialize(B.projects(s, f), "projects"), name="project_name")),
+    "dup_closest20": _mk(lambda s, f: duplicates.most_similar_pairs(materialize(B.projects(s, f), "projects"))),
+    "dup_document_risk": _mk(q_dup_document_risk),
     "dup_project_risk": _mk(lambda s, f: duplicates.duplicate_risk(B.projects(s, f))),
     "tfidf_terms": _mk(q_tfidf_terms),
     # outliers
-    "feature_gate": _mk(q_feature_gate),
+    "feature_gate": _mk(_features, outliers.feature_gate),
     "median_impute": _mk(q_median_impute),
     "zscore_top_feature": _mk(q_zscore),
     "isolation_forest": _mk(q_isolation_forest),
@@ -339,7 +420,8 @@ QUERIES = {
     "module_flag_counts": _mk(_alerts, lambda d: A.flag_counts(d, [
         *evidence.DOCUMENT_FLAGS, *evidence.IMAGE_FLAGS, *evidence.INSPECTION_FLAGS, *FLAGS])),
     # insights
-    "portfolio_totals": _mk(q_portfolio_insights),
+    "portfolio_totals": _mk(q_portfolio_totals),
+    "portfolio_insights": _mk(q_portfolio_insights),
     "fund_tracking": _mk(B.projects, insights.fund_tracking),
     "signal_frequency": _mk(_alerts, insights.signal_frequency),
     "status_breakdown": _mk(B.projects, insights.status_breakdown),
@@ -418,7 +500,7 @@ def _zscore():
             f"from imputed) select project_id, b.name as ml_top_feature, {even('b.z', 2)} as ml_top_feature_z from best")
 
 
-def _readiness():
+def _readiness_sql():
     weights = weights_without()
     enough = " + ".join(f"cast(count({x}) >= 20 as int)" for x in K.OUTLIER_FEATURES)
     rows = ", ".join(f"({text(s)}, {text(', '.join(K.SIGNAL_INPUTS[s]))}, {w!r}e0)" for s, w in weights.items())
@@ -447,6 +529,68 @@ where x.g <> y.g and sx.first_id = x.id and sy.first_id = y.id
 union all select first_id, first_id, copies, copies, 1e0 from text_size where copies > 1""")
 
 
+def _messy_sql(tail):
+    return compose(f"""
+select * from (
+select case when o % 19 = 0 or o % 23 = 0 then null else project_id end as project_id, o % 19 = 0 as blank,
+       project_name || case when o % 5 = 0 then ', "phase 2"' else '' end as project_name, state,
+       '' as district, '' as mp_name, '' as project_type,
+       case when o % 13 = 0 then 'Unknown' else contractor end as contractor, '' as agency, '' as status,
+       case when o % 17 <> 0 and o % 3 <> 0 then sanctioned_amount end as sanctioned_amount,
+       {", ".join(f"cast(null as double) as {x}" for x in PROJECTS.numeric if x not in ("sanctioned_amount", "latitude"))},
+       latitude, strftime(sanction_date, '%Y-%m-%d') as sanction_date, strftime(start_date, '%Y-%m-%d') as start_date,
+       cast(null as varchar) as expected_completion_date, cast(null as varchar) as actual_completion_date
+from (select *, cast(substr(project_id, 2) as bigint) as o from projects) t) u {tail}""")
+
+
+def _inventory_sql():
+    there = {"project_name", "state", "contractor", "sanctioned_amount", "latitude", "sanction_date", "start_date",
+             "project_id"}
+    rows = [("file", x, x == "inspections") for x in ("documents", "images", "inspections")]
+    # the project table itself counts as a file
+    rows += [("file", "projects", True)]
+    rows += [("column", x, x in there) for x in ["project_id", *PROJECTS.text, *PROJECTS.numeric, *PROJECTS.dates]]
+    return "select * from (values " + ", ".join(f"({text(k)}, {text(n)}, {str(v).lower()})" for k, n, v in rows) \
+        + ") t(kind, name, supplied)"
+
+
+def _project_pairs(tail=""):
+    """Every pair of projects with similar texts, by their texts."""
+    return compose(f"""
+select least(a.project_id, b.project_id) as project_id_1, greatest(a.project_id, b.project_id) as project_id_2,
+       similarity_score
+from (select id_1, id_2, {even('s', 3)} as similarity_score from name_sim
+      union all select id, id, 1e0 from name_texts where copies > 1) t
+join (select project_id, array_to_string(words, ' ') as id from name_words) a on a.id = id_1
+join (select project_id, array_to_string(words, ' ') as id from name_words) b on b.id = id_2
+where id_1 <> id_2 or a.project_id < b.project_id {tail}""")
+
+
+def _named_pairs():
+    return compose(f"select t.*, p.project_name as project_name_1, q.project_name as project_name_2 from "
+                   f"({_project_pairs()}) t join projects p on p.project_id = project_id_1 "
+                   f"join projects q on q.project_id = project_id_2")
+
+
+def _stacked(part, name, sql):
+    inner = f"select * from ({sql}) s"
+    return [f"select {text(part)} as part, {name} as name, {text(m)} as measure, cast({m} as double) as value "
+            f"from ({inner}) v" for m in MEASURES[part]]
+
+
+def _insights_sql():
+    parts = []
+    for part, name, key in [("totals", "''", "portfolio_totals"), ("fund_tracking", "''", "fund_tracking"),
+                            ("status_breakdown", "status", "status_breakdown"),
+                            ("signal_frequency", "signal", "signal_frequency"),
+                            ("risk_by_state", "name", "risk_by_state"), ("risk_by_district", "name", "risk_by_district"),
+                            ("risk_by_project_type", "name", "risk_by_type"),
+                            ("risk_by_contractor", "name", "risk_by_contractor"),
+                            ("geo_overlap_pairs", "project_id_1 || ' ' || project_id_2", "geo_closest20")]:
+        parts += _stacked(part, name, BODY[ORACLE[key]])
+    return compose(" union all ".join(parts))
+
+
 SCORE_ROUND = [_r("average_completion", 4), _r("average_delay_days", 4), _r("total_utilized_amount", 4)]
 
 
@@ -461,7 +605,7 @@ ORACLE = {
     "normalize_headers": _sel(PROJECT_SQL, "projects"),
     "projects_table": _sel(PROJECT_SQL, "projects"),
     "records_sink": _records(),
-    "data_readiness": _readiness(),
+    "data_readiness": _readiness_sql(),
     "features": _sel(["project_id", *[_r(x, 6) for x in FEATURE_COLUMNS[1:5]], *FEATURE_COLUMNS[5:]], "features"),
     "financial_rules": _sel(_rule_columns("financial"), "rules"),
     "delay_rules": _sel(_rule_columns("delay"), "rules"),
@@ -568,3 +712,22 @@ from projects"""),
     "risk_by_contractor": _risk_by("contractor"),
     "risk_by_all": _risk_by_all(),
 }
+MESSY_OUT = ["project_id", *PROJECTS.text, *PROJECTS.numeric, *PROJECTS.dates]
+ORACLE |= {
+    "messy_projects_csv": f"select {', '.join(MESSY_OUT)} from ({_messy_sql('where project_id is not null')}) t",
+    "rejected_rows": f"select state, count(*) as rows, count(*) filter (blank) as blank_ids from "
+                     f"({_messy_sql('where project_id is null')}) t group by state",
+    "data_inventory": _inventory_sql(),
+    "readiness_totals": f"select count(*) filter (available) as signals_available, count(*) as signals_total "
+                        f"from ({_readiness_sql()}) t",
+    "dup_project_pairs": _named_pairs(),
+    "dup_closest20": _project_pairs("order by similarity_score desc, project_id_1, project_id_2 limit 20"),
+    "dup_document_risk": compose(f"""
+select t.doc_id, coalesce(best, 0e0) > 0 as duplicate_anomaly,
+       {even("least(coalesce(best, 0e0) * 100, 1e2)", 2)} as duplicate_risk_score,
+       coalesce(best, 0e0) as duplicate_match_score
+from documents t left join (
+  select id, max({even('s', 3)}) as best from (
+    select id_1 as id, s from doc_sim union all select id_2, s from doc_sim) u group by id) b on b.id = t.doc_id"""),
+    "portfolio_insights": _insights_sql(),
+}

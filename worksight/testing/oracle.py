@@ -352,6 +352,7 @@ from {name}_said""",
 CTES.update(alert_ctes("alert_table", "risk", True))
 CTES.update(alert_ctes("alert_summary", "risk", False))
 WORDS = re.compile(r"[a-z_0-9]+")
+BODY: dict[str, str] = {}           # composed query -> the query alone, to compose it again with others
 
 
 def compose(body: str) -> str:
@@ -368,6 +369,7 @@ def compose(body: str) -> str:
 
     path: list[str] = []
     visit(body)
-    if not chain:
-        return body
-    return "with " + ", ".join(f"{n} as materialized ({CTES[n]})" for n in chain) + " " + body
+    parts = ", ".join(f"{n} as materialized ({CTES[n]})" for n in chain)
+    whole = f"with {parts} {body}" if chain else body
+    BODY[whole] = body
+    return whole
