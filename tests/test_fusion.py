@@ -8,7 +8,8 @@ from worksight import constants as K
 from worksight.operators import alerts as A, insights as I
 from worksight.operators.explain import explain
 from worksight.operators.fusion import data_inventory, data_readiness, effective_weights, fuse, signal_availability
-from worksight.sources import DOCUMENTS, normalize
+from worksight.plans.pipeline import repeated_ids
+from worksight.sources import DOCUMENTS, load_dataset, normalize
 
 
 def test_weights_sum_to_one_for_every_availability():
@@ -184,3 +185,29 @@ def test_all_insights_of_one_portfolio(make_projects):
     first = got["signal_frequency"].first()
     assert (first.signal, first.flagged_projects, first.percentage) == ("Geo-Spatial Overlap", 6, 100.0)
     assert [r.name for r in got["risk_by_state"].collect()] == ["S"] and got["risk_by_district"].count() == 0
+
+
+def test_rows_of_a_repeated_id_are_kept_and_not_multiplied(make_projects):
+    same = dict(project_id="P0", project_name="Village hall roof", contractor="A", latitude=10.0, longitude=70.0)
+    projects = make_projects(same, same, {**same, "contractor": "B"}, *[
+        dict(project_id=f"P{i}", project_name=f"Road {'abcdefgh'[i] * 3}", latitude=20.0 + i, longitude=70.0)
+        for i in range(1, 5)])
+    assert [tuple(r) for r in repeated_ids(projects).collect()] == [("P0", 3)]
+    rows = risk_fusion(Dataset(projects), include_ml=False).risk.collect()
+    assert sorted(r.project_id for r in rows) == ["P0", "P0", "P0", "P1", "P2", "P3", "P4"]
+    assert all(r.duplicate_anomaly == (r.project_id == "P0") == r.geo_anomaly for r in rows)
+
+
+def test_raw_projects_are_read_only_while_they_are_stored(spark, make_projects, tmp_path):
+    make_projects(*[dict(project_name=f"Hall {i}", latitude=float(i), longitude=70.0) for i in range(30)]).write.option(
+        "header", True).csv(str(tmp_path / "projects.csv"))
+    risk = assess(load_dataset(spark, str(tmp_path))).risk
+    assert risk.count() == 30 and not any("projects.csv" in f for f in risk.inputFiles())
+
+
+def test_search_without_a_limit(spark):
+    table = spark.range(300).selectExpr(
+        "concat('P', id) as project_id", "'Hall' as project_name", "'' as district", "'' as mp_name",
+        "'' as contractor", "1.0D as overall_risk_score", "'LOW' as risk_level", "0 as risk_signal_count")
+    assert A.search_projects(table, "hall").count() == 200
+    assert A.search_projects(table, "hall", limit=None).count() == 300

@@ -166,3 +166,21 @@ def test_closest_pairs_of_a_crowded_spot_form_no_listing(spark):
                                               "1.0D as latitude", "2.0D as longitude")
     got = G.closest_pairs(projects, 20)
     assert [(r.project_id_1, r.project_id_2) for r in got.collect()] == [("P00000", f"P{i:05d}") for i in range(1, 21)]
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_most_similar_pairs_head_the_listing(spark, k):
+    rows = [(f"P{i:03d}", f"hall roof {'abcdef'[i % 6] * 3} {'uvw'[i % 3] * 2} site" if i % 4 else f"road {i % 5} bridge",
+             "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "project_id string, project_name string, project_type string")
+    order = [F.col("similarity_score").desc(), "project_id_1", "project_id_2"]
+    want = D.duplicate_pairs(docs).orderBy(*order).limit(k).collect()
+    assert D.most_similar_pairs(docs, k=k).select(*want[0].asDict()).collect() == want
+
+
+def test_least_table_with_pairs_is_a_parameter(spark):
+    docs = spark.createDataFrame([(f"P{i}", "hall", "x", 1.0, 1.0) for i in range(3)], "project_id string, "
+                                 "project_name string, project_type string, latitude double, longitude double")
+    assert D.duplicate_pairs(docs).count() == 0 and D.duplicate_pairs(docs, min_rows=2).count() == 3
+    assert not any(r.geo_anomaly for r in G.geo_risk(docs).collect())
+    assert all(r.geo_anomaly for r in G.geo_risk(docs, min_rows=2).collect())

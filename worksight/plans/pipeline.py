@@ -1,7 +1,7 @@
 """The whole analysis as one lazy plan."""
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,8 +48,28 @@ def _together(spark: SparkSession, builders: list) -> list:
         return [f.result() for f in [pool.submit(carry(b)) for b in builders]]
 
 
+def repeated_ids(projects: DataFrame) -> DataFrame:
+    """Project ids on more than one row, and on how many."""
+    return projects.groupBy("project_id").agg(F.count("*").alias("rows")).where(c("rows") > 1)
+
+
+def _one_per_project(signal: DataFrame) -> DataFrame:
+    """The highest row of each project id, compared column by column."""
+    columns = [x for x in signal.columns if x != "project_id"]
+    best = signal.groupBy("project_id").agg(F.max(F.struct(*columns)).alias("best"))
+    return best.select("project_id", "best.*")
+
+
 def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = True) -> Assessment:
-    """One row per project with all signals and the overall score."""
+    """One row per project with all signals and the overall score.
+
+    The projects are written once, so a source that must be parsed is read
+    once and each signal reads the few columns it needs.  Project ids should
+    be unique; the rows of a repeated one are all kept, and share the highest
+    values of the signals that are joined by id.
+    """
+    data = replace(data, projects=materialize(data.projects, "projects"))
+    unique = repeated_ids(data.projects).isEmpty()
     features = add_features(data.projects, as_of)
     base = row_rules(features).select(*BASE_COLUMNS, *ROW_SIGNALS, *DETAIL)
 
@@ -71,7 +91,7 @@ def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = T
         scores, ml_fitted = signals.pop()
         signals.append(scores.drop("ml_signal_available"))
 
-    joined = join_signals(base, signals)
+    joined = join_signals(base, signals if unique else [_one_per_project(s) for s in signals])
     filled = {}
     for kind, (score, missing, flags) in ABSENT.items():
         if evidence[kind] is None:

@@ -159,7 +159,7 @@ def q_dup_document_risk(spark, sf):
 
 
 def q_portfolio_insights(spark, sf):
-    """The whole bundle as one table: part, key and JSON of its other columns."""
+    """The whole bundle as one table: part, name of the row, measure and its value."""
     data = B.dataset(spark, sf)
     table = assess(data, B.as_of(), include_ml=False).stored().risk
     parts = []
