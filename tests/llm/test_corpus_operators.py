@@ -265,6 +265,41 @@ def test_quality_and_toxicity(spark, docs, nothing):
     assert quality.fit(statistics.add_statistics(nothing).withColumn("y", F.lit(1)), "y").rules == []
 
 
+def restored(channel, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return toxicity.restore(data, np.array([0, len(data)]), channel)[0].tobytes().decode()[len(text):].split()
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    """Labelled rows of plain words, two of them toxic, and the model of them."""
+    rng = random.Random(3)
+    mild = "such a day and the garden with some rather long words that show what letters follow each other".split()
+    rows = []
+    for i in range(300):
+        words = [rng.choice(mild) for _ in range(60)]
+        if i % 5 == 0:
+            words[rng.randrange(60)] = rng.choice(["trash", "loser"])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    return toxicity.fit(df, labels, F.lit(True))
+
+
+def test_toxicity_of_spaced_out_words(spark, spoken):
+    channel = toxicity.Channel(spoken.counts)
+    for text in ("t r a s h", "T R A S H", "t  r  a  s  h", "t\tr\na s\u00a0h", "(t r a s h).", "t r a s h!", "t r a $ h", "t r 4 s h", "+ r a s h",
+                 "such a t r a s h", "t r a s h a day", "a t r a s h", "t r a s h  l o s e r", "t r a a a a s h"):
+        assert "trash" in restored(channel, text), text
+    assert restored(channel, "such a day and a garden") == restored(channel, "a, b, c, d") == []
+    accents = np.frombuffer("é t é".encode(), np.uint8)
+    assert list(toxicity._spaced(accents, np.array([0, len(accents)]))) == [(0, "é t é")]
+    texts = ["the garden t r a s h with words", "such a l\u2003o\u2003s\u2003e\u2003r", "such a day and the garden with some words", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df, spoken).collect()}
+    assert scores[0] > 0.7 and scores[1] > 0.7 and scores[2] < 0.3 and scores[3] < 0.3
+
+
 def test_pipeline_stages_keep_extra_columns(spark, docs, tmp_path):
     import corpus_pipeline
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -29,6 +29,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 #: Separators that may stand between the letters of a word.
 SEPARATORS = ".-_*'"
 COST_LEET, COST_RUN, COST_DOUBLE, COST_SEPARATOR, COST_DROP = 0.7, 0.5, 6.0, 0.2, 14.0
+#: Gaps between spaced-out letters, the usual one of a run and a wider one: cost of no word break there, and of one.
+GAPS = {" ": (COST_SEPARATOR, 2.0), "\t": (2.0, 0.0)}
 SLICE = 1 << 19          # bytes worked on at a time
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 
@@ -42,6 +44,12 @@ for _x in [*LEET, *SEPARATORS]:
     _IN_TOKEN[ord(_x)] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_BLANK = ~W.NOT_SPACE
+_BLANK[0x1C:0x20] = True
+#: What may be a spaced-out letter; an exclamation mark only if it stands alone.
+_SIGN = W.ALNUM.copy()
+for _x in LEET:
+    _SIGN[ord(_x)] = _x != "!"
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -79,10 +87,28 @@ class Channel:
             self.known[token] = self._decode(token)
         return self.known[token]
 
+    def words(self, token: str) -> list[str]:
+        """What a token or a run of spaced-out letters may hide: its words as one, and with word breaks at the gaps."""
+        found = [self.decode("".join(x for x in token if x not in GAPS))]
+        if any(x in token for x in GAPS):
+            found += self.decode(token).split()
+        return list(dict.fromkeys(found))
+
     def _decode(self, token: str) -> str:
         logp, best = self.logp, {(0, 0, ""): (0.0, None)}       # the last two classes and the last sign seen
-        for i, sign in enumerate(token):
-            run = any(token[j:j + 3] == sign * 3 for j in range(max(i - 2, 0), i + 1))
+        bare, i = "".join(x for x in token if x not in GAPS), -1
+        for sign in token:
+            if sign in GAPS:
+                joined, broken = GAPS[sign]
+                following = {state: (score - joined, path) for state, (score, path) in best.items()}
+                for (a, b, _), (score, path) in best.items():
+                    value = score + logp[a][b][0] - broken
+                    if (b, 0, sign) not in following or following[b, 0, sign][0] < value:
+                        following[b, 0, sign] = (value, (path, " "))
+                best = following
+                continue
+            i += 1
+            run = any(bare[j:j + 3] == sign * 3 for j in range(max(i - 2, 0), i + 1))
             if "a" <= sign <= "z":
                 options = [(ord(sign) - 96, sign, 0.0)]
             elif sign in LEET:
@@ -129,21 +155,56 @@ def _suspects(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str]]
     rows = w.rows()
     for x in np.flatnonzero((marked[w.stop] > marked[w.start]) & (size >= 2) & (w.stop - w.start <= 64)):
         yield int(rows[x]), low[w.start[x]:w.stop[x]].tobytes().decode(errors="ignore").strip(SEPARATORS + "!")
-    single = (w.stop - w.start == 1) & (letter[w.start] | _DIGIT[low[w.start]] | (low[w.start] == 64) | (low[w.start] == 36))
-    joined = np.zeros(len(single), dtype=bool)          # the next token is one sign as well, one place on
-    joined[:-1] = single[:-1] & single[1:] & (rows[1:] == rows[:-1]) & (w.start[1:] - w.stop[:-1] == 1)
+
+
+def _blanks(low: np.ndarray) -> np.ndarray:
+    """Which bytes are white space, also beyond ASCII."""
+    out = _BLANK[low]
+    two = np.flatnonzero((low[:-1] == 0xC2) & np.isin(low[1:], (0x85, 0xA0)))
+    out[two] = out[two + 1] = True
+    if len(low) > 2:
+        a, b, d = low[:-2], low[1:-1], low[2:]
+        three = np.flatnonzero((a >= 0xE1) & (a <= 0xE3))
+        a, b, d = a[three], b[three], d[three]
+        three = three[((a == 0xE1) & (b == 0x9A) & (d == 0x80)) | ((a == 0xE3) & (b == 0x80) & (d == 0x80))
+                      | ((a == 0xE2) & (b == 0x80) & ((d <= 0x8A) | np.isin(d, (0xA8, 0xA9, 0xAF)))) | ((a == 0xE2) & (b == 0x81) & (d == 0x9F))]
+        out[three] = out[three + 1] = out[three + 2] = True
+    return out
+
+
+def _spaced(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str]]:
+    """Row and text of each run of three or more single letters or signs with white space between."""
+    if not len(data):
+        return
+    w = W.split(np.where(_blanks(data), np.uint8(32), data), bounds, W.NOT_SPACE)
+    if not len(w.start):
+        return
+    rows, place = w.rows(), np.arange(len(w.low))
+    sign = _SIGN[w.low]
+    first = np.minimum.accumulate(np.where(sign, place, len(sign))[::-1])[::-1][w.start]
+    last = np.maximum.accumulate(np.where(sign, place, -1))[w.stop - 1]
+    alone = (w.stop - w.start == 1) & (w.low[w.start] == ord("!"))
+    first, last = np.where(alone, w.start, first), np.where(alone, w.start, last)
+    count = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))         # characters
+    last = np.maximum(last, first - 1)
+    single = (first <= last) & (first < w.stop)
+    single[single] = count[last[single] + 1] - count[first[single]] == 1
+    joined = np.zeros(len(single), dtype=bool)          # the next token is one letter as well, and no sign is between
+    joined[:-1] = single[:-1] & single[1:] & (rows[1:] == rows[:-1]) & (last[:-1] + 1 == w.stop[:-1]) & (first[1:] == w.start[1:])
     edges = np.flatnonzero(np.diff(np.concatenate(([0], joined.view(np.int8), [0])))).reshape(-1, 2)
     for a, b in edges[edges[:, 1] - edges[:, 0] >= 2]:
-        yield int(rows[a]), low[w.start[a:b + 1]].tobytes().decode(errors="ignore")
+        gaps = count[w.start[a + 1:b + 1]] - count[w.stop[a:b]]
+        signs = [w.low[first[x]:last[x] + 1].tobytes().decode(errors="ignore") for x in range(a, b + 1)]
+        yield int(rows[a]), signs[0] + "".join((" " if g == gaps.min() else "\t") + x for g, x in zip(gaps, signs[1:], strict=True))
 
 
 def restore(data: np.ndarray, bounds: np.ndarray, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
     """The texts, with the restored words of each at its end."""
     extra: dict[int, list[str]] = {}
-    for row, token in _suspects(data, bounds):
-        word = channel.decode(token)
-        if len(word) > 2 and word != token:
-            extra.setdefault(row, []).append(word)
+    for row, token in [*_suspects(data, bounds), *_spaced(data, bounds)]:
+        words = [x for x in channel.words(token) if len(x) > 2 and x != token]
+        if words:
+            extra.setdefault(row, []).extend(words)
     if not extra:
         return data, bounds
     parts, sizes = [], np.diff(bounds)
