@@ -237,6 +237,35 @@ def test_line_dedup(spark, nothing):
     assert lines.deduplicate_lines(nothing).count() == 0
 
 
+def lines_by_hand(rows):
+    """Number of removed lines and text of each row: any run of two lines, not all blank, that occurred before without overlap."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        parts, gone = text.split("\n"), set()
+        for n in range(2, len(parts) + 1):
+            for s in range(len(parts) - n + 1):
+                run = tuple(parts[s:s + n])
+                doc, at = first.setdefault(run, (i, s))
+                if "".join(run).strip() and (doc != i or s >= at + n):
+                    gone |= set(range(s, s + n))
+        out[i] = (len(gone), "\n".join(x for k, x in enumerate(parts) if k not in gone))
+    return out
+
+
+def test_line_dedup_removes_short_passages(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(f"{i} {k} {rng.random()}" for k in range(6))) for i in range(40)]
+    two, three = "short one\nshort two", "a\nb\nc"
+    rows += [(100 + i, f"own {i}\n{two}\nmiddle {i}\n{three}\nend {i}") for i in range(20)]
+    rows += [(200, "r\nr\nr"), (201, "r\nr\nr\nr\nr"), (202, "x\ny\nx\ny\nx"), (203, "x\n\n\n\n\ny\nz"), (204, "1\nx\n\n\n\n\ny\n2"),
+             (205, "3\n\n\n4"), (206, "5\n\n\n6"), (207, "b\nc"), (208, "c\na"), (209, "one line")]
+    rows += [(300 + i, "\n".join(rng.choice("pqst") for _ in range(9))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.deduplicate_lines(df.union(df.where("doc_id = 101"))).collect()}
+    assert got == lines_by_hand(rows)
+    assert got[101] == (5, "own 1\nmiddle 1\nend 1") and got[100][0] == got[202][0] - 3 == 0
+
+
 def test_quality_and_toxicity(spark, docs, nothing):
     rng = random.Random(2)
     rows, labels = [], []
