@@ -329,6 +329,22 @@ def test_toxicity_of_spaced_out_words(spark, spoken):
     assert scores[0] > 0.7 and scores[1] > 0.7 and scores[2] < 0.3 and scores[3] < 0.3
 
 
+def test_toxicity_of_long_tokens_and_signs(spark, spoken):
+    channel = toxicity.Channel(spoken.counts)
+    for text in ("7r4$h", "7r4$#", "tra$", "tra$h", "+r@$h", "tr" + "a" * 100 + "sh", "t" + "." * 70 + "r.a.s.h",
+                 "some_rather_long_words_that_show_what_letters_follow_each_other_tr4sh", "some-rather-long-words-t.r.a.s.h", "such-tr4sh"):
+        words = restored(channel, text)
+        assert ("tras" if text in ("7r4$#", "tra$") else "trash") in words, (text, words)
+    for text in ("1053r", "1o5er", "L0$er", "!!lo5er!!!"):
+        assert "loser" in restored(channel, text), text
+    assert restored(channel, "7r4$") == ["tras"] and restored(channel, "such!") == restored(channel, "such a day!!!") == []
+    texts = ["the garden 7r4$h with words", "such a " + "some-rather-long-words-that-show-what-letters-" * 3 + "lo5er", "the 1053r",
+             "such a day! and the garden, with 2 words in 1990 or 12.50!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df, spoken).collect()}
+    assert min(scores[0], scores[1], scores[2]) > 0.7 and scores[3] < 0.3
+
+
 def test_pipeline_stages_keep_extra_columns(spark, docs, tmp_path):
     import corpus_pipeline
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

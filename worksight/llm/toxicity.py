@@ -9,6 +9,7 @@ gives the score.
 """
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,9 @@ for _x in [*LEET, *SEPARATORS]:
     _IN_TOKEN[ord(_x)] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
+_MAPPED = np.zeros(256, dtype=bool)
+_MAPPED[[ord(_x) for _x in LEET]] = True
+_PARTS, _WRITTEN = re.compile("[" + re.escape(SEPARATORS) + "]+"), re.compile("[a-z\x80-\U0010ffff]+")
 _BLANK = ~W.NOT_SPACE
 _BLANK[0x1C:0x20] = True
 #: What may be a spaced-out letter; an exclamation mark only if it stands alone.
@@ -79,8 +83,11 @@ class Channel:
         two = (counts.sum(axis=0) + 20 * one) / (counts.sum(axis=(0, 2))[:, None] + 20)
         self.logp = np.log((counts + 20 * two[None]) / (pairs[:, :, None] + 20)).tolist()
         self.known: dict[str, str] = {}
+        self.found: dict[str, list[str]] = {}
 
     def decode(self, token: str) -> str:
+        if len(token) > 64:         # too rarely seen again to be kept
+            return self._decode(token)
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -88,15 +95,38 @@ class Channel:
         return self.known[token]
 
     def words(self, token: str) -> list[str]:
-        """What a token or a run of spaced-out letters may hide: its words as one, and with word breaks at the gaps."""
-        found = [self.decode("".join(x for x in token if x not in GAPS))]
-        if any(x in token for x in GAPS):
-            found += self.decode(token).split()
-        return list(dict.fromkeys(found))
+        """Words of three letters or more that a token or a run of spaced-out letters may hide and that are not in it as written.
+
+        It is decoded as one word, with word breaks at its gaps and separators,
+        and in the parts between separators, of which single letters in a row
+        are one.
+        """
+        if token in self.found:
+            return self.found[token]
+        found, parts = [self.decode("".join(x for x in token if x not in GAPS))], [x for x in _PARTS.split(token) if x]
+        gapped = " ".join(parts)
+        if any(x in gapped for x in GAPS):
+            found += self.decode(gapped).split()
+        if len(parts) > 1:
+            single = ""
+            for x in [*parts, ""]:
+                if len(x) == 1:
+                    single += x
+                else:
+                    found += [self.decode(y) for y in (single, x) if len(y) > 2]
+                    single = ""
+        written = set(_WRITTEN.findall(token))
+        out = [x for x in dict.fromkeys(found) if len(x) > 2 and x not in written]
+        if len(token) <= 64:
+            if len(self.found) > 200_000:
+                self.found.clear()
+            self.found[token] = out
+        return out
 
     def _decode(self, token: str) -> str:
         logp, best = self.logp, {(0, 0, ""): (0.0, None)}       # the last two classes and the last sign seen
         bare, i = "".join(x for x in token if x not in GAPS), -1
+        head, tail = len(bare) - len(bare.lstrip("!")), len(bare.rstrip("!"))       # outside, "!" may be punctuation
         for sign in token:
             if sign in GAPS:
                 joined, broken = GAPS[sign]
@@ -117,10 +147,11 @@ class Channel:
                 options = [(27, sign, 0.0)]
             else:
                 options = []
-            drop = COST_SEPARATOR if sign in SEPARATORS else COST_DROP
+            edge = not head <= i < tail
+            drop = COST_SEPARATOR if edge or sign in SEPARATORS else COST_DROP
             following: dict = {}
             for (a, b, before), (score, path) in best.items():
-                lost = drop if sign != before else COST_RUN if run else COST_DOUBLE
+                lost = drop if edge or sign != before else COST_RUN if run else COST_DOUBLE
                 if sign == before or not "a" <= sign <= "z":
                     moves = [((a, b, before if sign in SEPARATORS else sign), score - lost, path)]
                 else:
@@ -144,17 +175,17 @@ def _suspects(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str]]
     if not len(w.start):
         return
     low, letter = w.low, W.LETTERS[w.low]
-    after, before = np.append(letter[1:], False), np.append(False, letter[:-1])
-    odd = _IN_TOKEN[low] & ~letter
-    marks = (odd & after) | (_DIGIT[low] & before)
+    possible = letter | _MAPPED[low]
+    after, before = np.append(possible[1:], False), np.append(False, possible[:-1])
+    marks = (_IN_TOKEN[low] & ~letter & after) | ((_MAPPED | _DIGIT)[low] & before)
     run = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) if len(low) > 2 else np.zeros(0, dtype=bool)
     marks[:len(run)] |= run
     count = lambda x: np.concatenate(([0], np.cumsum(x)))
-    letters, marked = count(letter), count(marks)
+    letters, marked = count(possible), count(marks)
     size = letters[w.stop] - letters[w.start]
     rows = w.rows()
-    for x in np.flatnonzero((marked[w.stop] > marked[w.start]) & (size >= 2) & (w.stop - w.start <= 64)):
-        yield int(rows[x]), low[w.start[x]:w.stop[x]].tobytes().decode(errors="ignore").strip(SEPARATORS + "!")
+    for x in np.flatnonzero((marked[w.stop] > marked[w.start]) & (size >= 2)):
+        yield int(rows[x]), low[w.start[x]:w.stop[x]].tobytes().decode(errors="ignore").strip(SEPARATORS)
 
 
 def _blanks(low: np.ndarray) -> np.ndarray:
@@ -202,7 +233,7 @@ def restore(data: np.ndarray, bounds: np.ndarray, channel: Channel) -> tuple[np.
     """The texts, with the restored words of each at its end."""
     extra: dict[int, list[str]] = {}
     for row, token in [*_suspects(data, bounds), *_spaced(data, bounds)]:
-        words = [x for x in channel.words(token) if len(x) > 2 and x != token]
+        words = channel.words(token)
         if words:
             extra.setdefault(row, []).extend(words)
     if not extra:
