@@ -110,16 +110,61 @@ def test_gate_and_constant_scores(spark):
     assert all(r.ml_top_feature == names[0] and r.ml_top_feature_z == 0.0 for r in rows)
 
 
-def test_expected_path_and_depth():
-    from worksight.operators.trees import expected_path, grow_tree, raw_score
+def test_expected_path_and_units():
+    from worksight.operators.trees import UNIT, expected_path, path_units, total_units
     assert list(expected_path([0, 1, 2])) == [0.0, 0.0, 1.0]
     assert expected_path([256])[0] == pytest.approx(10.2448, abs=1e-3)
-    nodes = grow_tree(np.array([[0.0], [1.0], [2.0], [100.0]]), np.random.default_rng(1), 2)
-    assert nodes[0][1] == 0 and all(n is not None for n in nodes)
-    grids = {k: np.array([[n[i] for n in nodes]]) for k, i in
-             (("feature", 1), ("split", 2), ("left", 3), ("right", 4), ("depth", 5))}
-    scores = raw_score(grids, 4, np.array([[0.0], [100.0]]))
-    assert -1.0 <= scores.min() and scores.max() <= 0.0
+    rows = np.zeros((1, 8), np.int64)
+    rows[0, [3, 4, 5]] = 1, 1, 2                     # root and its left child are split
+    units = path_units(rows)
+    whole = expected_path([4])[0]
+    assert [round(u * whole / UNIT, 6) for u in units[0, [3, 4, 5]]] == [1, 2, 3]
+    feature, split = np.full((1, 8), -1), np.zeros((1, 8))
+    feature[0, [1, 2]], split[0, [1, 2]] = 0, (10.0, 1.0)
+    total = total_units(feature, split, units, 2, np.array([[100.0], [10.0], [1.0], [-5.0]]))
+    assert list(total) == [units[0, 3], units[0, 5], units[0, 4], units[0, 4]]
+
+
+def test_grown_trees_follow_their_rule(spark):
+    """Every split lies inside the values of its node, halves are right, and only nodes of equal rows or full depth end."""
+    import hashlib
+
+    def share(*parts):
+        return int(hashlib.md5(" ".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16 ** 13
+
+    rng = np.random.default_rng(2)
+    rows = [(f"P{i}", *map(float, rng.integers(0, 6, 2)), 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "project_id string, a double, b double, k double").repartition(3)
+    depth, trees = 4, 3
+    sample = M.draw_samples(df, 120, trees, 50, 7)
+    drawn = {}
+    for r in sample.collect():
+        drawn.setdefault(r.tree, []).append((r.a, r.b, r.k))
+    by_hash = [sorted((share(7, "row", t, p), p, x) for p, *x in rows)[:50] for t in range(trees)]     # one slot: a round for each tree
+    assert {t: sorted(v) for t, v in drawn.items()} == {t: sorted(tuple(x) for _, _, x in v) for t, v in enumerate(by_hash)}
+    leaves, splits = {}, {}
+
+    def walk(tree, node, level, inside):
+        bounds = [(i, min(v), max(v)) for i, v in enumerate(zip(*inside)) if max(v) > min(v)]
+        if level == depth or not bounds:
+            leaves[tree, node] = len(inside)
+            return
+        f, low, high = bounds[int(share(7, "feature", tree, node) * len(bounds))]
+        cut = low + share(7, "split", tree, node) * (high - low)
+        cut = cut if cut < high else low
+        splits[tree, node] = (f, cut)
+        walk(tree, 2 * node, level + 1, [x for x in inside if x[f] <= cut])
+        walk(tree, 2 * node + 1, level + 1, [x for x in inside if x[f] > cut])
+
+    for t, inside in drawn.items():
+        walk(t, 1, 0, inside)
+    grown = M.grow(sample, ["a", "b", "k"], depth, 7).collect()
+    got = {}
+    for r in grown:
+        got[r.tree, r.at] = got.get((r.tree, r.at), 0) + 1
+        for s in r.steps:
+            assert splits[r.tree, s.node] == (s.feature, s.split)
+    assert got == leaves
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

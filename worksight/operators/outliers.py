@@ -1,17 +1,20 @@
 """Isolation forest over project features (Liu, Ting & Zhou, 2008).
 
-Fitting touches a bounded sample: at most 256 rows per tree.  Trees are grown
-in parallel, one group per tree, and the finished forest has at most
+Nothing is drawn from a generator.  Samples, split features and split points
+follow from the MD5 of (seed, tree, node) or (seed, round, project id), so
+the model depends neither on the partitioning nor on the order of rows, a
+task that is run again grows the same trees, and SQL can repeat the model.
+
+Fitting touches a bounded sample: at most 256 rows per tree.  The rows of a
+tree are brought together once; then every level is a window over (tree,
+node), which needs no further shuffle.  The finished forest has at most
 ``trees * 511`` nodes whatever the size of the portfolio, so it can be sent
-to every task.  Scoring is a vectorised pass over all rows.
-
-Samples are drawn by hashing the project id, never by row position, so the
-model does not depend on how the table is partitioned.
+to every task.  Scoring is a vectorised pass over all rows that adds whole
+numbers, so sums do not depend on their order.
 """
 
 import math
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ from ..functions.columns import round_even
 from ..plans.materialize import materialize, spread
 from ..plans.quantiles import exact_quantiles
 from . import trees as _trees
-from .trees import grow_tree, raw_score
+from .trees import UNIT, path_units, total_units
 
 # The tree helpers travel inside the tasks: executors need no installed package.
 cloudpickle.register_pickle_by_value(_trees)
@@ -80,76 +83,104 @@ def top_feature(imputed: DataFrame, stats: FeatureStats) -> DataFrame:
 
 # --- forest -----------------------------------------------------------------
 
-NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth double, rows int"
+DIGITS = 13         # of the hexadecimal hash: 52 bits, exact in a double
+
+
+def share_of(*parts) -> Column:
+    """A number in [0, 1) that follows from the given parts."""
+    words = [c(x) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x for x in parts]
+    mark = F.md5(F.concat_ws(" ", *[w.cast("string") for w in words]).cast("binary"))
+    return F.conv(F.substring(mark, 1, DIGITS), 16, 10).cast("bigint") / F.lit(float(16 ** DIGITS))
 
 
 def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed: int) -> DataFrame:
     """Up to ``subsample`` rows for each tree, without replacement.
 
-    One formula at every size, by hash of the id: a row enters the pool with
-    probability ``thin`` and applies to each tree with probability ``offer``,
-    so that about ``2 * subsample`` rows apply to a tree (all rows, if there
-    are no more).  The tree takes those with the smallest hash.
+    One formula at every size.  A round deals all rows out, by hash of the
+    id, to as many trees as have at least about ``2 * subsample`` rows each;
+    there are as many rounds as the trees need.  Each tree takes the rows
+    with the smallest hash.  A large portfolio has one round, and only the
+    rows of the wanted trees are looked at again.
     """
-    thin = min(1.0, 2 * trees * subsample / rows)
-    offer = min(1.0, 2 * subsample / (rows * thin))
-
-    def below(share: float, *salt) -> Column:
-        return F.pmod(F.xxhash64("project_id", F.lit(seed), *salt), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
-
-    pool = imputed.where(below(thin, F.lit("pool")))
-    each = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: below(offer, tree))
-    # A bounded number of rows, about 2 * subsample, reaches each window.
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("project_id", "tree", F.lit(seed)), "project_id")
-    return (pool.withColumn("tree", F.explode(each))
-            .withColumn("_place", F.row_number().over(order)).where(c("_place") <= subsample))
+    slots = max(1, rows // (2 * subsample))
+    rounds = -(-trees // slots)
+    dealt = (imputed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+             .withColumn("share", share_of(seed, F.lit("row"), "round", "project_id"))
+             .withColumn("tree", (c("round") * slots + F.floor(c("share") * slots)).cast("int")).where(c("tree") < trees))
+    # Ranking with a constant limit is cut in each task before the shuffle, also where one id has many rows.
+    order = Window.partitionBy("tree").orderBy("share", "project_id", *[x for x in imputed.columns if x != "project_id"])
+    return (dealt.withColumn("_place", F.row_number().over(order)).where(c("_place") <= subsample)
+            .drop("round", "share", "_place"))
+
+
+def grow(samples: DataFrame, columns: list[str], depth: int, seed: int) -> DataFrame:
+    """Split every node of two or more different rows, ``depth`` times.
+
+    Nodes are numbered like a heap: the root is 1, the children of n are 2 n
+    (up to the split) and 2 n + 1.  Returns the samples with the node ``at``
+    they end in, and ``steps``: (node, feature, split) of each level.
+    """
+    node = Window.partitionBy("tree", "at")
+    grown = samples.repartition("tree").select("tree", F.array(*columns).alias("x"), F.lit(1).cast("bigint").alias("at"),
+                                               F.array().cast("array<struct<node:bigint,feature:int,split:double>>").alias("steps"))
+    for level in range(depth):
+        bounds = [F.struct(F.lit(i).alias("feature"), F.min(c("x")[i]).over(node).alias("low"), F.max(c("x")[i]).over(node).alias("high"))
+                  for i in range(len(columns))]
+        grown = grown.withColumn("open", F.filter(F.array(*bounds), lambda b: b["high"] > b["low"]))
+        splits = (c("at") >= 1 << level) & (F.size("open") > 0)
+        pick = F.floor(share_of(seed, F.lit("feature"), "tree", "at") * F.size("open")).cast("int")
+        grown = grown.withColumn("pick", F.when(splits, F.get("open", pick)))
+        low, high = c("pick")["low"], c("pick")["high"]
+        point = low + share_of(seed, F.lit("split"), "tree", "at") * (high - low)
+        split = F.when(point < high, point).otherwise(low)      # neighbouring numbers: rounding must not leave one side empty
+        grown = grown.withColumn("step", F.when(c("pick").isNotNull(), F.struct(
+            c("at").alias("node"), c("pick")["feature"].alias("feature"), split.alias("split"))))
+        right = (F.get("x", c("step")["feature"]) > c("step")["split"]).cast("int")
+        grown = grown.select("tree", "x", F.when(c("step").isNull(), c("at")).otherwise(c("at") * 2 + right).alias("at"),
+                             F.array_compact(F.array_append("steps", c("step"))).alias("steps"))
+    return grown.select("tree", "at", "steps")
 
 
 @dataclass
 class Forest:
-    """Node arrays by tree and node number: feature, split, left, right, depth;
-    and the rows each tree was grown from."""
+    """By tree and node number: the feature of a split (-1: none) and its
+    value, and what a row gains that ends there."""
     features: list[str]
-    sizes: np.ndarray
-    nodes: dict[str, np.ndarray]
+    depth: int
+    feature: np.ndarray
+    split: np.ndarray
+    units: np.ndarray
 
 
 def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subsample: int = SUBSAMPLE,
                seed: int = SEED) -> Forest:
     size = min(subsample, stats.rows)
     columns, depth = list(stats.features), max(1, math.ceil(math.log2(max(size, 2))))
-
-    def grow(key: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        x = pdf.sort_values("_place")[columns].to_numpy(dtype=float)
-        nodes = grow_tree(x, np.random.default_rng([seed, tree]), depth)
-        return pd.DataFrame([(tree, *n, len(x)) for n in nodes],
-                            columns=["tree", "node", "feature", "split", "left", "right", "depth", "rows"])
-
-    nodes = (draw_samples(imputed, stats.rows, trees, subsample, seed)
-             .groupBy("tree").applyInPandas(grow, NODE_SCHEMA)).toPandas()   # at most trees * 511 rows
-    count, width = trees, int(nodes["node"].max()) + 1
-    grids = {n: np.zeros((count, width), dtype=d) for n, d in
-             [("feature", np.int32), ("split", float), ("left", np.int32), ("right", np.int32), ("depth", float)]}
-    grids["feature"][:] = -1
-    for n, grid in grids.items():
-        grid[nodes["tree"], nodes["node"]] = nodes[n]
-    sizes = np.full(trees, size)
-    sizes[nodes["tree"]] = nodes["rows"]
-    return Forest(columns, sizes, grids)
+    grown = materialize(grow(draw_samples(imputed, stats.rows, trees, subsample, seed), columns, depth, seed), "forest")
+    # At most trees * 511 rows of each kind.
+    splits = grown.select("tree", F.explode("steps").alias("s")).groupBy("tree", "s.node").agg(
+        F.min("s.feature").alias("feature"), F.min("s.split").alias("split")).toPandas()
+    leaves = grown.groupBy("tree", "at").agg(F.count("*").alias("rows")).toPandas()
+    shape = (trees, 2 << depth)
+    feature, split, rows = np.full(shape, -1, np.int32), np.zeros(shape), np.zeros(shape, np.int64)
+    feature[splits["tree"], splits["node"]] = splits["feature"]
+    split[splits["tree"], splits["node"]] = splits["split"]
+    rows[leaves["tree"], leaves["at"]] = leaves["rows"]
+    return Forest(columns, depth, feature, split, path_units(rows))
 
 
 def score_rows(imputed: DataFrame, forest: Forest) -> DataFrame:
-    # At most trees * 511 nodes, whatever the size of the portfolio.
-    shared = imputed.sparkSession.sparkContext.broadcast(forest.nodes)
-    sizes = forest.sizes
+    """-2^(-mean path / expected path): -1 is most isolated, 0 least."""
+    # At most trees * 512 nodes, whatever the size of the portfolio.
+    shared = imputed.sparkSession.sparkContext.broadcast((forest.feature, forest.split, forest.units))
+    depth, trees = forest.depth, len(forest.feature)
 
-    @F.pandas_udf(T.DoubleType())
-    def isolation(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
-        return pd.Series(raw_score(shared.value, sizes, x))
+    @F.pandas_udf(T.LongType())
+    def total_path(*columns: pd.Series) -> pd.Series:
+        return pd.Series(total_units(*shared.value, depth, np.column_stack([s.to_numpy(dtype=float) for s in columns])))
 
-    return imputed.withColumn("_raw", isolation(*[c(x) for x in forest.features]))
+    mean = total_path(*[c(x) for x in forest.features]) / F.lit(float(trees * UNIT))
+    return imputed.withColumn("_raw", -F.pow(F.lit(2.0), -mean))
 
 
 def ml_outliers(features: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE,

@@ -1,7 +1,10 @@
-"""Numpy helpers for one isolation tree and for a batch of rows."""
+"""Numpy helpers for the paths of rows through isolation trees."""
 
 import numpy as np
 
+#: A path as long as expected counts so many units.
+UNIT = 1_000_000_000
+
 
 def expected_path(n) -> np.ndarray:
     """Average path length of an unsuccessful search among n keys."""
@@ -13,43 +16,22 @@ def expected_path(n) -> np.ndarray:
     return out
 
 
-def grow_tree(x: np.ndarray, rng, max_depth: int) -> list[tuple]:
-    """Random splits until rows are alone, equal, or the depth is reached."""
-    nodes, todo = [], [(0, np.arange(len(x)), 0)]
-    nodes.append(None)
-    while todo:
-        node, rows, depth = todo.pop()
-        sub = x[rows]
-        spread = sub.max(axis=0) - sub.min(axis=0) if len(rows) else np.zeros(x.shape[1])
-        candidates = np.flatnonzero(spread > 0)
-        if depth >= max_depth or len(rows) <= 1 or not len(candidates):
-            nodes[node] = (node, -1, 0.0, -1, -1, depth + float(expected_path([len(rows)])[0]))
-            continue
-        f = int(rng.choice(candidates))
-        split = float(rng.uniform(sub[:, f].min(), sub[:, f].max()))
-        goes_left = sub[:, f] <= split
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[node] = (node, f, split, left, right, 0.0)
-        todo += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
-    return nodes
-
-
-def raw_score(nodes: dict[str, np.ndarray], sizes: int | np.ndarray, x: np.ndarray) -> np.ndarray:
-    """-2^(-mean of path / c): -1 is most isolated, 0 least.  ``sizes`` are the
-    rows each tree was grown from, or one number for all trees."""
-    trees = len(nodes["feature"])
-    norm = np.maximum(expected_path(np.broadcast_to(sizes, trees)), 1e-12)
-    total, rows = np.zeros(len(x)), np.arange(len(x))
-    for t in range(trees):
-        feature, split, left, right = (nodes[n][t] for n in ("feature", "split", "left", "right"))
-        at = np.zeros(len(x), dtype=np.int32)
-        active = rows[feature[at] >= 0]
-        while len(active):
-            node = at[active]
-            goes_left = x[active, feature[node]] <= split[node]
-            node = np.where(goes_left, left[node], right[node])
-            at[active] = node
-            active = active[feature[node] >= 0]
-        total += nodes["depth"][t][at] / norm[t]
-    return -np.exp2(-total / max(trees, 1))
+def path_units(rows: np.ndarray) -> np.ndarray:
+    """What a row gains that ends in a node with so many sample rows: its depth and the path expected below,
+    as a share of the path expected in the whole tree.  ``rows[tree, node]``, nodes numbered like a heap."""
+    depth = np.floor(np.log2(np.maximum(np.arange(rows.shape[1]), 1)))
+    whole = np.maximum(expected_path(rows.sum(axis=1)), 1e-12)[:, None]
+    return np.rint((depth + expected_path(rows)) / whole * UNIT).astype(np.int64)
+
+
+def total_units(feature: np.ndarray, split: np.ndarray, units: np.ndarray, depth: int, x: np.ndarray) -> np.ndarray:
+    """Units of each row, added over all trees."""
+    total, every = np.zeros(len(x), np.int64), np.arange(len(x))
+    for t in range(len(feature)):
+        at = np.ones(len(x), np.int64)
+        for _ in range(depth):
+            f = feature[t, at]
+            goes_right = x[every, np.maximum(f, 0)] > split[t, at]
+            at = np.where(f < 0, at, 2 * at + goes_right)
+        total += units[t, at]
+    return total

@@ -18,6 +18,7 @@ from . import bindings as B
 from .oracle import BODY, FLAGS, SCORES, compose, even, pct, text, weights_without
 
 c = F.col
+ML_REPORT = ["ml_anomaly_score", "ml_top_feature", "ml_top_feature_z"]
 SEARCH, LEVEL, LOOKUP = "widget", "MEDIUM", "P4"
 
 FEATURE_COLUMNS = ["project_id", "utilization_percentage", "financial_progress_percentage", "progress_mismatch",
@@ -385,6 +386,7 @@ QUERIES = {
     "median_impute": _mk(q_median_impute),
     "zscore_top_feature": _mk(q_zscore),
     "isolation_forest": _mk(q_isolation_forest),
+    "ml_report": _mk(q_isolation_forest, lambda d: A.top_k(d, "ml_anomaly_score", ["project_id", *ML_REPORT], 20, "ml_anomaly")),
     # reports and decisions
     "citizen_counts": _mk(lambda s, f: reports.citizen_risk(B.view(s, f, "citizen_reports"))),
     "citizen_ingest_valid": _mk(q_citizen_checked, reports.accepted, reports_out),
@@ -730,4 +732,8 @@ from documents t left join (
   select id, max({even('s', 3)}) as best from (
     select id_1 as id, s from doc_sim union all select id_2, s from doc_sim) u group by id) b on b.id = t.doc_id"""),
     "portfolio_insights": _insights_sql(),
+    "isolation_forest": _sel(["project_id", "ml_anomaly", *ML_REPORT, "true as ml_signal_available"], "forest_best"),
+    "ml_report": _sel(["project_id", *ML_REPORT], "forest_best",
+                      "where ml_anomaly order by ml_anomaly_score desc, project_id limit 20"),
+    "risk_fusion_with_ml": _sel([*FUSED_COLUMNS, "risk_reasons"], "alert_model"),
 }

@@ -8,6 +8,8 @@ sentences of the reasons and the stop words are shared with the operators.
 
 import re
 
+import numpy as np
+
 from .. import constants as K
 from ..operators.alerts import ALERT_COLUMNS, DETAIL_COLUMNS, HIGH_RISK_COLUMNS
 from ..operators.explain import TEXT
@@ -214,6 +216,72 @@ from (select report_id, submitted_at, trim(project_id) as project_id, trim(upper
              trim(description) as description from submissions) s left join projects p using (project_id)""",
 })
 
+# --- isolation forest: 200 trees of at most 256 rows, eight levels, all drawn from MD5 ---
+
+FOREST_TREES, FOREST_ROWS, FOREST_DEPTH, FOREST_SEED = 200, 256, 8, 42
+
+
+def share_of(*parts: str) -> str:
+    words = " || ' ' || ".join(f"({p})::varchar" for p in parts)
+    return f"(('0x' || substr(md5({words}), 1, 13))::bigint / 4503599627370496e0)"
+
+
+def expected_path(n: str) -> str:
+    return (f"case when {n} > 2 then 2e0 * (ln({n} - 1e0) + {np.euler_gamma!r}e0) - 2e0 * ({n} - 1) / {n} "
+            f"when {n} = 2 then 1e0 else 0e0 end")
+
+
+def forest() -> dict[str, str]:
+    features = list(K.OUTLIER_FEATURES)
+    medians = {x: f"coalesce(cast({x} as double), (select median(cast({x} as double)) from features))" for x in features}
+    slots = f"greatest(1, (select count(*) from features) // {2 * FOREST_ROWS})"
+    out = {
+        "forest_input": f"select project_id, row_number() over (order by project_id) as i, "
+                        f"[{', '.join(medians.values())}] as x from features",
+        "forest_dealt": f"select *, cast(round * {slots} + floor(share * {slots}) as bigint) as tree from "
+                        f"(select *, {share_of(str(FOREST_SEED), text('row'), 'round', 'project_id')} as share from forest_input, "
+                        f"(select unnest(range(cast(ceil({FOREST_TREES} / {slots}) as bigint))) as round) r) t",
+        "forest_level_0": f"select tree, x, 1::bigint as node from forest_dealt where tree < {FOREST_TREES} qualify "
+                          f"row_number() over (partition by tree order by share, project_id) <= {FOREST_ROWS}",
+    }
+    inside = ", ".join(f"{{'f': {i + 1}, 'low': min(x[{i + 1}]), 'high': max(x[{i + 1}])}}" for i in range(len(features)))
+    for d in range(FOREST_DEPTH):
+        out[f"forest_split_{d}"] = f"""
+select tree, node, f, case when point < high then point else low end as cut from (
+select tree, node, pick.f as f, pick.low as low, pick.high as high,
+       pick.low + {share_of(str(FOREST_SEED), text('split'), 'tree', 'node')} * (pick.high - pick.low) as point
+from (select tree, node, open[1 + cast(floor({share_of(str(FOREST_SEED), text('feature'), 'tree', 'node')} * len(open)) as bigint)] as pick
+      from (select tree, node, list_filter([{inside}], lambda b: b.high > b.low) as open
+            from forest_level_{d} where node >= {1 << d} group by tree, node) t where len(open) > 0) u) v"""
+        out[f"forest_level_{d + 1}"] = f"""
+select l.tree, x, case when s.f is null then l.node else l.node * 2 + (x[s.f] > s.cut)::int end as node
+from forest_level_{d} l left join forest_split_{d} s on s.tree = l.tree and s.node = l.node"""
+        before = ("(select i, tree, 1::bigint as node from forest_input, (select distinct tree from forest_level_0) t)" if d == 0
+                  else f"forest_at_{d}")
+        out[f"forest_at_{d + 1}"] = f"""
+select a.i, a.tree, case when s.f is null then a.node else a.node * 2 + (x[s.f] > s.cut)::int end as node
+from {before} a join forest_input p on p.i = a.i left join forest_split_{d} s on s.tree = a.tree and s.node = a.node"""
+    out["forest_units"] = f"""
+select tree, node, cast(round_even((floor(log2(node)) + {expected_path('n')}) / ({expected_path('whole')}) * 1e9, 0) as bigint) as units
+from (select tree, node, count(*) as n, sum(count(*)) over (partition by tree) as whole
+      from forest_level_{FOREST_DEPTH} group by tree, node) t"""
+    out["forest_raw"] = f"""
+select project_id, x, -pow(2e0, -(cast(sum(units) as bigint) / {FOREST_TREES}e9)) as raw
+from forest_at_{FOREST_DEPTH} a join forest_input using (i) join forest_units u on u.tree = a.tree and u.node = a.node
+group by project_id, x"""
+    z = [f"struct_pack(z := abs(x[{i + 1}] - (select median(x[{i + 1}]) from forest_input)) / (select case when "
+         f"stddev_samp(x[{i + 1}]) > 0 then stddev_samp(x[{i + 1}]) else 1e0 end from forest_input), first := {-i}, name := {text(n)})"
+         for i, n in enumerate(features)]
+    out["forest_best"] = f"""
+select project_id, raw < (select quantile_cont(raw, 0.05) from forest_raw) as ml_anomaly,
+       {even("((select max(raw) from forest_raw) - raw) / (select max(raw) - min(raw) from forest_raw) * 1e2", 2)} as ml_anomaly_score,
+       top.name as ml_top_feature, {even('top.z', 2)} as ml_top_feature_z
+from (select *, list_max([{', '.join(z)}]) as top from forest_raw) t"""
+    return out
+
+
+CTES.update(forest())
+
 # Hundredths of each signal.
 HUNDREDTHS = {"financial": 13, "delay": 13, "progress": 14, "contractor": 10, "document": 10, "image": 10,
               "inspection": 10, "ml_anomaly": 5, "duplicate": 5, "geo": 5, "citizen": 5}
@@ -225,9 +293,10 @@ def weights_without(*missing: str) -> dict[str, float]:
     return {s: there.get(s, 0.0) / sum(there.values()) for s in HUNDREDTHS}
 
 
-def fused(name: str, files: dict[str, bool]) -> dict[str, str]:
-    """The fused table without the model-based signal."""
-    weights = weights_without("ml_anomaly", *[n for n in ("document", "image", "inspection") if not files[n + "s"]])
+def fused(name: str, files: dict[str, bool], model: bool = False) -> dict[str, str]:
+    """The fused table, with or without the model-based signal."""
+    weights = weights_without(*([] if model else ["ml_anomaly"]),
+                              *[n for n in ("document", "image", "inspection") if not files[n + "s"]])
     score = "0e0 + " + " + ".join(f"{K.SCORE_COLUMN[s]} * {num(w)}" for s, w in weights.items() if w > 0)
     off = [n for n in ("document", "image", "inspection") if not files[n + "s"]]
     nulls = {"document": "amount_mismatch contractor_mismatch location_mismatch missing_document".split(),
@@ -247,11 +316,12 @@ def fused(name: str, files: dict[str, bool]) -> dict[str, str]:
     return {
         f"{name}_joined": f"""
 select r.*, contractor_risk_score, contractor_anomaly, {", ".join(evidence)},
-       false as ml_anomaly, 0e0 as ml_anomaly_score, duplicate_anomaly, duplicate_risk_score,
+       {"ml_anomaly, ml_anomaly_score, ml_top_feature" if model else "false as ml_anomaly, 0e0 as ml_anomaly_score, '' as ml_top_feature"},
+       duplicate_anomaly, duplicate_risk_score,
        geo_anomaly, geo_risk_score, geo_overlap_count, coalesce(citizen_report_count, 0) as citizen_report_count,
        coalesce(citizen_risk_score, 0e0) as citizen_risk_score, coalesce(citizen_anomaly, false) as citizen_anomaly
 from rules r left join contractor_map using (project_id) {" ".join(joins)}
-left join dup_best using (project_id) left join geo_best using (project_id)
+{"left join forest_best using (project_id)" if model else ""} left join dup_best using (project_id) left join geo_best using (project_id)
 left join citizen_best using (project_id)""",
         name: f"""
 select *, case when overall_risk_score >= 90 then 'CRITICAL' when overall_risk_score >= 70 then 'HIGH'
@@ -263,6 +333,7 @@ from (select *, {even(f"least(greatest({score}, 0e0), 1e2)", 2)} as overall_risk
 
 ALL_FILES = {"documents": True, "images": True, "inspections": True}
 CTES.update(fused("risk", ALL_FILES))
+CTES.update(fused("risk_model", ALL_FILES, model=True))
 CTES.update(fused("risk_no_documents", {**ALL_FILES, "documents": False}))
 
 
@@ -274,6 +345,11 @@ def whole(x: str) -> str:
     return f"round_even({x}, 0)"
 
 
+# Words for the features of the model.
+LABELS = {"utilization_percentage": "fund utilization", "completion_percentage": "physical completion",
+          "progress_mismatch_abs": "financial-vs-physical progress mismatch", "delay_days": "schedule delay"}
+
+
 def reasons(detail: bool) -> str:
     days, gap = ("delay_days", "progress_mismatch") if detail else ("0", "0e0")
 
@@ -283,6 +359,8 @@ def reasons(detail: bool) -> str:
     def when(cond, value):
         return f"case when {cond} then {value} end"
 
+    label = f"case {' '.join(f'when ml_top_feature = {text(n)} then {text(v)}' for n, v in LABELS.items())} else ml_top_feature end"
+
     slots = [
         when("financial_anomaly", f"case when financial_risk_score >= 70 then "
              f"{say('financial_high', whole('financial_risk_score'))} else "
@@ -299,6 +377,7 @@ def reasons(detail: bool) -> str:
              f"when {found('needs_improvement')} then {say('needs_improvement')} "
              f"when {found('low_inspection_score')} then {say('low_inspection_score', whole('inspection_score'))} "
              f"when {found('missing_inspection')} then {say('missing_inspection')} end"),
+        when("ml_anomaly", say("ml", f"coalesce(nullif({label}, ''), {say('ml_profile')})", whole("ml_anomaly_score"))),
         when("duplicate_anomaly", say("duplicate")),
         when("citizen_anomaly", say("citizen", "citizen_report_count")),
         when("geo_anomaly", say("geo", "geo_overlap_count")),
@@ -350,6 +429,7 @@ from {name}_said""",
 
 
 CTES.update(alert_ctes("alert_table", "risk", True))
+CTES.update(alert_ctes("alert_model", "risk_model", True))
 CTES.update(alert_ctes("alert_summary", "risk", False))
 WORDS = re.compile(r"[a-z_0-9]+")
 BODY: dict[str, str] = {}           # composed query -> the query alone, to compose it again with others
