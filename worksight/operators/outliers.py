@@ -113,7 +113,7 @@ def draw_samples(imputed: DataFrame, rows: int, trees: int, subsample: int, seed
             .drop("round", "share", "_place"))
 
 
-def grow(samples: DataFrame, columns: list[str], depth: int, seed: int) -> DataFrame:
+def grow(samples: DataFrame, columns: list[str], depth: int, seed: int, trees: int = TREES) -> DataFrame:
     """Split every node of two or more different rows, ``depth`` times.
 
     Nodes are numbered like a heap: the root is 1, the children of n are 2 n
@@ -121,7 +121,9 @@ def grow(samples: DataFrame, columns: list[str], depth: int, seed: int) -> DataF
     they end in, and ``steps``: (node, feature, split) of each level.
     """
     node = Window.partitionBy("tree", "at")
-    grown = samples.repartition("tree").select("tree", F.array(*columns).alias("x"), F.lit(1).cast("bigint").alias("at"),
+    # A few megabytes with costly rows: a given number of partitions is not coalesced.
+    tasks = min(trees, 4 * samples.sparkSession.sparkContext.defaultParallelism)
+    grown = samples.repartition(tasks, "tree").select("tree", F.array(*columns).alias("x"), F.lit(1).cast("bigint").alias("at"),
                                                F.array().cast("array<struct<node:bigint,feature:int,split:double>>").alias("steps"))
     for level in range(depth):
         bounds = [F.struct(F.lit(i).alias("feature"), F.min(c("x")[i]).over(node).alias("low"), F.max(c("x")[i]).over(node).alias("high"))
@@ -156,7 +158,7 @@ def fit_forest(imputed: DataFrame, stats: FeatureStats, trees: int = TREES, subs
                seed: int = SEED) -> Forest:
     size = min(subsample, stats.rows)
     columns, depth = list(stats.features), max(1, math.ceil(math.log2(max(size, 2))))
-    grown = materialize(grow(draw_samples(imputed, stats.rows, trees, subsample, seed), columns, depth, seed), "forest")
+    grown = materialize(grow(draw_samples(imputed, stats.rows, trees, subsample, seed), columns, depth, seed, trees), "forest")
     # At most trees * 511 rows of each kind.
     splits = grown.select("tree", F.explode("steps").alias("s")).groupBy("tree", "s.node").agg(
         F.min("s.feature").alias("feature"), F.min("s.split").alias("split")).toPandas()
