@@ -12,21 +12,27 @@ The exact all-pairs join follows Bayardo, Ma and Srikant (2007):
 * The products over common prefix terms are added up per pair.  What the rest
   of the two vectors can still add is at most the product of their remaining
   lengths; pairs that cannot reach the threshold are dropped there.
-* The few candidates left are scored on their complete vectors.
+* The candidates left are scored on their complete vectors, which are sorted
+  arrays by then: one row holds a pair, and no row is made for a term.
 
 No term, partner or candidate is capped.
 """
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import ENGLISH_STOP_WORDS, MIN_ROWS_FOR_PAIRS, TEXT_SIMILARITY
+from ..functions import vectors as _vectors
 from ..functions.columns import round_even
 from ..functions.text import ngrams, tokens
 from ..plans.materialize import materialize, spread
 from ..plans.skew import ROWS_PER_TASK, lookup_join, salt_of, salts
 
+# The helpers travel inside the tasks: executors need no installed package.
+cloudpickle.register_pickle_by_value(_vectors)
+
 c = F.col
 # Float sums in another order may differ in the last bits; pruning keeps this margin.
 MARGIN = 1e-6
@@ -37,10 +43,11 @@ def project_text(name: str = "project_name", kind: str = "project_type") -> Colu
 
 
 def text_members(docs: DataFrame, doc_id: str, text: Column,
-                 stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)) -> DataFrame:
-    """``(id, text_key, words)``: rows with equal ``text_key`` have equal vectors."""
-    words = docs.select(c(doc_id).alias("id"), tokens(text, stop_words).alias("words"))
-    return words.select("id", F.md5(F.array_join("words", " ")).alias("text_key"), "words")
+                 stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS), name: str | None = None) -> DataFrame:
+    """``(id, text_key, words)``, with ``name`` if one is given: rows with equal ``text_key`` have equal vectors."""
+    label = [] if name is None else [c(name).alias("name")]
+    words = docs.select(c(doc_id).alias("id"), tokens(text, stop_words).alias("words"), *label)
+    return words.select("id", F.md5(F.array_join("words", " ")).alias("text_key"), "words", *words.columns[2:])
 
 
 def text_groups(members: DataFrame) -> DataFrame:
@@ -112,29 +119,29 @@ def similar_groups(terms: DataFrame, threshold: float = TEXT_SIMILARITY,
                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of distinct texts at or above the threshold: ``group_1 < group_2``."""
     shared = terms.where(c("holders") > 1)
-    full = shared.select("group", "term_id", "weight")
-    first = full.select(c("group").alias("group_1"), "term_id", c("weight").alias("w1"))
-    second = full.select(c("group").alias("group_2"), "term_id", c("weight").alias("w2"))
-    scored = (candidate_groups(shared, threshold, rows_per_task)
-              .join(first, "group_1").join(second, ["group_2", "term_id"])
-              .groupBy("group_1", "group_2").agg(F.sum(c("w1") * c("w2")).alias("cosine")))
+    vectors = shared.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
+    first, second = (vectors.select(c("group").alias(f"group_{i}"), c("v.term_id").alias(f"ids_{i}"), c("v.weight").alias(f"w_{i}"))
+                     for i in (1, 2))
+    candidates = candidate_groups(shared, threshold, rows_per_task).join(first, "group_1").join(second, "group_2")
+    key = terms.schema["group"].dataType.simpleString()
+    scored = candidates.mapInArrow(_vectors.score_pairs, f"group_1 {key}, group_2 {key}, cosine double")
     return scored.where(c("cosine") >= threshold).select(
         "group_1", "group_2", round_even(c("cosine"), 3).alias("similarity_score"))
 
 
-def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words, min_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepare(docs: DataFrame, doc_id: str, text: Column, stop_words, min_rows: int, name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     # ``min_rows``: a smaller table has no pairs at all (a rule of the analysis, not of the plan).
     rows = docs.count()
     # Texts are split into words once; all later steps read the result.
-    words = materialize(text_members(spread(docs, rows), doc_id, text, stop_words), "words")
+    words = materialize(text_members(spread(docs, rows), doc_id, text, stop_words, name), "words")
     enough = F.lit(rows >= min_rows)
     total = F.lit(rows)
     groups = text_groups(words.where((F.size("words") > 0) & enough))
-    # A term that only one text holds counts for its length, then is done.
-    counted = count_terms(groups)
+    # A term that only one text holds counts for its length, then is done.  Written, since two steps read it.
+    counted = materialize(count_terms(groups), "term-counts")
     terms = materialize(tfidf_terms(counted, shared_terms(counted), total).where(c("holders") > 1).select(
         "group", "term_id", "holders", "weight", "rest", "rest_with"), "tfidf")
-    return words.select("id", "text_key"), groups.select("text_key", "group", "copies"), terms
+    return words.drop("words"), groups.select("text_key", "group", "copies"), terms
 
 
 def similar_texts(docs: DataFrame, doc_id: str, text: Column, threshold: float = TEXT_SIMILARITY,
@@ -165,12 +172,13 @@ def duplicate_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column |
     m(m-1)/2 pairs.  Scores use ``duplicate_risk`` and reports
     ``similar_texts``, which stay linear.  Large groups are spread by salt.
     """
-    members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words, min_rows)
+    members, groups, terms = _prepare(docs, doc_id, project_text() if text is None else text, stop_words, min_rows, name)
     # Both joins meet all members of a group, so both are salted by its size.
+    row = F.struct(c("id"), *[c(x) for x in members.columns if x == "name"])
     sized = members.join(groups, "text_key")
-    one = sized.select(c("group").alias("group_1"), c("id").alias(f"{doc_id}_1"),
+    one = sized.select(c("group").alias("group_1"), row.alias("a"),
                        salt_of(c("copies"), c("id"), rows_per_task).alias("salt_1"))
-    two = sized.select(c("group").alias("group_2"), c("id").alias(f"{doc_id}_2"),
+    two = sized.select(c("group").alias("group_2"), row.alias("b"),
                        F.explode(salts(c("copies"), rows_per_task)).alias("salt_2"))
     self_pairs = groups.where(c("copies") > 1).select(
         c("group").alias("group_1"), c("group").alias("group_2"), F.lit(1.0).alias("similarity_score"))
@@ -179,17 +187,13 @@ def duplicate_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column |
              .join(groups.select(c("group").alias("group_2"), c("copies").alias("n_2")), "group_2")
              .withColumn("salt_1", F.explode(salts(c("n_1"), rows_per_task))))
     met = (links.join(one, ["group_1", "salt_1"])
-           .withColumn("salt_2", salt_of(c("n_2"), c(f"{doc_id}_1"), rows_per_task))
+           .withColumn("salt_2", salt_of(c("n_2"), c("a.id"), rows_per_task))
            .join(two, ["group_2", "salt_2"]))
-    a, b = c(f"{doc_id}_1"), c(f"{doc_id}_2")
-    pairs = met.where((c("group_1") != c("group_2")) | (a < b)).select(
-        F.least(a, b).alias(f"{doc_id}_1"), F.greatest(a, b).alias(f"{doc_id}_2"), "similarity_score")
-    if name is None:
-        return pairs
-    for side in ("1", "2"):
-        pairs = pairs.join(docs.select(c(doc_id).alias(f"{doc_id}_{side}"), c(name).alias(f"{name}_{side}")),
-                           f"{doc_id}_{side}")
-    return pairs
+    in_order = c("a.id") <= c("b.id")
+    pairs = met.where((c("group_1") != c("group_2")) | (c("a.id") < c("b.id"))).select(
+        F.when(in_order, c("a")).otherwise(c("b")).alias("a"), F.when(in_order, c("b")).otherwise(c("a")).alias("b"), "similarity_score")
+    names = [] if name is None else [c("a.name").alias(f"{name}_1"), c("b.name").alias(f"{name}_2")]
+    return pairs.select(c("a.id").alias(f"{doc_id}_1"), c("b.id").alias(f"{doc_id}_2"), "similarity_score", *names)
 
 
 def most_similar_pairs(docs: DataFrame, doc_id: str = "project_id", text: Column | None = None, k: int = 20,

@@ -53,12 +53,14 @@ def _rollup(checked: DataFrame, names, prefix, extra: list[Column] = ()) -> Data
 
 # --- documents --------------------------------------------------------------
 
-def _check_documents(projects: DataFrame, documents: DataFrame, rows_per_task: int) -> DataFrame:
+def _check_documents(projects: DataFrame, documents: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """``rows_per_task``: salt crowded projects, for a grouping by project that follows; None leaves the join as it is."""
     files = documents.select(
         "project_id", "document_id", "amount", c("contractor").alias("document_contractor"),
         c("location").alias("document_location"))
     known = projects.select("project_id", "project_name", "district", "contractor", "utilized_amount")
-    rows = lookup_join(files, known, "project_id", "document_id", rows_per_task)
+    rows = (files.join(known, "project_id") if rows_per_task is None
+            else lookup_join(files, known, "project_id", "document_id", rows_per_task))
     district, location = normal_text(c("district")), normal_text(c("document_location"))
     exists = c("document_id").isNotNull()
     rows = rows.withColumns({
@@ -77,11 +79,10 @@ def _check_documents(projects: DataFrame, documents: DataFrame, rows_per_task: i
     })
 
 
-def verify_documents(projects: DataFrame, documents: DataFrame | None,
-                     rows_per_task: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
+def verify_documents(projects: DataFrame, documents: DataFrame | None) -> DataFrame:
     if documents is None:
         return _unavailable(projects, DOCUMENT_FLAGS, "document")
-    return _with_absent(_check_documents(projects, documents, rows_per_task), projects, documents,
+    return _with_absent(_check_documents(projects, documents, None), projects, documents,
                         _flags({"missing_document"}, DOCUMENT_FLAGS, "document", 30))
 
 
@@ -131,8 +132,8 @@ def _check_images(images: DataFrame, count_empty: bool) -> DataFrame:
 def verify_images(projects: DataFrame, images: DataFrame | None, count_empty: bool = False) -> DataFrame:
     if images is None:
         return _unavailable(projects, IMAGE_FLAGS, "image")
-    checked = lookup_join(_check_images(images, count_empty), projects.select("project_id", "project_name"),
-                          "project_id", "image_id")
+    # Nothing groups by project after this join, so adaptive execution splits a crowded project.
+    checked = _check_images(images, count_empty).join(projects.select("project_id", "project_name"), "project_id")
     fixed = _flags({"missing_image"}, IMAGE_FLAGS, "image", 30)
     return _with_absent(checked, projects, images, {**fixed, "similarity_score": F.lit(0.0)})
 
@@ -165,8 +166,7 @@ def _check_inspections(inspections: DataFrame) -> DataFrame:
 def analyze_inspections(projects: DataFrame, inspections: DataFrame | None) -> DataFrame:
     if inspections is None:
         return _unavailable(projects, INSPECTION_FLAGS, "inspection").withColumn("inspection_score", F.lit(0.0))
-    checked = lookup_join(_check_inspections(inspections), projects.select("project_id", "project_name"),
-                          "project_id", "inspection_id")
+    checked = _check_inspections(inspections).join(projects.select("project_id", "project_name"), "project_id")
     return _with_absent(checked, projects, inspections,
                         _flags({"missing_inspection"}, INSPECTION_FLAGS, "inspection", 30))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import OUTLIER_FEATURES
 from ..functions.columns import round_even
 from ..plans.materialize import materialize, spread
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import quantiles
 from . import trees as _trees
 from .trees import UNIT, path_units, total_units
 
@@ -54,13 +54,13 @@ def feature_gate(features: DataFrame, columns=tuple(OUTLIER_FEATURES)) -> DataFr
     return features.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in columns])
 
 
-def feature_stats(features: DataFrame, columns=tuple(OUTLIER_FEATURES)) -> FeatureStats:
-    """Features with enough values, and their medians."""
+def feature_stats(features: DataFrame, columns=tuple(OUTLIER_FEATURES), rank_error: float | None = None) -> FeatureStats:
+    """Features with enough values, and their medians (exact, or within a rank error)."""
     row = feature_gate(features, columns).first()
     used = [x for x in columns if row[x] >= MIN_ROWS]
     stats = FeatureStats(row.rows, used, {})
     if stats.usable:
-        stats.medians = exact_quantiles(features.select(*[c(x).cast("double").alias(x) for x in used]), used, 0.5)
+        stats.medians = quantiles(features.select(*[c(x).cast("double").alias(x) for x in used]), used, 0.5, rank_error)
     return stats
 
 
@@ -186,13 +186,18 @@ def score_rows(imputed: DataFrame, forest: Forest) -> DataFrame:
 
 
 def ml_outliers(features: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE,
-                contamination: float = CONTAMINATION, seed: int = SEED) -> tuple[DataFrame, bool]:
+                contamination: float = CONTAMINATION, seed: int = SEED,
+                rank_error: float | None = None) -> tuple[DataFrame, bool]:
     """Outlier flag, 0-100 score and leading feature per project, and whether
-    there was enough data to fit a model."""
+    there was enough data to fit a model.
+
+    Medians and the cut of the flagged share are exact; ``rank_error`` takes
+    them from a sketch in one pass instead, that share of the rows off at most.
+    """
     # One pass over the portfolio; all later passes read five narrow columns.
     table = materialize(features.select("project_id", *[
         c(x).cast("double").alias(x) for x in OUTLIER_FEATURES]), "outlier-features")
-    stats = feature_stats(table)
+    stats = feature_stats(table, rank_error=rank_error)
     if not stats.usable:
         return table.select(
             "project_id", F.lit(False).alias("ml_anomaly"), F.lit(0.0).alias("ml_anomaly_score"),
@@ -201,7 +206,7 @@ def ml_outliers(features: DataFrame, trees: int = TREES, subsample: int = SUBSAM
     imputed = impute(table, stats)
     forest = fit_forest(imputed, stats, trees, subsample, seed)
     scored = materialize(top_feature(score_rows(spread(imputed, stats.rows), forest), stats), "outlier-scores")
-    cut = exact_quantiles(scored, ["_raw"], contamination)["_raw"]
+    cut = quantiles(scored, ["_raw"], contamination, rank_error)["_raw"]
     low, high = scored.agg(F.min("_raw"), F.max("_raw")).first()
     scaled = (F.lit(0.0) if high - low < 1e-9
               else round_even((F.lit(high) - c("_raw")) / F.lit(high - low) * F.lit(100.0), 2))

@@ -69,7 +69,7 @@ def geo_pairs(projects: DataFrame, threshold_km: float = OVERLAP_KM, names: bool
     use ``geo_risk``, which counts them without forming the pairs.
     """
     keep = ["project_name"] if names else []
-    points = located(projects, *keep)
+    points = materialize(located(projects, *keep), "located")      # read by the sites and by both sides of a pair
     places = sites(points, threshold_km)
     between = near_sites(places, threshold_km, rows_per_task)
     within = places.where(c("projects") > 1).select(
@@ -141,7 +141,7 @@ def closest_pairs(projects: DataFrame, k: int = 20, threshold_km: float = OVERLA
     ids suffice: any other pair comes after k pairs with smaller ids.
     """
     keep = ["project_name"] if names else []
-    points = located(projects, *keep)
+    points = materialize(located(projects, *keep), "located")
     places = sites(points, threshold_km, F.min("project_id").alias("low"), F.max("project_id").alias("high"),
                    min_rows=min_rows)
     ends = {s: [f"{x}_{s}" for x in SITE] for s in "12"}

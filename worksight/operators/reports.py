@@ -88,6 +88,18 @@ def report_counts(reports: DataFrame) -> DataFrame:
     return reports.groupBy("project_id").agg(F.count("*").alias("citizen_report_count"))
 
 
+def report_status(asked: DataFrame, projects: DataFrame, reports: DataFrame) -> DataFrame:
+    """For each asked ``project_id``: whether there is such a project, and how many reports it has.
+
+    Tells an unknown project (False, 0) from one without reports (True, 0).
+    """
+    ids = asked.select(strip(c("project_id").cast("string")).alias("project_id")).where("project_id is not null").distinct()
+    known = projects.select("project_id").distinct().withColumn("known", F.lit(True))
+    return (ids.join(known, "project_id", "left").join(report_counts(reports), "project_id", "left")
+            .select("project_id", F.coalesce("known", F.lit(False)).alias("known"),
+                    F.coalesce("citizen_report_count", F.lit(0)).alias("citizen_report_count")))
+
+
 def score_counts(counts: DataFrame) -> DataFrame:
     n = c("citizen_report_count")
     return counts.withColumns({

@@ -47,6 +47,22 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, bins: int = BIN
     return out
 
 
+def approximate_quantiles(df: DataFrame, columns: list[str], q: float, rank_error: float) -> dict[str, float | None]:
+    """Values of each column whose rank is within ``rank_error`` (a share of the rows) of ``q``.
+
+    One pass with a mergeable sketch (Greenwald & Khanna, 2001), for tables
+    where several exact passes cost too much.
+    """
+    accuracy = max(1, math.ceil(1 / rank_error))
+    row = df.agg(*[F.percentile_approx(F.col(x), q, accuracy).alias(f"q_{i}") for i, x in enumerate(columns)]).first()
+    return {x: row[f"q_{i}"] for i, x in enumerate(columns)}
+
+
+def quantiles(df: DataFrame, columns: list[str], q: float, rank_error: float | None = None) -> dict[str, float | None]:
+    """Exact, or in one pass within a stated rank error."""
+    return exact_quantiles(df, columns, q) if rank_error is None else approximate_quantiles(df, columns, q, rank_error)
+
+
 def _narrow(df, open_ranks, bins):
     keys = list(open_ranks)
     cells = []

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
 from ..functions.columns import clean_double, strip
+from ..plans.rank import global_rank
 
 # One is chosen for a column: that by which most values parse, the first of equals.
 DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM d, yyyy")
@@ -90,11 +91,15 @@ def _parse_date(c: Column, dtype: T.DataType, chosen: str | None) -> Column:
 
 def column_formats(rows: DataFrame, columns: dict[str, str], formats) -> dict[str, str | None]:
     """The date format of each text column (name -> position name), from one
-    aggregate over all rows, so ``02/03/2024`` is read like its neighbours."""
+    aggregate over all rows, so ``02/03/2024`` is read like its neighbours.
+    Only values that are no ISO date have a say; the others need no format."""
     if not columns or not formats:
         return dict.fromkeys(columns)
     asked = [(name, f) for name in columns for f in formats]
-    counts = rows.agg(*[F.count(F.try_to_timestamp(strip(F.col(columns[name])), F.lit(f))) for name, f in asked]).first()
+    words = rows.select(*[strip(F.col(at)).alias(name) for name, at in columns.items()])
+    other = words.select(*[F.when(F.col(name).try_cast("timestamp").isNull(), F.col(name)).alias(name) for name in columns])
+    other = other.where(F.coalesce(*columns).isNotNull())
+    counts = other.agg(*[F.count(F.try_to_timestamp(F.col(name), F.lit(f))) for name, f in asked]).first()
     best: dict[str, tuple[int, str | None]] = {name: (0, None) for name in columns}
     for (name, f), n in zip(asked, counts, strict=True):
         if n > best[name][0]:
@@ -133,7 +138,7 @@ def normalize(df: DataFrame, spec: TableSpec, date_formats=DATE_FORMATS,
     for name in spec.canonical:
         present = name in at
         if name == spec.row_id:
-            c = source(name).cast("string") if present else (F.monotonically_increasing_id() + 1).cast("string")
+            c = source(name).cast("string") if present else F.lit(None).cast("string")
         elif name == "project_id":
             c = strip(source(name).cast("string"))
         elif name in spec.text:
@@ -150,11 +155,27 @@ def normalize(df: DataFrame, spec: TableSpec, date_formats=DATE_FORMATS,
         out += [source(n).alias(n) for n in at if n not in spec.canonical]
 
     rows = _positional(df).where(_named(source("project_id"))).select(*out)
+    if spec.row_id and spec.row_id not in at:
+        rows = number_rows(rows, spec.row_id)
     availability = {n: n in at for n in [*spec.text, *spec.numeric, *spec.dates]}
     availability["project_id"] = True
     return rows, availability
 
 
+def number_rows(rows: DataFrame, row_id: str) -> DataFrame:
+    """Number rows 1..n, as text, in the order of their values.
+
+    The numbers depend on the values alone, not on files, partitions or a
+    task that ran twice: rows with equal values may swap theirs, which leaves
+    the table as it is.
+    """
+    order = [F.col(x).asc_nulls_first() for x in rows.columns if x != row_id]
+    # Many equal rows fall into several ranges; ranking writes its input first, so this number is given once.
+    apart = rows.drop(row_id).withColumn("_tie", F.monotonically_increasing_id())
+    numbered = global_rank(apart, [*order, F.col("_tie")], row_id)
+    return numbered.withColumn(row_id, F.col(row_id).cast("string")).select(*rows.columns)
+
+
 def rejected_rows(df: DataFrame, spec: TableSpec) -> DataFrame:
     """The rows ``normalize`` leaves out because they name no project."""
     at = resolve_headers(df.columns, spec)

@@ -1,5 +1,6 @@
 from .intake import (count_stream, current_counts, decision_stream, deduplicated, report_stream, run_now,
                      write_append, write_counts)
+from .maintained import MaintainedTable
 
 __all__ = ["count_stream", "current_counts", "decision_stream", "deduplicated", "report_stream", "run_now",
-           "write_append", "write_counts"]
+           "write_append", "write_counts", "MaintainedTable"]

@@ -1,6 +1,7 @@
 """Every query of the engine over the driver's test tables, with its oracle."""
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -10,10 +11,11 @@ from ..operators.features import add_features
 from ..operators.fusion import data_inventory, data_readiness, readiness_totals
 from ..plans.materialize import materialize, scratch_dir
 from ..plans.pipeline import assess, risk_fusion
+from ..plans.serving import RiskStore
 from ..sources.readers import find_table, load_dataset, load_projects
 from ..sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, PROJECTS, normalize, rejected_rows
 from ..sources.sinks import to_records
-from ..streaming import intake
+from ..streaming import intake, refresh
 from . import bindings as B
 from .oracle import BODY, FLAGS, SCORES, compose, even, pct, text, weights_without
 
@@ -277,6 +279,62 @@ def q_stream_counts(spark, sf):
     return intake.current_counts(spark, f"{base}/rows")
 
 
+def q_decision_stream(spark, sf):
+    """Decisions as a stream, checked and appended."""
+    base = _fresh(spark, "decisions")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = spark.sql(B.VIEWS["verifications"].replace("from events", "from {events}"), events=events).select(
+        "verification_id", "project_id", F.concat(F.lit(" "), F.lower("decision")).alias("decision"), "remarks", "verification_date")
+    checked = intake.decision_stream(rows, B.view(spark, sf, "projects"))
+    intake.run_now(intake.write_append(checked, f"{base}/rows", f"{base}/checkpoint", available_now=True))
+    return spark.read.schema(checked.schema).parquet(f"{base}/rows").withColumn(
+        "verification_date", F.date_format("verification_date", STAMP))
+
+
+def q_replays(spark, sf):
+    """Every submission arrives twice; each is taken once."""
+    base = _fresh(spark, "replays")
+    twice = _submissions(spark, sf, True).unionByName(_submissions(spark, sf, True))
+    checked = intake.report_stream(intake.deduplicated(twice), B.view(spark, sf, "projects"))
+    intake.run_now(intake.write_append(checked, f"{base}/rows", f"{base}/checkpoint", available_now=True))
+    return reports_out(spark.read.schema(checked.schema).parquet(f"{base}/rows"))
+
+
+def q_alert_refresh(spark, sf):
+    """Alerts maintained by the stream of accepted reports, as they stand after its last batch."""
+    base = _fresh(spark, "refresh")
+    data = replace(B.dataset(spark, sf), citizen_reports=None)
+    assessed = assess(data, B.as_of(), include_ml=False).stored()
+    checked = intake.report_stream(_submissions(spark, sf, True), data.projects)
+    table = refresh.alert_table(assessed, f"{base}/alerts")
+    intake.run_now(refresh.maintain_alerts(intake.count_stream(reports.accepted(checked)), assessed, table, f"{base}/checkpoint",
+                                           available_now=True))
+    return table.current(spark)
+
+
+def q_report_status(spark, sf):
+    projects = B.view(spark, sf, "projects")
+    checked = reports.check_reports(_submissions(spark, sf), projects)
+    return reports.report_status(_submissions(spark, sf), projects, reports.accepted(checked))
+
+
+def _risk_store(spark, sf):
+    return RiskStore.write(_alerts(spark, sf), _fresh(spark, "serving"))
+
+
+def q_surrogate_ids(spark, sf):
+    rows, _ = normalize(B.view(spark, sf, "evidence_images").drop("image_id").repartition(7), IMAGES)
+    return rows.select("image_id", "project_id", "image_hash", "similarity_score", "status")
+
+
+def q_zero_sanction(spark, sf):
+    """Money released without a sanction."""
+    none = F.col("project_id").substr(F.lit(2), F.lit(20)).cast("bigint") % 9 == 0
+    projects = B.projects(spark, sf).withColumn("sanctioned_amount", F.when(none, F.lit(0.0)).otherwise(c("sanctioned_amount")))
+    return rules.financial_rules(add_features(projects, B.as_of()))
+
+
 def q_decisions(spark, sf):
     rows = B.view(spark, sf, "verifications").select(
         "verification_id", "project_id", F.concat(F.lit(" "), F.lower("decision")).alias("decision"), "remarks",
@@ -347,6 +405,7 @@ QUERIES = {
     "features": _mk(_features, cols(*FEATURE_COLUMNS), lambda d: rounded(
         d, 6, "utilization_percentage", "financial_progress_percentage", "progress_mismatch", "progress_mismatch_abs")),
     "financial_rules": _mk(_features, rules.financial_rules, cols(*_rule_columns("financial"))),
+    "financial_rules_without_sanction": _mk(q_zero_sanction, cols(*_rule_columns("financial"))),
     "delay_rules": _mk(_features, rules.delay_rules, cols(*_rule_columns("delay"))),
     "progress_rules": _mk(_features, rules.progress_rules, cols(*_rule_columns("progress"))),
     # contractors
@@ -368,6 +427,12 @@ QUERIES = {
     "documents_not_supplied": _mk(lambda s, f: evidence.verify_documents(B.projects(s, f), None),
                                   cols("project_id", "document_anomaly", "document_risk_score",
                                        "document_signal_available")),
+    "images_not_supplied": _mk(lambda s, f: evidence.verify_images(B.projects(s, f), None),
+                               cols("project_id", "image_anomaly", "image_risk_score", "image_signal_available")),
+    "inspections_not_supplied": _mk(lambda s, f: evidence.analyze_inspections(B.projects(s, f), None),
+                                    cols("project_id", "inspection_anomaly", "inspection_risk_score", "inspection_score",
+                                         "inspection_signal_available")),
+    "surrogate_ids": _mk(q_surrogate_ids),
     # proximity
     "geo_pairs": _mk(lambda s, f: proximity.geo_pairs(B.projects(s, f))),
     "geo_project_risk": _mk(lambda s, f: proximity.geo_risk(B.dataset(s, f).projects)),
@@ -380,6 +445,7 @@ QUERIES = {
     "dup_closest20": _mk(lambda s, f: duplicates.most_similar_pairs(materialize(B.projects(s, f), "projects"))),
     "dup_document_risk": _mk(q_dup_document_risk),
     "dup_project_risk": _mk(lambda s, f: duplicates.duplicate_risk(B.projects(s, f))),
+    "dup_below_min_rows": _mk(lambda s, f: duplicates.duplicate_risk(B.projects(s, f), min_rows=10 ** 12)),
     "tfidf_terms": _mk(q_tfidf_terms),
     # outliers
     "feature_gate": _mk(_features, outliers.feature_gate),
@@ -395,7 +461,10 @@ QUERIES = {
         B.view(s, f, "citizen_reports"), LOOKUP), reports_out),
     "citizen_stream_ingest": _mk(q_stream_ingest),
     "citizen_stream_counts": _mk(q_stream_counts),
+    "citizen_replays": _mk(q_replays),
+    "citizen_report_status": _mk(q_report_status),
     "verification_ingest": _mk(q_decisions),
+    "verification_stream": _mk(q_decision_stream),
     "verification_history": _mk(q_history),
     # fusion, reasons, alerts
     "risk_fusion": _mk(lambda s, f: risk_fusion(B.dataset(s, f), B.as_of(), include_ml=False).risk,
@@ -414,8 +483,12 @@ QUERIES = {
     "risk_summary": _mk(_alerts, A.risk_summary),
     "high_risk": _mk(_alerts, A.high_risk),
     "alert_feed": _mk(_alerts, A.alert_feed, joined_reasons),
+    "alert_refresh": _mk(q_alert_refresh, cols(*ALERT_OUT, "citizen_report_count")),
     "map_join": _mk(q_map),
     "project_lookup": _mk(_alerts, lambda d: A.project_detail(d, LOOKUP), joined_reasons),
+    "project_lookup_indexed": _mk(lambda s, f: _risk_store(s, f).detail(LOOKUP), joined_reasons),
+    "explorer_search_indexed": _mk(lambda s, f: _risk_store(s, f).search(SEARCH, LEVEL), cols(
+        "project_id", "project_name", "district", "overall_risk_score", "risk_level")),
     "explorer_search": _mk(_alerts, lambda d: A.search_projects(d, SEARCH, LEVEL), cols(
         "project_id", "project_name", "district", "overall_risk_score", "risk_level")),
     "module_top_k": _mk(q_module_top_k),
@@ -716,6 +789,24 @@ from projects"""),
 }
 MESSY_OUT = ["project_id", *PROJECTS.text, *PROJECTS.numeric, *PROJECTS.dates]
 ORACLE |= {
+    "alert_refresh": _sel([*ALERT_OUT, "citizen_report_count"], "alert_stream"),
+    "project_lookup_indexed": ORACLE["project_lookup"],
+    "explorer_search_indexed": ORACLE["explorer_search"],
+    "images_not_supplied": _sel(["project_id", "false as image_anomaly", "0e0 as image_risk_score",
+                                 "false as image_signal_available"], "projects"),
+    "inspections_not_supplied": _sel(["project_id", "false as inspection_anomaly", "0e0 as inspection_risk_score",
+                                      "0e0 as inspection_score", "false as inspection_signal_available"], "projects"),
+    "surrogate_ids": compose(f"""
+select cast(row_number() over (order by {", ".join(f"{x} nulls first" for x in IMAGES.canonical if x != "image_id")}) as varchar)
+         as image_id, project_id, image_hash, similarity_score, status from evidence_images"""),
+    "financial_rules_without_sanction": _sel(_rule_columns("financial"), "rules_zero"),
+    "dup_below_min_rows": _sel(["project_id", "false as duplicate_anomaly", "0e0 as duplicate_risk_score",
+                                "0e0 as duplicate_match_score"], "projects"),
+    "citizen_replays": _sel([*CHECKED, "reject_reason"], "checked"),
+    "citizen_report_status": compose("""
+select s.project_id, any_value(p.project_id) is not null as known, count(*) filter (reject_reason is null) as citizen_report_count
+from checked s left join projects p on p.project_id = s.project_id group by s.project_id"""),
+    "verification_stream": ORACLE["verification_ingest"],
     "messy_projects_csv": f"select {', '.join(MESSY_OUT)} from ({_messy_sql('where project_id is not null')}) t",
     "rejected_rows": f"select state, count(*) as rows, count(*) filter (blank) as blank_ids from "
                      f"({_messy_sql('where project_id is null')}) t group by state",

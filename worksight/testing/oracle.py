@@ -216,6 +216,15 @@ from (select report_id, submitted_at, trim(project_id) as project_id, trim(upper
              trim(description) as description from submissions) s left join projects p using (project_id)""",
 })
 
+CTES.update({
+    "stream_best": "select project_id, count(*) as citizen_report_count, cast(least(count(*) * 25, 100) as double) "
+                   "as citizen_risk_score, true as citizen_anomaly from checked where reject_reason is null group by project_id",
+    "projects_zero": "select * replace (case when cast(substr(project_id, 2) as bigint) % 9 = 0 then 0e0 else sanctioned_amount "
+                     "end as sanctioned_amount) from projects",
+    "features_zero": CTES["features"].replace("from projects", "from projects_zero"),
+    "rules_zero": CTES["rules"].replace("from features", "from features_zero"),
+})
+
 # --- isolation forest: 200 trees of at most 256 rows, eight levels, all drawn from MD5 ---
 
 FOREST_TREES, FOREST_ROWS, FOREST_DEPTH, FOREST_SEED = 200, 256, 8, 42
@@ -293,7 +302,7 @@ def weights_without(*missing: str) -> dict[str, float]:
     return {s: there.get(s, 0.0) / sum(there.values()) for s in HUNDREDTHS}
 
 
-def fused(name: str, files: dict[str, bool], model: bool = False) -> dict[str, str]:
+def fused(name: str, files: dict[str, bool], model: bool = False, citizen: str = "citizen_best") -> dict[str, str]:
     """The fused table, with or without the model-based signal."""
     weights = weights_without(*([] if model else ["ml_anomaly"]),
                               *[n for n in ("document", "image", "inspection") if not files[n + "s"]])
@@ -322,7 +331,7 @@ select r.*, contractor_risk_score, contractor_anomaly, {", ".join(evidence)},
        coalesce(citizen_risk_score, 0e0) as citizen_risk_score, coalesce(citizen_anomaly, false) as citizen_anomaly
 from rules r left join contractor_map using (project_id) {" ".join(joins)}
 {"left join forest_best using (project_id)" if model else ""} left join dup_best using (project_id) left join geo_best using (project_id)
-left join citizen_best using (project_id)""",
+left join {citizen} using (project_id)""",
         name: f"""
 select *, case when overall_risk_score >= 90 then 'CRITICAL' when overall_risk_score >= 70 then 'HIGH'
                when overall_risk_score >= 40 then 'MEDIUM' else 'LOW' end as risk_level,
@@ -334,6 +343,7 @@ from (select *, {even(f"least(greatest({score}, 0e0), 1e2)", 2)} as overall_risk
 ALL_FILES = {"documents": True, "images": True, "inspections": True}
 CTES.update(fused("risk", ALL_FILES))
 CTES.update(fused("risk_model", ALL_FILES, model=True))
+CTES.update(fused("risk_stream", ALL_FILES, citizen="stream_best"))
 CTES.update(fused("risk_no_documents", {**ALL_FILES, "documents": False}))
 
 
@@ -430,6 +440,7 @@ from {name}_said""",
 
 CTES.update(alert_ctes("alert_table", "risk", True))
 CTES.update(alert_ctes("alert_model", "risk_model", True))
+CTES.update(alert_ctes("alert_stream", "risk_stream", True))
 CTES.update(alert_ctes("alert_summary", "risk", False))
 WORDS = re.compile(r"[a-z_0-9]+")
 BODY: dict[str, str] = {}           # composed query -> the query alone, to compose it again with others
