@@ -79,10 +79,10 @@ def _check_documents(projects: DataFrame, documents: DataFrame, rows_per_task: i
     })
 
 
-def verify_documents(projects: DataFrame, documents: DataFrame | None) -> DataFrame:
+def verify_documents(projects: DataFrame, documents: DataFrame | None, rows_per_task: int | None = None) -> DataFrame:
     if documents is None:
         return _unavailable(projects, DOCUMENT_FLAGS, "document")
-    return _with_absent(_check_documents(projects, documents, None), projects, documents,
+    return _with_absent(_check_documents(projects, documents, rows_per_task), projects, documents,
                         _flags({"missing_document"}, DOCUMENT_FLAGS, "document", 30))
 
 
