@@ -117,11 +117,12 @@ def mix(docs: DataFrame, source: str = "source", id: str = "doc_id", size: str =
     sources are one source, last in order.  Documents without words are taken
     once; they carry no words.  ``docs`` is read twice, so it should be a
     stored table.  Copies of equal documents are told apart by a hash of the
-    id; rows equal in id are interchangeable.  The columns must not be named
-    key, n, copies, b, h, total or target.  An empty table gives an empty one.
+    id; rows equal in id are interchangeable.  Columns may have any name; one
+    named as an added column is replaced.  An empty table gives an empty one.
     """
-    keyed = docs.withColumns({"key": source_key(c(f"`{source}`")), "h": F.xxhash64(c(f"`{id}`"), F.lit(29))})
-    classes = materialize(keyed.groupBy("key", c(f"`{size}`").alias("size")).agg(F.count("*").alias("n")), "mix-classes")
+    keyed = docs.select(F.struct("*").alias("row"), source_key(c(f"`{source}`")).alias("key"), c(f"`{id}`").alias("id"),
+                        c(f"`{size}`").alias("size"), F.xxhash64(c(f"`{id}`"), F.lit(29)).alias("h"))
+    classes = materialize(keyed.groupBy("key", "size").agg(F.count("*").alias("n")), "mix-classes")
     goals = materialize(targets(classes.groupBy("key").agg(F.sum(c("n") * c("size")).alias("total")),
                                 weights, share, cap), "mix-goals")
     state = tilt(classes.where("size > 0"), goals, cap)
@@ -136,15 +137,16 @@ def mix(docs: DataFrame, source: str = "source", id: str = "doc_id", size: str =
     rows = classes.agg(F.sum("n")).first()[0] or 0
     buckets = 16 + rows // rows_per_bucket
     keyed = keyed.withColumn("b", F.pmod("h", F.lit(buckets)))
-    counts = keyed.groupBy("key", c(f"`{size}`").alias("size"), "b").agg(F.count("*").alias("in_bucket"))
+    counts = keyed.groupBy("key", "size", "b").agg(F.count("*").alias("in_bucket"))
     ahead = F.sum("in_bucket").over(Window.partitionBy("key", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     plan = (counts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(whole, ["key", "size"])
             .join(goals.select("key", c("total").alias("source_size"), "target"), "key")
             .select("key", c("size").alias("_size"), "b", "ahead", "source_size", "target",
                     F.floor(c("copies") / c("n")).alias("each"), (c("copies") % c("n")).alias("more")))
     x, y = keyed.alias("x"), plan.alias("y")
-    joined = x.join(y, (c("x.key") == c("y.key")) & (c(f"x.`{size}`") == c("y._size")) & (c("x.b") == c("y.b")))
-    place = F.row_number().over(Window.partitionBy("x.key", f"x.`{size}`", "x.b").orderBy("x.h", f"x.`{id}`")) + c("ahead")
+    joined = x.join(y, (c("x.key") == c("y.key")) & (c("x.size") == c("y._size")) & (c("x.b") == c("y.b")))
+    place = F.row_number().over(Window.partitionBy("x.key", "x.size", "x.b").orderBy("x.h", "x.id")) + c("ahead")
+    added = ("source_size", "target", "copies")
     return joined.withColumn("_place", place).select(
-        *[c(f"x.`{k}`") for k in docs.columns], "source_size", "target",
+        *[c("x.row")[k].alias(k) for k in docs.columns if k not in added], "source_size", "target",
         (c("each") + F.when(c("_place") <= c("more"), 1).otherwise(0)).alias("copies"))
