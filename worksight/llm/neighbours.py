@@ -3,9 +3,12 @@
 Queries and candidates are dealt into blocks; every tile of a query block
 and a candidate block is one task's work.  In a tile both sides are
 quantised to int8 with one scale per vector, and the product of the two
-matrices gives all scores up to an error that the residues bound.  Pairs
-that may still be among the k best are computed again from the original
-vectors in double precision.  A heap per query merges the tiles.
+matrices gives all scores up to an error that the residues bound.  The mean
+of a tile's candidates is taken off before they are quantised, since its
+product with a query is one number; so an offset that all vectors share does
+not coarsen the scale.  Pairs that may still be among the k best are computed
+again from the original vectors in double precision, in slices of a bounded
+size.  A heap per query merges the tiles.
 """
 
 import heapq
@@ -14,28 +17,39 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.materialize import materialize
+
 c = F.col
 
+#: Numbers of the vectors of the pairs that are multiplied at once.
+SLICE = 1 << 21
+
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whole numbers of at most 127 in size, their scale, the norm of the residue and that of the vector."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1), np.finfo(float).tiny) / 127      # a vector on the mean is all zero
     whole = np.rint(x / scale[:, None])
     return whole, scale, np.linalg.norm(x - whole * scale[:, None], axis=1), np.linalg.norm(x, axis=1)
 
 
 def best_of_tile(queries: np.ndarray, found: np.ndarray, allowed: np.ndarray, k: int):
     """Query index, candidate index and score of all pairs that can be among a query's k best in this tile."""
+    mean = found.mean(axis=0)
     qi, qs, qr, qn = _quantise(queries)
-    vi, vs, vr, vn = _quantise(found)
+    vi, vs, vr, vn = _quantise(found - mean)
+    base, largest = queries @ mean, np.linalg.norm(found, axis=1)
     exact = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64    # whole products stay exact
-    about = (qi.astype(exact) @ vi.astype(exact).T).astype(np.float64) * qs[:, None] * vs[None, :]
-    # q.v - about = residue(q).v + (q - residue(q)).residue(v), by Cauchy-Schwarz, plus rounding
-    error = qr[:, None] * vn[None, :] + (qn + qr)[:, None] * vr[None, :] + 1e-9 * qn[:, None] * vn[None, :]
+    about = (qi.astype(exact) @ vi.astype(exact).T).astype(np.float64) * qs[:, None] * vs[None, :] + base[:, None]
+    # q.v - about = residue(q).w + (q - residue(q)).residue(w) with w = v - mean, by Cauchy-Schwarz, plus rounding
+    error = (qr[:, None] * vn[None, :] + (qn + qr)[:, None] * vr[None, :]
+             + 1e-9 * qn[:, None] * (largest + np.linalg.norm(mean))[None, :])
     low = np.where(allowed, about - error, -np.inf)
     least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
     q, v = np.nonzero(allowed & (about + error >= least[:, None]))
-    return q, v, np.cumsum(queries[q] * found[v], axis=1)[:, -1]
+    score, step = np.empty(len(q)), max(1, SLICE // queries.shape[1])
+    for i in range(0, len(q), step):
+        score[i:i + step] = np.cumsum(queries[q[i:i + step]] * found[v[i:i + step]], axis=1)[:, -1]
+    return q, v, score
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vector: str = "embedding",
@@ -50,10 +64,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id"
     numbers of blocks follow from the row counts, so a tile has about
     ``query_block`` x ``block`` pairs at any input size.
     """
-    parts = F.transform(c(f"`{vector}`"), lambda x: x.cast("double"))
-    rows = vectors.select(c(f"`{id}`").cast("long").alias("id"), parts.alias("x"),
-                          F.monotonically_increasing_id().alias("row"))
-    rows = rows.where("id is not null and size(x) > 0 and exists(x, e -> e != 0) and forall(x, e -> e is not null and "
+    # Written once with its number: both sides of the join must agree on it.
+    rows = materialize(vectors.select(c(f"`{id}`").cast("long").alias("id"), c(f"`{vector}`").alias("x"),
+                                      F.monotonically_increasing_id().alias("row")), "vectors")
+    rows = rows.withColumn("x", F.transform("x", lambda x: x.cast("double"))).where("id is not null and size(x) > 0 and exists(x, e -> e != 0) and forall(x, e -> e is not null and "
                       "not isnan(e) and abs(e) < double('infinity'))").withColumn("dim", F.size("x"))
     is_query = c("id") % every == 0
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
