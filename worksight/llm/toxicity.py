@@ -306,14 +306,16 @@ def _vector(batches, model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", text: str = "text", label: str = "toxic",
-        per_class: int = 10_000, n_features: int = 512, penalty: float = 0.00005) -> Model:
+        per_class: int = 10_000, min_texts: int = 3, least_strength: float = 4.0, penalty: float = 0.00005) -> Model:
     """The character model of all ``docs`` and the classifier of at most
     ``per_class`` training rows of each label, those with the smallest hash of
-    their id.  Candidates are the features of at least 0.5 % of the toxic
-    rows; the ``n_features`` with the strongest association take part."""
+    their id.  Every feature takes part that ``min_texts`` toxic rows hold and
+    whose share of toxic rows is ``least_strength`` standard errors above that
+    of other rows; there is no limit on their number, the penalty shrinks
+    them.  Of contradictory labels of one id the smallest counts."""
     counts = character_counts(docs, text)
     known = labels.select(c(f"`{id}`").alias("id"), c(f"`{label}`").alias("label")).where(
-        train & c("label").isin(0, 1) & c("id").isNotNull()).dropDuplicates(["id"])
+        train & c("label").isin(0, 1) & c("id").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
     n = {int(x[0]): x[1] for x in known.groupBy("label").count().collect()}
     model = Model(counts, np.zeros(0, U), np.zeros(0), math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
     if len(n) < 2:
@@ -327,15 +329,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return model
-    often = _presence(rows.where("label = 1"), counts, None).where(c("bad") >= max(3, 0.005 * bad)).select("h").collect()
+    often = _presence(rows.where("label = 1"), counts, None).where(c("bad") >= min_texts).select("h").collect()
     wanted = np.sort(np.array([x.h for x in often], dtype=np.int64).view(U))
     seen = _presence(rows, counts, wanted).collect()
 
     def strength(x):        # difference of the two frequencies in standard errors
         both = (x.bad + x.good + 1) / (bad + good + 2)
         return (x.bad / bad - x.good / good) / math.sqrt(both * (1 - both) * (1 / bad + 1 / good))
-    chosen = sorted((x for x in seen if strength(x) > 4), key=lambda x: (-strength(x), x.h))[:n_features]
-    model.wanted = np.sort(np.array([x.h for x in chosen], dtype=np.int64).view(U))
+    model.wanted = np.sort(np.array([x.h for x in seen if strength(x) > least_strength], dtype=np.int64).view(U))
     if not len(model.wanted):
         return model
 
