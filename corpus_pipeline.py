@@ -27,9 +27,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five words, 80 %) the one with the smallest id stays; of rows equal in id and text, one."""
-    found = minhash.near_duplicates(docs)
-    kept = found.where("kept").select(c("doc_id").alias("_id"), c("text_hash").alias("_mark")).distinct()
+    """Of near-duplicates (five words, 80 %) one stays: that with the smallest id, then text hash, null ids last.
+    Texts without words are no duplicates of others; of rows equal in id and text, one stays."""
+    found = minhash.near_duplicates(docs).select(c("doc_id").alias("_id"), c("text_hash").alias("_mark"), "component_label")
+    first = F.min(F.struct(c("_id").isNull(), "_id", "_mark"))
+    kept = (found.where("component_label is not null").groupBy("component_label").agg(first.alias("at")).select("at._id", "at._mark")
+            .union(found.where("component_label is null").select("_id", "_mark")).distinct())
     rows = _packed(docs, "doc_id", F.xxhash64("text").alias("mark"))
     joined = rows.join(kept, c("doc_id").eqNullSafe(c("_id")) & (c("mark") == c("_mark")), "left_semi")
     return joined.dropDuplicates(["doc_id", "mark"]).select("row.*")

@@ -147,12 +147,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
                     bands: int = 48, rows: int = 7) -> DataFrame:
-    """id, n_shingles, component_id, kept and text_hash (xxhash64) for each row of ``docs``.
+    """id, n_shingles, component_id, kept, text_hash (xxhash64) and component_label for each row of ``docs``.
 
     Words are runs other than ASCII white space, with A-Z in lower case; a
     text's set has its distinct shingles of ``k`` words.  A null or blank text
     has an empty set and is linked with nothing.  Rows that share an id are
-    one document.  The component's id is its smallest id.  A pair at exactly
+    one document.  The component's id is its smallest id; its label tells
+    components apart also where ids repeat or are null, and is null for an
+    empty set.  A pair at exactly
     80 % similarity shares no bucket with a probability of
     (1 - 0.8 ** 7) ** 48, about 1 in 80,000; above, it falls quickly.  Other
     columns of ``docs`` take no part.  Classes and shingles are told apart by
@@ -222,4 +224,4 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     return named.join(least, "label", "left").select(
         c("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"),
-        c("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"), c("mark").alias("text_hash"))
+        c("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"), c("mark").alias("text_hash"), c("label").alias("component_label"))

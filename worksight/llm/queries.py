@@ -27,7 +27,7 @@ def op2_source_mixing(spark, sf_dir):
 
 
 def op3_minhash_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("component_label")
 
 
 def op7_benchmark_decontamination(spark, sf_dir):
