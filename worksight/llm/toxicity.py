@@ -274,14 +274,14 @@ def features(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray | None = N
     return row[first], h[first], np.diff(np.append(first, len(row)))
 
 
-def _presence(docs: DataFrame, counts: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
+def _presence(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """h, toxic texts, other texts: in how many texts (text, label) a feature occurs."""
     def count(batches):
         channel = Channel(counts)
         for batch in batches:
             label = batch.column("label").to_numpy()
             for i, j, data, bounds in W.slices(batch.column("text"), SLICE):
-                row, h, _ = features(*restore(data, bounds, channel), wanted)
+                row, h, _ = features(*restore(data, bounds, channel))
                 every, at = np.unique(h, return_inverse=True)
                 bad = np.bincount(at, weights=label[i:j][row], minlength=len(every)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(every.view(np.int64)), "bad": pa.array(bad),
@@ -329,14 +329,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", t
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         return model
-    often = _presence(rows.where("label = 1"), counts, None).where(c("bad") >= min_texts).select("h").collect()
-    wanted = np.sort(np.array([x.h for x in often], dtype=np.int64).view(U))
-    seen = _presence(rows, counts, wanted).collect()
-
-    def strength(x):        # difference of the two frequencies in standard errors
-        both = (x.bad + x.good + 1) / (bad + good + 2)
-        return (x.bad / bad - x.good / good) / math.sqrt(both * (1 - both) * (1 / bad + 1 / good))
-    model.wanted = np.sort(np.array([x.h for x in seen if strength(x) > least_strength], dtype=np.int64).view(U))
+    # Difference of the two frequencies in standard errors; only the features that take part reach the driver.
+    both = (c("bad") + c("good") + 1) / F.lit(float(bad + good + 2))
+    strength = (c("bad") / F.lit(float(bad)) - c("good") / F.lit(float(good))) / F.sqrt(
+        both * (1 - both) * F.lit(1 / bad + 1 / good))
+    strong = _presence(rows, counts).where((c("bad") >= min_texts) & (strength > least_strength)).select("h").collect()
+    model.wanted = np.sort(np.array([x.h for x in strong], dtype=np.int64).view(U))
     if not len(model.wanted):
         return model
 
