@@ -17,6 +17,8 @@ from ..plans.materialize import materialize
 
 c = F.col
 FINE = 1 << 30
+MOST_CELLS = 1 << 15          # ranges that the driver holds
+MOST_SAMPLED = 1 << 19        # keys expected in the first sample
 
 
 def _array(values: list[int]) -> Column:
@@ -71,13 +73,16 @@ def _place(light: list, heavy: list[list], n_shards: int) -> dict[int, int]:
 
 
 def shard(docs: DataFrame, n_shards: int = 16, id: str = "doc_id", text: str = "text", carry: list[str] | None = None,
-          cells_per_shard: int = 64, oversample: int = 32) -> DataFrame:
+          cells_per_shard: int = 64, oversample: int = 32, cell_size: int = 1 << 28) -> DataFrame:
     """Columns ``carry`` (all of them by default), then size, text_crc32, law,
     shard, slot and grown_shard.
 
     The size of a record is the number of its UTF-8 bytes plus 1; a null text
-    has none and counts as empty.  The sample has about ``oversample`` keys
-    for each of ``n_shards * cells_per_shard`` ranges; it sets boundaries
+    has none and counts as empty.  There are ``n_shards * cells_per_shard``
+    ranges, more where these would hold over ``cell_size`` bytes, since one
+    task orders a range; at most MOST_CELLS, and each over three times the
+    mean is divided again.  The sample has about ``oversample`` keys for each
+    (fewer, but 8 at least, beyond MOST_SAMPLED in all); it sets boundaries
     only, all counts are exact.  Texts that fill a range alone are at most
     twice as many as ranges, so they, the boundaries and the ranges fit into
     the driver at any input size.  Equal records may swap slots.  An empty
@@ -93,7 +98,7 @@ def shard(docs: DataFrame, n_shards: int = 16, id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     narrow = materialize(keyed.select("key", "tie", "size"), "shard-keys")
     n, size = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    cells = n_shards * cells_per_shard
+    cells = n_shards * max(cells_per_shard, min(-(-size // (n_shards * cell_size)), MOST_CELLS // n_shards))
     cell_rows, cell_bytes = max(1.0, n / cells), max(1.0, size / cells)
 
     crowded = (narrow.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
@@ -115,7 +120,7 @@ def shard(docs: DataFrame, n_shards: int = 16, id: str = "doc_id", text: str = "
         chance = F.pmod(F.xxhash64("key", "tie", F.lit(17)), F.lit(FINE)) / F.lit(float(FINE))
         return [(k, w) for k, w in rows.where(chance < odds).select("key", F.greatest(odds, F.lit(1.0))).collect()]
 
-    light, rate = marked.where(c("pieces").isNull()), oversample * cells
+    light, rate = marked.where(c("pieces").isNull()), cells * max(8, min(oversample, MOST_SAMPLED // cells))
     splitters = _quantiles(sample(light, rate), cells)
     while True:
         cell = F.when(c("pieces").isNotNull(), c("base") + F.pmod("tie", c("pieces"))).otherwise(
