@@ -10,14 +10,15 @@ sketch are the buckets; pairs from buckets are confirmed on full sets.
 Texts with equal sets are one class from the start.  A bucket is not
 expanded into pairs: its members are compared with one of them, links are
 joined to components, and only members of different components are compared
-again.
+again; what is open in the end is paired through its rarest shingles.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.materialize import materialize
+from ..plans.skew import salt_of, salts
 from . import words as W
 from .components import components
 
@@ -26,6 +27,7 @@ U = np.uint64
 _EMPTY = U((1 << 64) - 1)
 _LOW = U((1 << 52) - 1)
 BLOCKS = 128
+PAIRED_ROWS_PER_TASK = 2_000
 _SEEDS = W.mix(np.arange(1, 4097, dtype=U) * U(0xA0761D6478BD642F))
 
 
@@ -85,20 +87,24 @@ def signatures(docs: DataFrame, id: str, text: str, k: int, bands: int, rows: in
     return source.mapInArrow(sign, f"id {kind}, mark long, n_shingles long, cls long, bands array<long>")
 
 
-def profiles(texts: DataFrame, k: int) -> DataFrame:
-    """cls, own, blocks: how many shingles of a class no other class has, and the others by block of the hash.
-
-    Own shingles are in no intersection, and two classes share at most the
-    smaller count of each block.  So the profiles bound a pair's similarity
-    from above, closely so for copies that were changed in different places.
-    """
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """cls, h: one row for each distinct shingle of a class."""
     def explode(batches):
         for batch in batches:
             for i, j, data, bounds in W.slices(batch.column("text")):
                 row, h = W.shingle_sets(W.split(data, bounds, W.NOT_SPACE), k)
                 yield pa.RecordBatch.from_pydict({"cls": batch.column("cls").slice(i, j - i).take(pa.array(row)),
                                                   "h": pa.array(h.astype(np.int64))})
+    return texts.select("cls", "text").mapInArrow(explode, "cls long, h long")
+
 
+def profiles(texts: DataFrame, k: int) -> DataFrame:
+    """cls, own, blocks: how many shingles of a class no other class has, and the others by block of the hash.
+
+    Own shingles are in no intersection, and two classes share at most the
+    smaller count of each block.  So the profiles bound a pair's similarity
+    from above, closely so for copies that were changed in different places.
+    """
     def count(batches):
         for batch in batches:
             for i, j, data, bounds in W.slices(batch.column("text")):
@@ -113,12 +119,41 @@ def profiles(texts: DataFrame, k: int) -> DataFrame:
                     [batch.column("cls").slice(i, j - i), pa.array(lengths),
                      pa.ListArray.from_arrays(np.arange(0, (j - i + 1) * BLOCKS, BLOCKS, dtype=np.int32), counts.astype(np.int32))],
                     ["cls", "own", "blocks"])
-    once = (texts.mapInArrow(explode, "cls long, h long").groupBy("h").agg(F.count("*").alias("m"), F.min("cls").alias("cls"))
-            .where("m = 1"))
+    once = shingle_rows(texts, k).groupBy("h").agg(F.count("*").alias("m"), F.min("cls").alias("cls")).where("m = 1")
     own = once.groupBy("cls").agg(F.collect_list("h").alias("own"))
     return texts.join(own, "cls", "left").select("cls", "text", "own").mapInArrow(count, "cls long, own long, blocks array<int>")
 
 
+def rare_pairs(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that may be similar enough, by an exact prefix filter.
+
+    ``rest`` has cls, label and size (number of shingles), one row for each
+    class.  Shingles are ordered by the number of classes that hold them; two
+    similar sets share one of the rarest ``size - ceil(percent * size / 100) + 1``
+    of each.  Only these are joined, and a match counts only if what follows
+    it in both sets can still reach the threshold.  Shingles that only one
+    class holds come first and are never joined, so texts that share a
+    template, but differ in more than the threshold allows, meet nobody.
+    """
+    listed = materialize(shingle_rows(texts.join(rest.select("cls"), "cls", "left_semi"), k), "open-shingles")
+    held = listed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    own = Window.partitionBy("cls")
+    # Places count from the end: how many shingles of the set follow, this one included.
+    placed = (listed.join(held, "h").select("cls", "h", F.row_number().over(own.orderBy(c("m").desc(), c("h").desc())).alias("after"))
+              .join(rest, "cls").where(c("after") >= F.ceil(c("size") * percent / F.lit(100.0))))
+    placed = materialize(placed, "open-prefixes")
+    sizes = placed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    entries = placed.join(sizes, "h")
+    left = entries.select("h", salt_of(c("m"), c("cls"), PAIRED_ROWS_PER_TASK).alias("salt"), c("cls").alias("a"), c("label").alias("la"),
+                          c("size").alias("sa"), c("after").alias("fa"))
+    right = entries.select("h", F.explode(salts(c("m"), PAIRED_ROWS_PER_TASK)).alias("salt"), c("cls").alias("b"), c("label").alias("lb"),
+                           c("size").alias("sb"), c("after").alias("fb"))
+    reach = (100 + percent) * F.least("fa", "fb") >= percent * (c("sa") + c("sb"))
+    near = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
+    met = left.join(right, (left["h"] == right["h"]) & (left["salt"] == right["salt"]) & (c("a") < c("b")) & (c("la") != c("lb")) & near & reach)
+    return met.select("a", "b").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     def check(batches):
@@ -173,7 +208,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
                         .select("cls", "text").dropDuplicates(["cls"]), "class-texts")
 
     members = materialize(members.join(profiles(texts, k), "cls").select(
-        "key", "cls", (c("n") - c("own")).alias("n"), "own", "blocks"), "members")
+        "key", "cls", (c("n") - c("own")).alias("n"), "own", "blocks").where(100 * c("n") >= percent * (c("n") + c("own"))), "members")
     # Cheap bounds from above; most pairs below the threshold need no look at their texts.
     alike = 100 * F.least("na", "nb") >= percent * (F.greatest("na", "nb") + c("oa") + c("ob"))
     common = F.aggregate(F.zip_with("blocks_a", "blocks_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -201,10 +236,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
                 c("blocks").alias("blocks_a"), c("p.blocks").alias("blocks_b"))
             pairs = pairs.where(alike)
         else:          # what is left between components
-            other = alive.select("key", c("cls").alias("b"), c("n").alias("nb"), c("own").alias("ob"), c("label").alias("lb"),
-                                 c("blocks").alias("blocks_b"))
-            pairs = alive.withColumnsRenamed({"cls": "a", "n": "na", "own": "oa", "blocks": "blocks_a"}).join(
-                other, (alive["key"] == other["key"]) & (c("a") < c("b")) & (c("label") != c("lb")) & alike)
+            rest = materialize(alive.select("cls", "label", (c("n") + c("own")).alias("size"), "n", "own", "blocks").dropDuplicates(["cls"]), "open")
+            sides = [rest.select(c("cls").alias(x), c("n").alias("n" + x), c("own").alias("o" + x), c("blocks").alias("blocks_" + x)) for x in "ab"]
+            pairs = rare_pairs(rest.select("cls", "label", "size"), texts, k, percent).join(sides[0], "a").join(sides[1], "b").where(alike)
         pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = materialize(confirm(pairs, texts, k, percent), "links")
         found = new.count()
