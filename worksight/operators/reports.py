@@ -24,8 +24,7 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in checks])
 
 
-def check_reports(submitted: DataFrame, projects: DataFrame) -> DataFrame:
-    """Normalised submissions with ``reject_reason`` (NULL when accepted)."""
+def normal_reports(submitted: DataFrame) -> DataFrame:
     optional = [x for x in ("reporter_name", "reporter_contact") if x in submitted.columns]
     rows = submitted.withColumns({
         "project_id": strip(c("project_id").cast("string")),
@@ -35,12 +34,22 @@ def check_reports(submitted: DataFrame, projects: DataFrame) -> DataFrame:
     })
     if "submitted_at" not in submitted.columns:
         rows = rows.withColumn("submitted_at", F.current_timestamp())
-    return _with_project(rows, projects).withColumn("reject_reason", _first_reason(
-        (c("_known").isNull(), "project not found"),
+    return rows
+
+
+def judge_reports(rows: DataFrame) -> DataFrame:
+    """Normalised rows with ``_known`` (null or false: no such project) get their ``reject_reason``."""
+    return rows.withColumn("reject_reason", _first_reason(
+        (~c("_known"), "project not found"),
         (~c("category").isin(REPORT_CATEGORIES), "invalid category"),
         (c("description") == "", "description required"))).drop("_known")
 
 
+def check_reports(submitted: DataFrame, projects: DataFrame) -> DataFrame:
+    """Normalised submissions with ``reject_reason`` (NULL when accepted)."""
+    return judge_reports(_with_project(normal_reports(submitted), projects))
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     return checked.where(c("reject_reason").isNull()).drop("reject_reason")
 
@@ -49,7 +58,7 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(c("reject_reason").isNotNull())
 
 
-def check_decisions(submitted: DataFrame, projects: DataFrame, verified_by: str = OFFICER) -> DataFrame:
+def normal_decisions(submitted: DataFrame, verified_by: str = OFFICER) -> DataFrame:
     rows = submitted.withColumns({
         "project_id": strip(c("project_id").cast("string")),
         "decision": strip(F.upper("decision")),
@@ -58,9 +67,17 @@ def check_decisions(submitted: DataFrame, projects: DataFrame, verified_by: str
     })
     if "verification_date" not in submitted.columns:
         rows = rows.withColumn("verification_date", F.current_timestamp())
-    return _with_project(rows, projects).withColumn("reject_reason", _first_reason(
+    return rows
+
+
+def judge_decisions(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("reject_reason", _first_reason(
         (~c("decision").isin(DECISIONS), "invalid decision"),
-        (c("_known").isNull(), "project not found"))).drop("_known")
+        (~c("_known"), "project not found"))).drop("_known")
+
+
+def check_decisions(submitted: DataFrame, projects: DataFrame, verified_by: str = OFFICER) -> DataFrame:
+    return judge_decisions(_with_project(normal_decisions(submitted, verified_by), projects))
 
 
 def append(accepted_rows: DataFrame, path: str) -> None:
