@@ -10,6 +10,8 @@ matched rows come from an inner join that salts crowded projects, and the
 rollup combines inside each task before its shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import any_of, holds, normal_text, points
@@ -87,7 +89,7 @@ def verify_documents(projects: DataFrame, documents: DataFrame | None, rows_per_
 
 
 def document_rollup(projects: DataFrame, documents: DataFrame,
-                    rows_per_task: int = LOOKUP_ROWS_PER_TASK) -> DataFrame:
+                    rows_per_task: int | None = LOOKUP_ROWS_PER_TASK) -> DataFrame:
     return _rollup(_check_documents(projects, documents, rows_per_task), DOCUMENT_FLAGS, "document")
 
 
@@ -105,15 +107,19 @@ def image_hash_reuse(images: DataFrame, count_empty: bool = False) -> DataFrame:
 
 def _check_images(images: DataFrame, count_empty: bool) -> DataFrame:
     reuse = image_hash_reuse(images, count_empty)
-    exists = c("image_id").isNotNull()
     # Images without a hash all have the same one; the join deals them out by id.
     without = (F.coalesce(c("image_hash"), F.lit("")) == "") & F.lit(not count_empty)
     part = F.when(without, F.pmod(F.xxhash64("project_id", "image_id"), F.lit(EMPTY_HASH_PARTS))).otherwise(F.lit(0))
     rows = (images.select("project_id", "image_id", "image_hash", "similarity_score",
                           c("status").alias("image_status"), part.cast("int").alias("_part"))
-            .join(reuse.withColumn("_part", F.lit(0)), ["image_hash", "_part"], "left").drop("_part")
-            .withColumn("similarity_score", F.coalesce(c("similarity_score"), F.lit(0.0))))
-    rows = rows.withColumns({
+            .join(reuse.withColumn("_part", F.lit(0)), ["image_hash", "_part"], "left").drop("_part"))
+    return _judge_images(rows)
+
+
+def _judge_images(rows: DataFrame) -> DataFrame:
+    """Flags and points of image rows with the ``uses`` of their hash (null: not reused)."""
+    exists = c("image_id").isNotNull()
+    rows = rows.withColumn("similarity_score", F.coalesce(c("similarity_score"), F.lit(0.0))).withColumns({
         "image_exists": exists,
         "missing_image": ~exists,
         "reused_image": exists & c("uses").isNotNull(),
@@ -138,9 +144,23 @@ def verify_images(projects: DataFrame, images: DataFrame | None, count_empty: bo
     return _with_absent(checked, projects, images, {**fixed, "similarity_score": F.lit(0.0)})
 
 
+def _image_rollup(checked: DataFrame) -> DataFrame:
+    return _rollup(checked, IMAGE_FLAGS, "image", [F.max("similarity_score").alias("similarity_score")])
+
+
 def image_rollup(images: DataFrame, count_empty: bool = False) -> DataFrame:
-    return _rollup(_check_images(images, count_empty), IMAGE_FLAGS, "image",
-                   [F.max("similarity_score").alias("similarity_score")])
+    return _image_rollup(_check_images(images, count_empty))
+
+
+def image_rollups_in_place(parts: list[DataFrame], count_empty: bool = False) -> list[DataFrame]:
+    """Rollups whose highest values are ``image_rollup`` of all ``parts``: each part as if no hash were reused, where
+    its rows lie, and the rows with a reused hash, the only ones that move.  Reuse only adds points and flags."""
+    columns = [c("project_id"), c("image_id"), c("image_hash"), c("similarity_score"), c("status").alias("image_status")]
+    rows = [p.select(*columns) for p in parts]
+    plain = [_image_rollup(_judge_images(r.withColumn("uses", F.lit(None).cast("long")))) for r in rows]
+    every = reduce(DataFrame.unionByName, rows)
+    hashed = every if count_empty else every.where(c("image_hash") != "")
+    return [*plain, _image_rollup(_judge_images(hashed.join(image_hash_reuse(hashed, count_empty), "image_hash")))]
 
 
 # --- inspections ------------------------------------------------------------

@@ -1,5 +1,6 @@
 """The whole analysis as one lazy plan."""
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -60,6 +61,28 @@ def _one_per_project(signal: DataFrame) -> DataFrame:
     return best.select("project_id", "best.*")
 
 
+def evidence_signals(data: Dataset) -> dict[str, list[Callable[[], DataFrame]]]:
+    """Rollups of each kind of evidence.  Where a kind has several, its signal is the highest value of each column."""
+    found = {}
+    if data.documents is not None:
+        found["document"] = [lambda: document_rollup(data.projects, data.documents)]
+    if data.images is not None:
+        found["image"] = [lambda: image_rollup(data.images)]
+    if data.inspections is not None:
+        found["inspection"] = [lambda: inspection_rollup(data.inspections)]
+    if data.citizen_reports is not None:
+        found["citizen"] = [lambda: citizen_risk(data.citizen_reports)]
+    return found
+
+
+def _with_highest(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """A further rollup of a signal that is joined already."""
+    names = [x for x in more.columns if x != "project_id"]
+    side = more.select("project_id", *[c(x).alias(f"_{x}") for x in names])
+    return (joined.join(side, "project_id", "left").withColumns({x: F.greatest(c(x), c(f"_{x}")) for x in names})
+            .drop(*side.columns[1:]))
+
+
 def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = True) -> Assessment:
     """One row per project with all signals and the overall score.
 
@@ -69,32 +92,36 @@ def risk_fusion(data: Dataset, as_of: Column | None = None, include_ml: bool = T
     values of the signals that are joined by id.
     """
     data = replace(data, projects=materialize(data.projects, "projects"))
+    return fuse_signals(data, evidence_signals(data), as_of, include_ml)
+
+
+def fuse_signals(data: Dataset, evidence: dict[str, list[Callable[[], DataFrame]]], as_of: Column | None = None,
+                 include_ml: bool = True) -> Assessment:
+    """``risk_fusion`` of stored projects with the given rollups of the evidence."""
     unique = repeated_ids(data.projects).isEmpty()
     features = add_features(data.projects, as_of)
     base = row_rules(features).select(*BASE_COLUMNS, *ROW_SIGNALS, *DETAIL)
 
-    evidence = {"document": data.documents, "image": data.images, "inspection": data.inspections}
-    rollups = {"document": lambda: document_rollup(data.projects, data.documents),
-               "image": lambda: image_rollup(data.images), "inspection": lambda: inspection_rollup(data.inspections)}
     builders = [lambda: contractor_scores(features)]
-    builders += [rollups[kind] for kind, table in evidence.items() if table is not None]
+    builders += [b for several in evidence.values() for b in several[:1]]
     if data.availability.get("project_name"):
         builders.append(lambda: duplicate_risk(data.projects).drop("duplicate_match_score"))
     if data.availability.get("latitude") and data.availability.get("longitude"):
         builders.append(lambda: geo_hits(data.projects).drop("geo_nearest_km"))
-    if data.citizen_reports is not None:
-        builders.append(lambda: citizen_risk(data.citizen_reports))
     if include_ml:
         builders.append(lambda: ml_outliers(features))
+    further = [b for several in evidence.values() for b in several[1:]]
     signals, ml_fitted = _together(data.projects.sparkSession, builders), False
     if include_ml:
         scores, ml_fitted = signals.pop()
         signals.append(scores.drop("ml_signal_available"))
 
     joined = join_signals(base, signals if unique else [_one_per_project(s) for s in signals])
+    for build in further:
+        joined = _with_highest(joined, build() if unique else _one_per_project(build()))
     filled = {}
     for kind, (score, missing, flags) in ABSENT.items():
-        if evidence[kind] is None:
+        if kind not in evidence:
             filled |= {n: F.lit(False) for n in flags}
             continue
         absent = c(f"{kind}_risk_score").isNull()
@@ -116,5 +143,9 @@ def assess(data: Dataset, as_of: Column | None = None, include_ml: bool = True,
     ``evidence="full"`` words the reasons from the evidence; ``"summary"``
     knows only flag and score of each signal.
     """
-    fused = risk_fusion(data, as_of, include_ml)
+    return with_reasons(risk_fusion(data, as_of, include_ml), evidence)
+
+
+def with_reasons(fused: Assessment, evidence: str = "full") -> Assessment:
+    """Reasons and alerts of a fused table."""
     return Assessment(A.add_alerts(explain(fused.risk, evidence == "full")), fused.availability)

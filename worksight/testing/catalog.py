@@ -9,6 +9,7 @@ from .. import constants as K
 from ..operators import alerts as A, contractors, duplicates, evidence, insights, outliers, proximity, reports, rules
 from ..operators.features import add_features
 from ..operators.fusion import data_inventory, data_readiness, readiness_totals
+from ..plans.colocated import ColocatedStore
 from ..plans.materialize import materialize, scratch_dir
 from ..plans.pipeline import assess, risk_fusion
 from ..plans.serving import RiskStore
@@ -319,6 +320,11 @@ def q_report_status(spark, sf):
     return reports.report_status(_submissions(spark, sf), projects, reports.accepted(checked))
 
 
+def _colocated(spark, sf):
+    # A limit below the largest projects' rows, so both parts of each table take part.
+    return ColocatedStore.write(B.dataset(spark, sf), _fresh(spark, "colocated"), limit=6)
+
+
 def _risk_store(spark, sf):
     return RiskStore.write(_alerts(spark, sf), _fresh(spark, "serving"))
 
@@ -469,6 +475,8 @@ QUERIES = {
     # fusion, reasons, alerts
     "risk_fusion": _mk(lambda s, f: risk_fusion(B.dataset(s, f), B.as_of(), include_ml=False).risk,
                        cols(*FUSED_COLUMNS)),
+    "risk_fusion_colocated": _mk(lambda s, f: _colocated(s, f).risk_fusion(B.as_of(), include_ml=False).risk,
+                                 cols(*FUSED_COLUMNS)),
     "fusion_partial_no_documents": _mk(lambda s, f: risk_fusion(
         B.dataset(s, f, without=("documents",)), B.as_of(), include_ml=False).risk, cols(*FUSED_COLUMNS)),
     "risk_fusion_with_ml": _mk(lambda s, f: assess(B.dataset(s, f), B.as_of()).risk, joined_reasons,
@@ -790,6 +798,7 @@ from projects"""),
 MESSY_OUT = ["project_id", *PROJECTS.text, *PROJECTS.numeric, *PROJECTS.dates]
 ORACLE |= {
     "alert_refresh": _sel([*ALERT_OUT, "citizen_report_count"], "alert_stream"),
+    "risk_fusion_colocated": ORACLE["risk_fusion"],
     "project_lookup_indexed": ORACLE["project_lookup"],
     "explorer_search_indexed": ORACLE["explorer_search"],
     "images_not_supplied": _sel(["project_id", "false as image_anomaly", "0e0 as image_risk_score",
