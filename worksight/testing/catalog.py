@@ -17,6 +17,7 @@ from ..sources.readers import find_table, load_dataset, load_projects
 from ..sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, PROJECTS, normalize, rejected_rows
 from ..sources.sinks import to_records
 from ..streaming import intake, refresh
+from ..streaming.waiting import waiting_reports
 from . import bindings as B
 from .oracle import BODY, FLAGS, SCORES, compose, even, pct, text, weights_without
 
@@ -293,6 +294,28 @@ def q_decision_stream(spark, sf):
         "verification_date", F.date_format("verification_date", STAMP))
 
 
+# Projects join the list in the course of 40 days, some before and some after the reports that name them.
+JOINED_AFTER = "cast(substr(project_id, 2) as bigint) * 7919 % 40"
+
+
+def q_waiting_reports(spark, sf):
+    """Reports that wait up to a week for projects that are a stream as well; then both clocks pass the last wait."""
+    base = _fresh(spark, "waiting")
+    start = F.lit("2024-01-01").cast("timestamp")
+    _submissions(spark, sf).write.parquet(f"{base}/reports")
+    B.view(spark, sf, "projects").select("project_id", (start + F.expr(f"make_dt_interval(cast({JOINED_AFTER} as int))")).alias(
+        "registered_at")).write.parquet(f"{base}/projects")
+    kinds = {x: spark.read.parquet(f"{base}/{x}").schema for x in ("reports", "projects")}
+    for _ in range(2):
+        checked = waiting_reports(*[spark.readStream.schema(kinds[x]).parquet(f"{base}/{x}") for x in ("reports", "projects")])
+        intake.run_now(intake.write_append(checked, f"{base}/rows", f"{base}/checkpoint", available_now=True))
+        for x, time in (("reports", "submitted_at"), ("projects", "registered_at")):
+            blank = spark.range(1).select(*[(start + F.expr("interval 400 days")).cast(f.dataType).alias(f.name) if f.name == time
+                                            else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds[x].fields])
+            blank.write.mode("append").parquet(f"{base}/{x}")
+    return reports_out(spark.read.schema(checked.schema).parquet(f"{base}/rows").where("report_id is not null"))
+
+
 def q_replays(spark, sf):
     """Every submission arrives twice; each is taken once."""
     base = _fresh(spark, "replays")
@@ -468,6 +491,7 @@ QUERIES = {
     "citizen_stream_ingest": _mk(q_stream_ingest),
     "citizen_stream_counts": _mk(q_stream_counts),
     "citizen_replays": _mk(q_replays),
+    "citizen_waiting_reports": _mk(q_waiting_reports),
     "citizen_report_status": _mk(q_report_status),
     "verification_ingest": _mk(q_decisions),
     "verification_stream": _mk(q_decision_stream),
@@ -812,6 +836,11 @@ select cast(row_number() over (order by {", ".join(f"{x} nulls first" for x in I
     "dup_below_min_rows": _sel(["project_id", "false as duplicate_anomaly", "0e0 as duplicate_risk_score",
                                 "0e0 as duplicate_match_score"], "projects"),
     "citizen_replays": _sel([*CHECKED, "reject_reason"], "checked"),
+    "citizen_waiting_reports": compose(f"""
+select report_id, {STAMPED}, s.project_id, category, description,
+       case when p.project_id is null or timestamp '2024-01-01 00:00:00' + to_days(cast({JOINED_AFTER.replace("project_id", "p.project_id")} as int))
+                 > submitted_at + interval 7 day then 'project not found' else reject_reason end as reject_reason
+from checked s left join projects p on p.project_id = s.project_id"""),
     "citizen_report_status": compose("""
 select s.project_id, any_value(p.project_id) is not null as known, count(*) filter (reject_reason is null) as citizen_report_count
 from checked s left join projects p on p.project_id = s.project_id group by s.project_id"""),
