@@ -94,6 +94,21 @@ def test_pair_names(spark, make_projects):
         ("P0", "alpha one", "P1", "alpha one", 1.0)]
 
 
+@pytest.mark.parametrize("rows_per_task", [20_000, 2])
+def test_rare_words_shared_by_chance_make_no_candidates(spark, rows_per_task):
+    rng = random.Random(11)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.35)) % 3000}" for _ in range(60)) for i in range(150)}
+    texts |= {200 + i: texts[i] + f" w{i} end" for i in range(10)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, body string")
+    groups = D.text_groups(D.text_members(docs, "id", F.col("body"), ()))
+    counted = D.count_terms(groups)
+    terms = D.tfidf_terms(counted, D.shared_terms(counted), F.lit(len(texts))).where("holders > 1").localCheckpoint()
+    candidates = {tuple(r) for r in D.candidate_groups(terms, 0.55, rows_per_task).collect()}
+    found = {(r.group_1, r.group_2) for r in D.similar_groups(terms, 0.55, rows_per_task).collect()}
+    assert {(i, 200 + i) for i in range(10)} <= found <= candidates
+    assert len(candidates) <= 2 * len(found)
+
+
 # --- sites ---------------------------------------------------------------------
 
 def haversine(a, b):
