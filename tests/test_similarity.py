@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worksight.constants import ENGLISH_STOP_WORDS
+from worksight.functions.geo import forward_steps
 from worksight.operators import duplicates as D, proximity as G
 
 
@@ -139,6 +140,14 @@ def test_geo_pairs_equal_brute_force(spark, make_projects, threshold, rows_per_t
     assert got == pytest.approx(want, abs=1.1e-3) and set(got) == set(want)
 
 
+def test_a_site_visits_the_cells_in_reach_only(spark):
+    rng = random.Random(8)
+    at = [(rng.uniform(10, 11), rng.uniform(70, 71)) for _ in range(2000)]
+    steps = forward_steps(F.col("latitude"), F.col("longitude"), 0.3)
+    rows = spark.createDataFrame(at, "latitude double, longitude double").select(F.size(steps).alias("n"))
+    assert rows.agg(F.avg("n")).first()[0] < 6                                  # all around: 14
+
+
 def test_geo_risk(make_projects):
     spot = [dict(latitude=10.0, longitude=20.0)] * 3
     rows = [*spot, dict(latitude=10.0 + 0.15 / 111.19492664, longitude=20.0), dict(latitude=50.0, longitude=20.0), {}]
