@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from worksight.operators import evidence as E
@@ -96,3 +98,15 @@ def test_a_third_of_all_documents_on_one_project(spark, make_projects):
     assert [r[0] for r in plain if r[1]] == ["P0"]
     rows = E.verify_documents(projects, documents, rows_per_task=40)
     assert rows.count() == 3000 and rows.where("amount_mismatch").count() == 1
+
+
+def test_few_reused_hashes_are_sent_to_the_images(spark):
+    images = spark.range(3000).selectExpr("concat('P', id % 500) as project_id", "concat('i', id) as image_id",
+                                          "case when id % 4 = 0 then '' else concat('h', id % 2900) end as image_hash",
+                                          "0.1D as similarity_score", "'Valid' as status")
+    for count_empty in (False, True):
+        found = E.image_rollup(images, count_empty)
+        assert "hashpartitioning(image_hash" not in found._jdf.queryExecution().executedPlan().toString()
+        reused = {r.project_id for r in found.where("reused_image").collect()}
+        by_hash = Counter(r.image_hash for r in images.collect() if count_empty or r.image_hash)
+        assert reused == {r.project_id for r in images.collect() if by_hash[r.image_hash] > 1}

@@ -1,4 +1,5 @@
 import itertools
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,15 @@ def test_search_without_a_limit(spark):
         "'' as contractor", "1.0D as overall_risk_score", "'LOW' as risk_level", "0 as risk_signal_count")
     assert A.search_projects(table, "hall").count() == 200
     assert A.search_projects(table, "hall", limit=None).count() == 300
+
+
+def test_stored_projects_are_not_written_again(make_projects, monkeypatch):
+    from worksight.plans import pipeline
+
+    written = []
+    monkeypatch.setattr(pipeline, "materialize", lambda df, label: written.append(label) or df)
+    data = Dataset(make_projects({}, {}))
+    risk_fusion(data, include_ml=False)
+    assert written == ["projects"]
+    risk_fusion(replace(data, stored=True), include_ml=False)
+    assert written == ["projects"]

@@ -208,3 +208,28 @@ def test_least_table_with_pairs_is_a_parameter(spark):
     assert D.duplicate_pairs(docs).count() == 0 and D.duplicate_pairs(docs, min_rows=2).count() == 3
     assert not any(r.geo_anomaly for r in G.geo_risk(docs).collect())
     assert all(r.geo_anomaly for r in G.geo_risk(docs, min_rows=2).collect())
+
+
+def test_hits_are_the_rows_of_the_risk_that_have_a_match(spark):
+    texts = some_texts(80, seed=9)
+    docs = spark.createDataFrame(list(texts.items()), "project_id string, body string")
+    want = D.duplicate_risk(docs, text=F.col("body")).where("duplicate_anomaly")
+    got = D.duplicate_hits(docs, text=F.col("body"))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert D.duplicate_hits(docs, text=F.col("body"), min_rows=81).count() == 0
+
+
+def test_terms_of_one_text_do_not_move_one_by_one(spark):
+    texts = some_texts(80, seed=9)
+    docs = spark.createDataFrame([(k, f"{t} only{k}") for k, t in texts.items()], "id string, body string")
+    groups = D.text_groups(D.text_members(docs, "id", F.col("body"), ()))
+    counted = D.count_terms(groups)
+    shared = D.shared_terms(counted)
+    want = D.tfidf_terms(counted, shared, F.lit(80)).where("holders > 1").orderBy("group", "term_id").collect()
+    got = D.shared_vectors(counted, shared, F.lit(80)).orderBy("group", "term_id").collect()
+    assert [(r.group, r.term_id, r.holders) for r in got] == [(r.group, r.term_id, r.holders) for r in want]
+    assert [r.weight for r in got] == pytest.approx([r.weight for r in want])
+    left = {}                   # from the last term of a text to the first
+    for r in reversed(sorted(got, key=lambda r: (r.group, -r.rest_with))):
+        left[r.group] = left.get(r.group, 0.0) + r.weight ** 2
+        assert r.rest_with == pytest.approx(math.sqrt(left[r.group]))
