@@ -233,3 +233,11 @@ def test_terms_of_one_text_do_not_move_one_by_one(spark):
     for r in reversed(sorted(got, key=lambda r: (r.group, -r.rest_with))):
         left[r.group] = left.get(r.group, 0.0) + r.weight ** 2
         assert r.rest_with == pytest.approx(math.sqrt(left[r.group]))
+
+
+def test_tasks_of_a_listing_follow_its_pairs(spark):
+    docs = spark.range(600).selectExpr("id as project_id", "concat('hall ward', id % 2, ' road', id % 2) as body")
+    got = D.duplicate_pairs(docs, text=F.col("body"), rows_per_task=50)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == got.count() == 2 * 300 * 299 // 2
+    assert max(sizes) <= 6 * 50 * 100
