@@ -5,9 +5,12 @@ from pyspark.sql import functions as F, types as T
 from worksight.functions.columns import not_blank, strip
 from worksight.functions.geo import grid_cell
 from worksight.operators import alerts as A, insights as I
+from worksight.operators.evidence import document_rollup
 from worksight.operators.proximity import near_sites
 from worksight.plans.pipeline import Assessment
 from worksight.plans.serving import RiskStore
+from worksight.sources.schema import DOCUMENTS, IMAGES, INSPECTIONS, normalize
+from worksight.testing import bindings as B
 
 ROWS = 4000
 
@@ -72,3 +75,32 @@ def test_blank_text(spark):
     rows = spark.createDataFrame([(x,) for x in ("", " ", "a", " a", "\u3000\u00a0", "\u200b", "\n\t", "\u2028b", None)], "x string")
     x = F.col("x")
     assert rows.where(~not_blank(x).eqNullSafe(strip(x) != "")).count() == 0
+
+
+def test_evidence_is_joined_once(spark, tmp_path):
+    """Images and inspections are scans of one stored join; documents lie ready for the join by project."""
+    tables = {
+        "region": spark.sql("select 0 as r_regionkey, 'ASIA' as r_name"),
+        "nation": spark.sql("select 0 as n_nationkey, 'INDIA' as n_name, 0 as n_regionkey"),
+        "customer": spark.sql("select id as c_custkey, concat('Customer#', lpad(id, 9, '0')) as c_name, 0 as c_nationkey, 'A' as c_mktsegment from range(10)"),
+        "part": spark.sql("select id as p_partkey, 'ring' as p_name, 'LARGE' as p_type from range(7)"),
+        "events": spark.sql("select id as event_id, timestamp'2024-01-01' as ts, id as user_id, 'view' as event_type, 1d as value, '' as props from range(3)"),
+        "orders": spark.sql("select if(id = 11, null, id) as o_orderkey, id % 10 as o_custkey, 'F' as o_orderstatus, 100d + id as o_totalprice, timestamp'1998-02-06' as o_orderdate, '5-LOW' as o_orderpriority from range(40) union all select 3, 3, 'F', 103d, timestamp'1998-02-06', '5-LOW'"),
+        "lineitem": spark.sql("select if(id = 5, null, id % 45) as l_orderkey, id % 123 as l_partkey, id % 9 as l_suppkey, cast(id % 7 as int) as l_linenumber, 5d as l_quantity, 0.05d as l_discount, 0.02d as l_tax, if(id % 3 = 0, 'R', 'N') as l_returnflag, 'F' as l_linestatus, timestamp'1998-03-06' as l_shipdate from range(300)"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    data = B.dataset(spark, str(tmp_path))
+    for name, spec, got in (("evidence_images", IMAGES, data.images), ("inspections", INSPECTIONS, data.inspections),
+                            ("evidence_documents", DOCUMENTS, data.documents)):
+        want = normalize(B.view(spark, str(tmp_path), name), spec)[0]
+        assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 250
+    for table in (data.images, data.inspections):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = document_rollup(data.projects, data.documents)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 3      # lines, their projects, the projects to compare with

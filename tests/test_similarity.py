@@ -241,3 +241,26 @@ def test_tasks_of_a_listing_follow_its_pairs(spark):
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == got.count() == 2 * 300 * 299 // 2
     assert max(sizes) <= 6 * 50 * 100
+
+
+def test_frequent_terms_are_numbered_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame(list(some_texts(80, seed=5).items()), "id string, body string")
+    counted = D.count_terms(D.text_groups(D.text_members(docs, "id", F.col("body"), ()))).localCheckpoint()
+    shared = D.shared_terms(counted)
+    columns = ["group", "term", "tf", "df", "holders", "term_id"]
+    alone = {"df": F.coalesce("df", "copies"), "holders": F.coalesce("holders", F.lit(1))}
+    want = counted.join(shared, ["hash", "term"], "left").withColumns(alone).select(*columns)
+    want = sorted(want.collect(), key=str)
+    monkeypatch.setattr(D, "FREQUENT", 4)
+    assert 0 < shared.where("holders > 4").count() < shared.count()
+    for most in (100, 0):
+        monkeypatch.setattr(D, "BROADCAST_KEYS", most)
+        assert sorted(D._numbered(counted, shared).select(*columns).collect(), key=str) == want
+
+
+def test_texts_with_little_in_common_leave_no_vectors(spark):
+    texts = {f"P{i:03}": f"road works lot{i} bay{i} gate{i} mast{i}" for i in range(60)} | {"Q1": "blue bridge north", "Q2": "blue bridge south north"}
+    docs = spark.createDataFrame(list(texts.items()), "project_id string, body string")
+    _, _, terms = D._prepare(docs, "project_id", F.col("body"), (), 5, 0.55)
+    assert {r["group"] for r in terms.select("group").distinct().collect()} == {"Q1", "Q2"}
+    assert [r.project_id for r in D.duplicate_hits(docs, text=F.col("body")).orderBy("project_id").collect()] == ["Q1", "Q2"]
