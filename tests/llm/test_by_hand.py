@@ -8,12 +8,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_corpus_operators import components, scan_by_hand
-from worksight.llm import minhash, quality, sharding, statistics, token_counts, toxicity
+from worksight.llm import minhash, quality, sharding, statistics, token_counts, token_files, toxicity
 
 
 def words(rng, n):
@@ -286,3 +287,13 @@ def test_pipeline_by_hand(spark, tmp_path):
             assert all(sorted(x) == list(range(len(x))) for x in by_shard.values()) and set(by_shard) <= set(range(16))
         assert sorted(after, key=str) == sorted(want, key=str), name
         before = after
+
+
+def test_ids_of_an_arrow_column():
+    public_tokenizers, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = tokenizers.Tokenizer.from_file(path)
+    texts = ["  Roads, roads... and ROADS!  ", None, "", " \n\t", "it's a.b.c x'' <|endoftext|>. caf\u00e9!?", "(roads) 3.5% \x0b and\x0c", "and"]
+    for kind in (pa.string(), pa.large_string()):
+        got = token_files.Encoder(path)(pa.array(texts, kind))
+        assert [x.tolist() for x in got] == [model.encode(t or "", add_special_tokens=False).ids for t in texts]

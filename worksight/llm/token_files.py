@@ -12,11 +12,13 @@ of their own; the manifest, which Spark commits, names the files that
 count.  A task that is lost and run again leaves a file nobody reads.
 """
 
+import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -29,6 +31,7 @@ BATCH_ROWS = 64
 CACHED_WORDS = 1_500_000
 #: ASCII signs, without the apostrophe, which may begin a contraction.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LAST_SIGNS = re.compile(rb"([a-z])(?=[" + re.escape(SIGNS) + rb"]+$)", re.MULTILINE)
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -45,7 +48,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.wide = self.model.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}     # at the ends of a text stands an empty piece
         words = self.model.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
@@ -61,7 +64,7 @@ class Encoder:
                 plain = plain[:i]
                 break
             whole, at = ids.astype(self.dtype).tobytes(), [0, *(stops * self.dtype.itemsize).tolist()]
-            self.known.update((p, whole[at[x]:at[x + 1]]) for x, p in enumerate(part))
+            self.known.update((p, whole[x:y]) for p, x, y in zip(part, at, at[1:]))
         done = set(plain)
         rest = [p for p in pieces if p not in done]
         for i in range(0, len(rest), 20_000):
@@ -69,28 +72,44 @@ class Encoder:
             for piece, x in zip(part, self.model.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(x.ids, dtype=self.dtype).tobytes()
 
-    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """Lower case, and ASCII signs after a final ASCII letter on their own, as the tokenizer splits them.
-        A piece that may hold one of its special strings is left as it is."""
-        if b"<|" in piece:
-            return (piece,)
-        body = piece.rstrip(SIGNS)
-        if body and len(body) < len(piece) and body[-1:].isalpha():
-            return body.lower(), piece[len(body):]
-        return (piece.lower(),)
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").encode().split() for t in texts]
-        new = {p for own in pieces for p in own if p not in self.known}
+    def _add(self, new: list[bytes]) -> None:
+        """Learns pieces by their parts: lower case, and ASCII signs after a final ASCII letter on their own, as the
+        tokenizer splits them.  A piece that may hold one of its special strings is left as it is."""
+        special = [p for p in new if b"<|" in p]
+        if special:
+            self._learn(special)
+            new = [p for p in new if b"<|" not in p]
+        # A piece holds no white space, so all of them are split in one pass: a line each, with a blank between two parts.
+        whole = LAST_SIGNS.sub(rb"\1 ", b"\n".join(new).lower())
+        self._learn([x for x in set(whole.split()) if x not in self.known])
+        known = self.known
+        for p, line in zip(new, whole.split(b"\n")):
+            if line in known:
+                known[p] = known[line]
+            else:
+                body, signs = line.split()
+                known[p] = known[body] + known[signs]
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Each distinct piece is looked up once; the ids are put in place by number."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = pieces.flatten().dictionary_encode()
+        every = numbered.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in every if p not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = {p for own in pieces for p in own}
-        parts = {p: self._parts(p) for p in new}
-        self._learn(list({x for own in parts.values() for x in own if x not in self.known}))
-        for p, own in parts.items():
-            self.known[p] = self.known[own[0]] if len(own) == 1 else self.known[own[0]] + self.known[own[1]]
-        take = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(take, own)), dtype=self.dtype) for own in pieces]
+            self.known, new = {b"": b""}, [p for p in every if p]
+        if new:
+            self._add(new)
+        found = [self.known[p] for p in every]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        at, which = np.cumsum(size) - size, numbered.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), dtype=self.dtype)[np.repeat(at[which] - ends[:-1], n) + np.arange(ends[-1])]
+        stops = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())])]
+        return [ids[x:y] for x, y in zip(stops.tolist(), stops[1:].tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -153,7 +172,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id: str = "doc_id", text
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 ids += part.column("id").to_pylist()
-                for x in encode(part.column("text").to_pylist()):
+                for x in encode(part.column("text")):
                     if writer is None:
                         out = disk.open_output_stream(f"{root}/{name}.arrow")
                         writer = _Writer(out, length, x.dtype)
