@@ -6,8 +6,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from worksight.operators import duplicates as D
+from worksight.operators import alerts as A, duplicates as D
 from worksight.plans.materialize import FILE_CLEANUP, discard, materialize, scratch_dir, shuffles_removed
+from worksight.plans.pipeline import assess
+from worksight.plans.serving import RiskStore
+from worksight.sources.readers import Dataset
+from worksight.streaming import maintained as M, refresh
 
 
 def shuffle_files(spark):
@@ -78,3 +82,52 @@ def test_as_many_frequent_terms_as_can_be_sent_are_sent(spark, monkeypatch):
     assert 350 <= shared.where(F.col("holders") > least).count() <= 700
     monkeypatch.setattr(D, "BROADCAST_KEYS", 5000)
     assert D._frequent_from(shared) == D.FREQUENT
+
+
+@pytest.fixture
+def no_broadcast_by_size(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_rows_without_a_change_do_not_move(spark, tmp_path, monkeypatch, no_broadcast_by_size, most):
+    monkeypatch.setattr(M, "BROADCAST_KEYS", most)
+    schema = spark.createDataFrame([], "k string, v long").schema
+    start = spark.range(500).selectExpr("concat('k', id) as k", "id as v").unionByName(
+        spark.createDataFrame([(None, 7), ("twice", 1), ("twice", 1)], schema))
+    table = M.MaintainedTable(str(tmp_path / "t"), "k", schema).start(start)
+    table.apply(spark.createDataFrame([("k3", -3), (None, -7), ("new", -1)], schema), 0)
+    table.apply(spark.createDataFrame([("k3", -4)], schema), 1)
+    got, seen = table.current(spark), table.current(spark).collect()
+    want = {f"k{i}": i for i in range(500)} | {None: -7, "twice": 1, "new": -1, "k3": -4}
+    assert dict(map(tuple, seen)) == want and len(seen) == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("LeftAnti" in plan and "LeftSemi" in plan) == (most > 0)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == (3 if most else 1)     # keys, twice; rows of several
+
+
+def test_few_rescored_projects_are_sent_to_the_assessment(spark, make_projects, monkeypatch, no_broadcast_by_size):
+    columns = dict.fromkeys(("project_name", "contractor", "sanctioned_amount"), True)
+    rows = make_projects(*[dict(project_id=f"P{i}", project_name=f"road {i}", sanctioned_amount=1.0) for i in range(8)])
+    assessed = assess(Dataset(rows, availability=columns), F.lit("2024-01-01").cast("date"), include_ml=False).stored()
+    counts = spark.createDataFrame([("P1", 2), ("P9", 1)], "project_id string, citizen_report_count long")
+    plans = []
+    for most in (100, 0):
+        monkeypatch.setattr(refresh, "BROADCAST_KEYS", most)
+        got = refresh.rescore(assessed, counts)
+        assert [(r.project_id, r.citizen_report_count, r.citizen_anomaly) for r in got.collect()] == [("P1", 2, True)]
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_an_index_leaves_one_copy_of_its_rows(spark, tmp_path):
+    text = [x for x in dict.fromkeys([*A.DETAIL_COLUMNS, *A.SEARCHED]) if x not in ("project_id", "overall_risk_score")]
+    risk = spark.range(50).select(F.format_string("P%03d", "id").alias("project_id"), F.lit(1.0).alias("overall_risk_score"),
+                                  *[F.lit("road works").alias(x) for x in text])
+    before = scratch(spark)
+    store = RiskStore.write(risk, str(tmp_path / "store"))
+    assert not {x.name.split("-")[0] for x in scratch(spark) - before} & {"to", "grams"}
+    assert store.risk().count() == 50 and store.search("P003", "ALL").count() == 1
