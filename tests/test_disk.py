@@ -4,9 +4,10 @@ import time
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from worksight.operators import alerts as A, duplicates as D
+from worksight.plans.colocated import ColocatedStore
 from worksight.plans.materialize import FILE_CLEANUP, discard, materialize, scratch_dir, shuffles_removed
 from worksight.plans.pipeline import assess
 from worksight.plans.serving import RiskStore
@@ -94,7 +95,7 @@ def no_broadcast_by_size(spark):
 
 @pytest.mark.parametrize("most", [100, 0])
 def test_rows_without_a_change_do_not_move(spark, tmp_path, monkeypatch, no_broadcast_by_size, most):
-    monkeypatch.setattr(M, "BROADCAST_KEYS", most)
+    monkeypatch.setattr(M, "SENT_KEYS", most)
     schema = spark.createDataFrame([], "k string, v long").schema
     start = spark.range(500).selectExpr("concat('k', id) as k", "id as v").unionByName(
         spark.createDataFrame([(None, 7), ("twice", 1), ("twice", 1)], schema))
@@ -116,7 +117,7 @@ def test_few_rescored_projects_are_sent_to_the_assessment(spark, make_projects,
     counts = spark.createDataFrame([("P1", 2), ("P9", 1)], "project_id string, citizen_report_count long")
     plans = []
     for most in (100, 0):
-        monkeypatch.setattr(refresh, "BROADCAST_KEYS", most)
+        monkeypatch.setattr(refresh, "SENT_KEYS", most)
         got = refresh.rescore(assessed, counts)
         assert [(r.project_id, r.citizen_report_count, r.citizen_anomaly) for r in got.collect()] == [("P1", 2, True)]
         plans.append(got._jdf.queryExecution().executedPlan().toString())
@@ -131,3 +132,23 @@ def test_an_index_leaves_one_copy_of_its_rows(spark, tmp_path):
     store = RiskStore.write(risk, str(tmp_path / "store"))
     assert not {x.name.split("-")[0] for x in scratch(spark) - before} & {"to", "grams"}
     assert store.risk().count() == 50 and store.search("P003", "ALL").count() == 1
+
+
+@pytest.mark.parametrize("limit", [2, 100])
+def test_evidence_is_computed_once_for_its_buckets(spark, make_projects, tmp_path, limit):
+    seen = spark.sparkContext.accumulator(0)
+
+    def grade(i):
+        seen.add(1)
+        return "Failed" if i % 3 == 0 else "Passed"
+
+    projects = make_projects(*[dict(project_id=f"P{i}") for i in range(10)])
+    rows = spark.range(0, 40, 1, 2).select(
+        F.col("id").alias("inspection_id"), F.when(F.col("id") < 38, F.concat(F.lit("P"), F.col("id") % 10 % F.lit(7))).alias("project_id"),
+        F.lit(60.0).alias("inspection_score"), F.udf(grade, T.StringType())("id").alias("inspection_status"),
+        F.lit("2024-01-01").cast("date").alias("inspection_date"))
+    before = scratch(spark)
+    store = ColocatedStore.write(Dataset(projects, inspections=rows, availability={}), str(tmp_path / "store"), 3, limit)
+    assert seen.value == 40
+    assert scratch(spark) == before
+    assert sorted(store.dataset().inspections.collect(), key=str) == sorted(rows.collect(), key=str)
